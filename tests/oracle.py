@@ -1,0 +1,58 @@
+"""Run a registered query on Spark and its SQL oracle on DuckDB, then compare."""
+
+from __future__ import annotations
+
+import datetime as dt
+import math
+from collections import Counter
+
+import duckdb
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def _norm(v):
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "NaN"
+        return v
+    if isinstance(v, dt.datetime):
+        return v.replace(tzinfo=None)
+    return v
+
+
+def rows_of_spark(df) -> tuple[list[str], Counter]:
+    cols = df.columns
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    rows = Counter(tuple(_norm(r[i]) for i in order) for r in df.collect())
+    return [cols[i] for i in order], rows
+
+
+def rows_of_duck(con, sql: str) -> tuple[list[str], Counter]:
+    rel = con.sql(sql)
+    cols = rel.columns
+    order = sorted(range(len(cols)), key=lambda i: cols[i])
+    rows = Counter(tuple(_norm(r[i]) for i in order) for r in rel.fetchall())
+    return [cols[i] for i in order], rows
+
+
+def compare(spark_df, con, sql: str) -> tuple[bool, str]:
+    s_cols, s_rows = rows_of_spark(spark_df)
+    d_cols, d_rows = rows_of_duck(con, sql)
+    if s_cols != d_cols:
+        return False, f"columns differ: spark={s_cols} duck={d_cols}"
+    if sum(s_rows.values()) != sum(d_rows.values()):
+        return False, f"row counts differ: spark={sum(s_rows.values())} duck={sum(d_rows.values())}"
+    if s_rows != d_rows:
+        only_s = list((s_rows - d_rows).elements())[:3]
+        only_d = list((d_rows - s_rows).elements())[:3]
+        return False, f"values differ: spark-only={only_s} duck-only={only_d}"
+    return True, f"{sum(s_rows.values())} rows"
