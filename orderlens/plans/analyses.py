@@ -110,27 +110,53 @@ def state_trade_balance(route: DataFrame, dedupe_keys: Sequence[str] | None = No
                         buyer_state: str = "customer_state") -> DataFrame:
     """Sell value vs buy value per state, for every state that buys.
 
+    Same answer as "buyers LEFT JOIN sellers ON state": states that only
+    sell are not in the result, ``sell_value`` is 0 where a state sells
+    nothing, and ``seller_state`` repeats the buyer's state.
+
     ``route`` rows are de-duplicated (over ``dedupe_keys``, default every
-    column), then summed once per (seller state, buyer state) pair; the
-    per-state totals come from that pair table, which has at most
-    states x states rows, so only one aggregation touches item-sized data.
-    States that only sell are not in the result; ``sell_value`` is 0 for
-    states that only buy, and ``seller_state`` repeats the buyer's state.
+    column) and summed once per (seller state, buyer state) pair.  That pair
+    table has at most states x states rows; it is unpivoted to
+    (state, side, value) and folded per state, so the item-sized input is
+    read, shuffled and de-duplicated only once.
     """
     rows = cleaning.dedupe_rows(route, dedupe_keys)
     pairs = rows.groupBy(seller_state, buyer_state).agg(F.sum(F.col(price).cast(MONEY)).alias("_v"))
-    sell = pairs.groupBy(seller_state).agg(F.sum("_v").cast("double").alias("sell_value"))
-    buy = pairs.groupBy(buyer_state).agg(F.sum("_v").cast("double").alias("buy_value"))
-    joined = buy.alias("buyer").join(sell.alias("seller"),
-                                     F.col(f"buyer.{buyer_state}") == F.col(f"seller.{seller_state}"), "left")
-    joined = cleaning.fill_numeric(joined, 0, subset=["sell_value"])
-    joined = cleaning.copy_column(joined, seller_state, F.col(f"buyer.{buyer_state}"))
+    sides = pairs.unpivot("_v", [seller_state, buyer_state], "_side", "_state")
+    selling, buying = F.col("_side") == seller_state, F.col("_side") == buyer_state
+    per_state = sides.groupBy("_state").agg(
+        F.sum(F.when(selling, F.col("_v"))).cast("double").alias("_sell"),
+        F.sum(F.when(buying, F.col("_v"))).cast("double").alias("buy_value"),
+        F.count_if(buying).alias("_buyer_rows"))
+    # A null state never matches in the join this mirrors, so it sells nothing.
+    sell = F.when(F.col("_state").isNull(), F.lit(0.0)).otherwise(F.col("_sell"))
+    out = per_state.where(F.col("_buyer_rows") > 0).select(
+        F.col("_state").alias(buyer_state), "buy_value", sell.alias("sell_value"))
+    out = cleaning.fill_numeric(out, 0, subset=["sell_value"])
+    out = cleaning.copy_column(out, seller_state, F.col(buyer_state))
     margin = F.col("sell_value") - F.col("buy_value")
-    return joined.select(
+    return out.select(
         F.col(buyer_state), F.col("buy_value"), F.col(seller_state), F.col("sell_value"),
         margin.alias("margin_activity"), classifier(margin).alias("margin_category"))
 
 
+def state_counts_left_join(buyers: DataFrame, sellers: DataFrame, *, buyer_state: str = "customer_state",
+                           seller_state: str = "seller_state", buyer_id: str = "customer_id",
+                           seller_id: str = "seller_id") -> DataFrame:
+    """Customers and sellers per state for every state with customers.
+
+    An aliased LEFT JOIN on an expression key between two per-state
+    aggregates; states without sellers get 0 and take the buyer's state
+    name.
+    """
+    b = buyers.groupBy(buyer_state).agg(F.count(buyer_id).alias("customers")).alias("buyer")
+    s = sellers.groupBy(seller_state).agg(F.count(seller_id).alias("sellers")).alias("seller")
+    joined = b.join(s, F.col(f"buyer.{buyer_state}") == F.col(f"seller.{seller_state}"), "left")
+    joined = cleaning.fill_numeric(joined, 0, subset=["sellers"])
+    joined = cleaning.copy_column(joined, seller_state, F.col(f"buyer.{buyer_state}"))
+    return joined.select(F.col(buyer_state), "customers", F.col(seller_state), "sellers")
+
+
 # Q5 ---------------------------------------------------------------------------------------------
 def hour_weekday_matrix(orders: DataFrame, *, ts: str = "order_purchase_timestamp",
                         order_id: str = "order_id") -> DataFrame:

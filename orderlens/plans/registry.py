@@ -292,6 +292,15 @@ def _j2(v: OrderViews) -> DataFrame:
                          "s.seller_state", "pr.product_category_name")
 
 
+@register("join_left_expression", """
+WITH b AS (SELECT customer_state, count(customer_id) AS customers FROM ol_customers GROUP BY customer_state),
+s AS (SELECT seller_state, count(seller_id) AS sellers FROM ol_sellers GROUP BY seller_state)
+SELECT b.customer_state, b.customers, b.customer_state AS seller_state, COALESCE(s.sellers, 0) AS sellers
+FROM b LEFT JOIN s ON b.customer_state = s.seller_state""")
+def _j5(v: OrderViews) -> DataFrame:
+    return A.state_counts_left_join(v.customers, v.sellers)
+
+
 @register("join_left_semi_exists", """
 SELECT * FROM ol_items i
 WHERE i.order_id IN (SELECT order_id FROM ol_clean_payments)

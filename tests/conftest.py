@@ -1,0 +1,21 @@
+import os
+import sys
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from orderlens.session import build_session, ensure_checkpoint_dir  # noqa: E402
+
+SF_SMALL = "/root/testdata/sf0.001"
+SF_ORACLE = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = build_session("local[4]", app_name="orderlens-tests", shuffle_partitions=4)
+    ensure_checkpoint_dir(session)
+    yield session
+    session.stop()

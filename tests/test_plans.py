@@ -1,0 +1,34 @@
+"""Physical-plan properties: no Python workers, pruning, single pass over items."""
+
+import pytest
+
+import __spark_entry__ as entry_module
+from conftest import SF_SMALL
+
+Q = entry_module.queries()
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", sorted(Q))
+def test_no_python_udf_in_plan(spark, name):
+    plan = _plan(Q[name](spark, SF_SMALL))
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_trade_balance_reads_items_once(spark):
+    plan = _plan(Q["state_trade_balance"](spark, SF_SMALL))
+    assert plan.count("lineitem.parquet") == 1
+
+
+def test_scan_reads_only_needed_columns(spark):
+    plan = _plan(Q["value_by_product_size"](spark, SF_SMALL))
+    assert "ReadSchema: struct<l_partkey:bigint,l_extendedprice:double>" in plan
+
+
+def test_no_single_partition_exchange_over_per_key_rows(spark):
+    # the only global ordering in the share query is over the distinct count values
+    plan = _plan(Q["customer_share_by_state"](spark, SF_SMALL))
+    assert plan.count("SinglePartition") == 1
