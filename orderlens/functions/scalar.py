@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 # English weekday names in calendar order, Monday first.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
-# Money is summed as a fixed-point decimal: exact, so a total does not depend
-# on how rows are spread over partitions or in which order they are added.
-MONEY = "decimal(18,2)"
+# Money is summed as whole cents in a 64-bit integer: exact, so a total does
+# not depend on how rows are spread over partitions or in which order they are
+# added, and the additions stay primitive longs inside codegen (a decimal sum
+# wider than 18 digits would fall back to BigDecimal arithmetic).
+CENTS_PER_UNIT = 100
 
 
 def _col(c: Column | str) -> Column:
@@ -60,15 +62,25 @@ def round_half_up(c: Column | str, scale: int = 2) -> Column:
     return F.when(dec.isNull(), x).otherwise(F.round(dec, scale).cast("double"))
 
 
+def cents(c: Column | str) -> Column:
+    """Money amount as whole cents (``bigint``), rounded to the nearest cent."""
+    return F.rint(_col(c) * CENTS_PER_UNIT).cast("bigint")
+
+
+def from_cents(total: Column | str) -> Column:
+    """Cent total back to a money amount (double)."""
+    return _col(total).cast("double") / F.lit(float(CENTS_PER_UNIT))
+
+
 def exact_sum(c: Column | str) -> Column:
     """Sum of a money column, exact to the cent, returned as double."""
-    return F.sum(_col(c).cast(MONEY)).cast("double")
+    return from_cents(F.sum(cents(c)))
 
 
 def exact_avg(c: Column | str) -> Column:
     """Mean of a money column over its non-null values (exact sum / count)."""
     x = _col(c)
-    return F.try_divide(F.sum(x.cast(MONEY)).cast("double"), F.count(x).cast("double"))
+    return F.try_divide(from_cents(F.sum(cents(x))), F.count(x).cast("double"))
 
 
 def growth_pct(current: Column | str, previous: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.functions.scalar import float32, growth_pct, month_key, round_half_up
+from orderlens.functions.scalar import exact_sum, float32, growth_pct, month_key, round_half_up
 
 
 def discover_values(df: DataFrame, column: str, max_values: int = 10_000) -> list:
@@ -83,7 +83,7 @@ def period_growth(df: DataFrame, key: str, ts: str, amount: str, calendar: bool
     rows contributes one row per month.
     """
     monthly = (df.groupBy(F.col(key), month_key(ts).alias(period_name))
-               .agg(F.sum(F.col(amount).cast("decimal(18,2)")).cast("double").alias("_sum")))
+               .agg(exact_sum(amount).alias("_sum")))
     w = Window.partitionBy(key).orderBy(F.col(period_name).asc_nulls_first())
     monthly = monthly.withColumn(value_name, float32("_sum"))
     prev = F.lag(value_name).over(w)

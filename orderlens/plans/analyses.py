@@ -15,14 +15,11 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import classify
 from orderlens.functions.scalar import (
-    WEEKDAYS, exact_sum, hour_of, round_half_up, weekday_name, year_of,
+    WEEKDAYS, cents, exact_sum, from_cents, hour_of, round_half_up, weekday_name, year_of,
 )
 from orderlens.operators import aggregate, cleaning, relational
 from orderlens.sources.catalog import run_sql
 
-MONEY = "decimal(18,2)"
-
-
 # Q1 ---------------------------------------------------------------------------------------------
 def pivot_payment_type_by_state(orders: DataFrame, customers: DataFrame, payments: DataFrame,
                                 values: Sequence[str] | None = None, *, order_id: str = "order_id",
@@ -121,12 +118,12 @@ def state_trade_balance(route: DataFrame, dedupe_keys: Sequence[str] | None = No
     read, shuffled and de-duplicated only once.
     """
     rows = cleaning.dedupe_rows(route, dedupe_keys)
-    pairs = rows.groupBy(seller_state, buyer_state).agg(F.sum(F.col(price).cast(MONEY)).alias("_v"))
+    pairs = rows.groupBy(seller_state, buyer_state).agg(F.sum(cents(price)).alias("_v"))
     sides = pairs.unpivot("_v", [seller_state, buyer_state], "_side", "_state")
     selling, buying = F.col("_side") == seller_state, F.col("_side") == buyer_state
     per_state = sides.groupBy("_state").agg(
-        F.sum(F.when(selling, F.col("_v"))).cast("double").alias("_sell"),
-        F.sum(F.when(buying, F.col("_v"))).cast("double").alias("buy_value"),
+        from_cents(F.sum(F.when(selling, F.col("_v")))).alias("_sell"),
+        from_cents(F.sum(F.when(buying, F.col("_v")))).alias("buy_value"),
         F.count_if(buying).alias("_buyer_rows"))
     # A null state never matches in the join this mirrors, so it sells nothing.
     sell = F.when(F.col("_state").isNull(), F.lit(0.0)).otherwise(F.col("_sell"))
@@ -207,7 +204,7 @@ def customer_behaviour(orders: DataFrame, payments: DataFrame, grain: str = "pay
     if grain not in ("payment", "order"):
         raise ValueError("grain must be 'payment' or 'order'")
     per_order = payments.groupBy(order_id).agg(
-        F.sum(F.col(value).cast(MONEY)).alias("_paid"), F.count(value).alias("_values"),
+        F.sum(cents(value)).alias("_paid"), F.count(value).alias("_values"),
         F.count(F.lit(1)).alias("_rows"))
     joined = orders.select(order_id, customer_id).join(per_order, order_id, "left")
     if grain == "payment":
@@ -216,7 +213,7 @@ def customer_behaviour(orders: DataFrame, payments: DataFrame, grain: str = "pay
         total, n = F.sum("_paid"), F.count("_paid")
     per_customer = (joined.where(F.col(customer_id).isNotNull()).groupBy(customer_id)
                     .agg(F.count(order_id).alias("order_count"), F.sum("_rows").alias("_rows"),
-                         total.cast("double").alias("_total"), n.cast("double").alias("_n")))
+                         from_cents(total).alias("_total"), n.cast("double").alias("_n")))
     return (per_customer.where(F.col("_rows") > 0)
             .select(customer_id, "order_count", F.try_divide("_total", "_n").alias("average_order_value"))
             .orderBy(F.col("average_order_value").desc()))
@@ -246,11 +243,11 @@ def value_by_product_size(items: DataFrame, products: DataFrame, classifier=clas
     shuffle feeding it are product-sized, not item-sized.
     """
     per_product = items.groupBy(product_id).agg(
-        F.sum(F.col(price).cast(MONEY)).alias("_sum"), F.count(price).alias("_n"))
+        F.sum(cents(price)).alias("_sum"), F.count(price).alias("_n"))
     classes = size_classified(products, classifier, product_id=product_id, **dimension_columns)
     joined = per_product.join(classes.select(product_id, "product_size_category"), product_id)
     return (joined.groupBy("product_size_category")
-            .agg(F.sum("_sum").cast("double").alias("_sum"), F.sum("_n").cast("double").alias("_n"))
+            .agg(from_cents(F.sum("_sum")).alias("_sum"), F.sum("_n").cast("double").alias("_n"))
             .select("product_size_category",
                     round_half_up(F.try_divide("_sum", "_n"), 2).alias("average_order_value")))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.functions import classify
-from orderlens.functions.scalar import text_to_timestamp
+from orderlens.functions.scalar import exact_sum, text_to_timestamp
 from orderlens.operators import cleaning, quality, relational
 from orderlens.plans import analyses as A
 from orderlens.sources.fixtures import PAYMENT_TYPES, UNDEFINED_PAYMENT_TYPE, OrderViews, with_views
@@ -407,10 +407,8 @@ SELECT p.order_id, p.paid_value, g.goods_value, p.paid_value - g.goods_value AS
        {_margin_case('(p.paid_value - g.goods_value)')} AS margin_category
 FROM paid p JOIN goods g ON p.order_id = g.order_id""")
 def _u1(v: OrderViews) -> DataFrame:
-    paid = v.payments.groupBy("order_id").agg(
-        F.sum(F.col("payment_value").cast("decimal(18,2)")).cast("double").alias("paid_value"))
-    goods = v.items_bucketed.groupBy("order_id").agg(
-        F.sum(F.col("price").cast("decimal(18,2)")).cast("double").alias("goods_value"))
+    paid = v.payments.groupBy("order_id").agg(exact_sum("payment_value").alias("paid_value"))
+    goods = v.items_bucketed.groupBy("order_id").agg(exact_sum("price").alias("goods_value"))
     margin = F.col("paid_value") - F.col("goods_value")
     return paid.join(goods, "order_id").select(
         "order_id", "paid_value", "goods_value", margin.alias("margin_activity"),

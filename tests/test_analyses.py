@@ -127,7 +127,7 @@ def test_value_by_product_size(spark):
     products = spark.createDataFrame([("p1", 20, 20, 20, 500), ("p2", 30, 30, 30, 900), ("p3", None, 1, 1, 1)],
                                      "product_id string, product_length_cm int, product_width_cm int, "
                                      "product_height_cm int, product_weight_g int")
-    items = spark.createDataFrame([("p1", 10.0), ("p1", 20.005), ("p2", 7.0), ("p3", 1.0), ("p9", 99.0)],
+    items = spark.createDataFrame([("p1", 10.0), ("p1", 20.01), ("p2", 7.0), ("p3", 1.0), ("p9", 99.0)],
                                   "product_id string, price double")
     got = {r.product_size_category: r.average_order_value for r in A.value_by_product_size(items, products).collect()}
     assert got == {"Small": 15.01, "Medium": 7.0, "Unknown": 1.0}

@@ -4,6 +4,7 @@ import math
 from pyspark.sql import functions as F
 
 from orderlens.functions import (
+    cents, exact_avg, exact_sum,
     growth_pct, hour_of, margin_category, month_key, product_size_class, round_half_up,
     text_to_timestamp, weekday_name, year_of,
 )
@@ -65,3 +66,12 @@ def test_text_to_timestamp(spark):
     df = spark.createDataFrame([("2017-10-02 10:56:33",), ("not a time",)], "t string")
     got = [r[0] for r in df.select(text_to_timestamp("t")).collect()]
     assert got == [dt.datetime(2017, 10, 2, 10, 56, 33), None]
+
+
+def test_money_sums_are_exact_cents(spark):
+    df = spark.createDataFrame([(0.1,), (0.2,), (0.29,), (104997.88,), (None,)], "x double")
+    r = df.select(exact_sum("x").alias("s"), exact_avg("x").alias("a"), F.sum(cents("x")).alias("c")).first()
+    assert r.c == 10 + 20 + 29 + 10499788
+    assert r.s == 104998.47            # 0.1 + 0.2 + 0.29 in doubles would not be exact
+    assert r.a == 104998.47 / 4
+    assert df.where("x is null").select(exact_sum("x")).first()[0] is None
