@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlens.operators.relational import sized_broadcast
+from orderlens.operators.relational import lookup_column
 
 _FLOATING = (T.FloatType, T.DoubleType)
 
@@ -85,15 +85,14 @@ def fill_numeric(df: DataFrame, value: float = 0, subset: Iterable[str] | None =
 
 
 def lookup_translate(df: DataFrame, lookup: DataFrame, key: str, translated: str,
-                     max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Replace ``key`` by its translation from ``lookup`` (left join).
+                     max_entries: int = 1_000, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Replace ``key`` by its translation from ``lookup`` (left join semantics).
 
-    Keys without a translation become null.  The lookup is broadcast only
-    when a row count proves it small.
+    Keys without a translation become null.  A small lookup is applied as a
+    map expression; a large one as a left join (see ``lookup_column``).
     """
-    small = sized_broadcast(lookup.select(F.col(key), F.col(translated)), max_broadcast_rows)
-    joined = df.join(small, on=key, how="left")
-    return joined.select([F.col(translated).alias(key) if c == key else F.col(c) for c in df.columns])
+    out = lookup_column(df, key, lookup, key, translated, "_translated", max_entries, max_broadcast_rows)
+    return out.select([F.col("_translated").alias(key) if c == key else F.col(c) for c in df.columns])
 
 
 def conditional_override(df: DataFrame, target: str, condition: Column, value) -> DataFrame:

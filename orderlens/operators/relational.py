@@ -19,6 +19,29 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+def lookup_column(df: DataFrame, key: str, lookup: DataFrame, lookup_key: str, lookup_value: str,
+                  alias: str, max_entries: int = 1_000, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Add ``alias`` = ``lookup_value`` of the ``lookup`` row whose ``lookup_key`` equals ``key``.
+
+    Left-join semantics: no match gives null.  A code table of at most
+    ``max_entries`` rows with unique keys becomes a map literal evaluated in
+    the projection: no join, no exchange, and the frame keeps its own size
+    estimate.  Larger tables, or keys that repeat (where the join multiplies
+    rows), fall back to a left join, broadcast only below
+    ``max_broadcast_rows``.
+    """
+    rows = lookup.select(lookup_key, lookup_value).limit(max_entries + 1).collect()
+    keys = [r[0] for r in rows]
+    if len(rows) <= max_entries and len(set(keys)) == len(keys) and None not in keys:
+        if not rows:
+            return df.withColumn(alias, F.lit(None).cast(lookup.schema[lookup_value].dataType))
+        mapping = F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
+        return df.withColumn(alias, F.try_element_at(mapping, F.col(key)))
+    right = lookup.select(F.col(lookup_key).alias("_lookup_key"), F.col(lookup_value).alias(alias))
+    right = sized_broadcast(right, max_broadcast_rows)
+    return df.join(right, F.col(key) == F.col("_lookup_key"), "left").drop("_lookup_key")
+
+
 def semi_filter(df: DataFrame, *conditions: tuple[DataFrame, str | Sequence[str]]) -> DataFrame:
     """Keep rows of ``df`` that have a partner in each ``(other, key)`` (EXISTS).
 

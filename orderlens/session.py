@@ -19,11 +19,6 @@ def recommended_conf(shuffle_partitions: int = 8) -> dict[str, str]:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        # Broadcast only from measured sizes: static estimates multiply join
-        # inputs and can be far off either way.  AQE converts a shuffle join to
-        # a broadcast once a side's shuffle output is known to be small.
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.caseSensitive": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.operators import cleaning
+from orderlens.operators import cleaning, relational
 
 # Fixed values of the mapping.
 UNDEFINED_PAYMENT_TYPE = "4-NOT SPECIFIED"  # plays the reference's "not_defined" type
@@ -31,18 +31,20 @@ class OrderViews:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _state_of(self, df: DataFrame, nation_key: str, alias: str) -> DataFrame:
+        """The nation's name plays the state; the nation table is a code table."""
+        return relational.lookup_column(df, nation_key, self.table("nation"), "n_nationkey", "n_name", alias)
+
     @cached_property
     def customers(self) -> DataFrame:
-        c, n = self.table("customer"), self.table("nation")
-        return c.join(n, c.c_nationkey == n.n_nationkey).select(
-            c.c_custkey.alias("customer_id"), c.c_name.alias("customer_unique_id"),
-            n.n_name.alias("customer_state"))
+        c = self._state_of(self.table("customer"), "c_nationkey", "customer_state")
+        return c.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_unique_id"),
+                        "customer_state")
 
     @cached_property
     def sellers(self) -> DataFrame:
-        s, n = self.table("supplier"), self.table("nation")
-        return s.join(n, s.s_nationkey == n.n_nationkey).select(
-            s.s_suppkey.alias("seller_id"), n.n_name.alias("seller_state"))
+        s = self._state_of(self.table("supplier"), "s_nationkey", "seller_state")
+        return s.select(F.col("s_suppkey").alias("seller_id"), "seller_state")
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -127,9 +129,9 @@ _ORDERS_NOT_NULL = ("order_id IS NOT NULL AND customer_id IS NOT NULL AND order_
 
 SQL_VIEWS: dict[str, str] = {
     "ol_customers": """SELECT c.c_custkey AS customer_id, c.c_name AS customer_unique_id,
-        n.n_name AS customer_state FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey""",
+        n.n_name AS customer_state FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey""",
     "ol_sellers": """SELECT s.s_suppkey AS seller_id, n.n_name AS seller_state
-        FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey""",
+        FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey""",
     "ol_orders": """SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus AS order_status,
         o_orderdate AS order_purchase_timestamp,
         CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate + INTERVAL 1 DAY END AS order_approved_at
