@@ -40,3 +40,12 @@ def test_publish_and_sql_source(spark):
     assert names == ["test_t_a"]
     assert run_sql(spark, "SELECT v FROM test_t_a").first().v == "x"
     assert run_sql(spark, "SELECT v FROM {a} WHERE k = 1", a=a).first().v == "x"
+
+
+def test_declared_driver_schemas_match_files(spark):
+    from orderlens.sources.fixtures import DRIVER_SCHEMAS
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        for name, ddl in DRIVER_SCHEMAS.items():
+            on_disk = spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet").schema
+            declared = spark.read.schema(ddl).parquet(f"/root/testdata/{sf}/{name}.parquet").schema
+            assert [(f.name, f.dataType) for f in on_disk] == [(f.name, f.dataType) for f in declared], (sf, name)
