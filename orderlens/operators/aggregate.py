@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.functions.scalar import exact_sum, float32, growth_pct, month_key, round_half_up
+from orderlens.functions.scalar import exact_sum, float32, growth_pct, round_half_up
 
 
 def discover_values(df: DataFrame, column: str, max_values: int = 10_000) -> list:
@@ -82,14 +82,15 @@ def period_growth(df: DataFrame, key: str, ts: str, amount: str, calendar: bool
     runs on the (key, month) aggregate, so even a key holding a third of all
     rows contributes one row per month.
     """
-    monthly = (df.groupBy(F.col(key), month_key(ts).alias(period_name))
-               .agg(exact_sum(amount).alias("_sum")))
-    w = Window.partitionBy(key).orderBy(F.col(period_name).asc_nulls_first())
+    # Group on the month's first day (a date) and format the key only on the
+    # aggregated rows: no string formatting per input row.
+    month = F.trunc(F.col(ts).cast("date"), "month")
+    monthly = df.groupBy(F.col(key), month.alias("_month")).agg(exact_sum(amount).alias("_sum"))
+    w = Window.partitionBy(key).orderBy(F.col("_month").asc_nulls_first())
     monthly = monthly.withColumn(value_name, float32("_sum"))
     prev = F.lag(value_name).over(w)
     if calendar:
-        index = F.year(F.to_date(F.col(period_name), "yyyy-MM")) * 12 + F.month(F.to_date(F.col(period_name), "yyyy-MM"))
-        prev = F.when(F.lag(index).over(w) == index - 1, prev)
-    monthly = monthly.withColumn(prev_name, prev)
+        prev = F.when(F.lag("_month").over(w) == F.add_months("_month", -1), prev)
+    monthly = monthly.withColumn(prev_name, prev).withColumn(period_name, F.date_format("_month", "yyyy-MM"))
     return monthly.select(key, period_name, value_name, prev_name,
                           growth_pct(value_name, prev_name).alias(growth_name))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import classify
 from orderlens.functions.scalar import (
-    WEEKDAYS, cents, exact_sum, from_cents, hour_of, round_half_up, weekday_name, year_of,
+    WEEKDAYS, cents, exact_sum, from_cents, hour_of, round_half_up, year_of,
 )
 from orderlens.operators import aggregate, cleaning, relational
 from orderlens.sources.catalog import run_sql
@@ -164,9 +164,14 @@ def hour_weekday_matrix(orders: DataFrame, *, ts: str = "order_purchase_timestam
     is null.  The seven weekday columns always exist.
     """
     rows = cleaning.dedupe_rows(orders.select(ts, order_id))
-    rows = rows.select(hour_of(ts).alias("hour"), weekday_name(ts).alias("_day"), F.col(order_id))
-    matrix = aggregate.pivot_count(rows, "hour", "_day", counted=order_id, values=WEEKDAYS, fill=None)
-    return matrix.select("hour", *WEEKDAYS).orderBy(F.col("hour").desc())
+    # Pivot on the weekday number and name the seven columns afterwards, so no
+    # day name is formatted per row (Spark numbers days 1 = Sunday .. 7 = Saturday).
+    rows = rows.select(hour_of(ts).alias("hour"), F.dayofweek(F.col(ts).cast("date")).alias("_day"),
+                       F.col(order_id))
+    numbers = [(i + 1) % 7 + 1 for i in range(len(WEEKDAYS))]   # Monday -> 2 ... Sunday -> 1
+    matrix = aggregate.pivot_count(rows, "hour", "_day", counted=order_id, values=numbers, fill=None)
+    named = [F.col(f"`{n}`").alias(d) for n, d in zip(numbers, WEEKDAYS)]
+    return matrix.select("hour", *named).orderBy(F.col("hour").desc())
 
 
 # Q6 ---------------------------------------------------------------------------------------------

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.functions import classify
-from orderlens.functions.scalar import exact_sum, text_to_timestamp
+from orderlens.functions.scalar import (
+    exact_sum, hour_of, month_key, text_to_timestamp, weekday_name, year_of,
+)
 from orderlens.operators import cleaning, quality, relational
 from orderlens.plans import analyses as A
 from orderlens.sources.fixtures import PAYMENT_TYPES, UNDEFINED_PAYMENT_TYPE, OrderViews, with_views
@@ -424,10 +426,18 @@ def _u2(v: OrderViews) -> DataFrame:
 @register("scalar_casts", """
 SELECT order_id, CAST(order_purchase_timestamp AS VARCHAR) AS purchase_text,
        TRY_CAST(CAST(order_purchase_timestamp AS VARCHAR) AS TIMESTAMP) AS purchase_ts,
-       TRY_CAST(order_status AS TIMESTAMP) AS status_ts
+       TRY_CAST(order_status AS TIMESTAMP) AS status_ts,
+       dayname(order_purchase_timestamp) AS purchase_day,
+       CAST(hour(order_purchase_timestamp) AS INTEGER) AS purchase_hour,
+       strftime(order_purchase_timestamp, '%Y-%m') AS purchase_month,
+       CAST(year(order_approved_at) AS INTEGER) AS approved_year
 FROM ol_orders""")
 def _f5(v: OrderViews) -> DataFrame:
     text = F.col("order_purchase_timestamp").cast("string")
     return v.orders.select("order_id", text.alias("purchase_text"),
                            text_to_timestamp(text).alias("purchase_ts"),
-                           text_to_timestamp("order_status").alias("status_ts"))
+                           text_to_timestamp("order_status").alias("status_ts"),
+                           weekday_name("order_purchase_timestamp").alias("purchase_day"),
+                           hour_of("order_purchase_timestamp").alias("purchase_hour"),
+                           month_key("order_purchase_timestamp").alias("purchase_month"),
+                           year_of("order_approved_at").alias("approved_year"))

@@ -93,7 +93,7 @@ class OrderViews:
     @cached_property
     def items_bucketed(self) -> DataFrame:
         """Prices rounded to whole buckets, so equal-priced items of one seller occur."""
-        return self._items(F.round(F.col("l_extendedprice") / PRICE_BUCKET) * PRICE_BUCKET)
+        return self._items(F.floor(F.col("l_extendedprice") / PRICE_BUCKET + 0.5).cast("double") * PRICE_BUCKET)
 
     @cached_property
     def payments(self) -> DataFrame:
@@ -161,7 +161,7 @@ SQL_VIEWS: dict[str, str] = {
         l_suppkey AS seller_id, l_extendedprice AS price FROM lineitem""",
     "ol_items_bucketed": f"""SELECT l_orderkey AS order_id, l_linenumber AS order_item_id,
         l_partkey AS product_id, l_suppkey AS seller_id,
-        round(l_extendedprice / {PRICE_BUCKET}) * {PRICE_BUCKET} AS price FROM lineitem""",
+        CAST(floor(l_extendedprice / {PRICE_BUCKET} + 0.5) AS DOUBLE) * {PRICE_BUCKET} AS price FROM lineitem""",
     "ol_payments": """SELECT o_orderkey AS order_id, 1 AS payment_sequential, o_orderpriority AS payment_type,
             CAST(1 + o_orderkey % 12 AS INTEGER) AS payment_installments, o_totalprice AS payment_value
         FROM orders
