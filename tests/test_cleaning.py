@@ -67,3 +67,24 @@ def test_dedupe_rows_nan_equal(spark):
 def test_copy_column(spark):
     df = spark.createDataFrame([("SP", None)], "a string, b string")
     assert cleaning.copy_column(df, "b", "a").first().b == "SP"
+
+
+def test_lookup_column_map_and_join_paths_agree(spark):
+    from orderlens.operators.relational import lookup_column
+    df = spark.createDataFrame([(1,), (2,), (3,), (None,)], "k int")
+    lookup = spark.createDataFrame([(1, "a"), (2, "b")], "lk int, lv string")
+    as_map = lookup_column(df, "k", lookup, "lk", "lv", "v")
+    as_join = lookup_column(df, "k", lookup, "lk", "lv", "v", max_entries=1)
+    assert "Join" not in as_map._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in as_join._jdf.queryExecution().optimizedPlan().toString()
+    expected = [(1, "a"), (2, "b"), (3, None), (None, None)]
+    for out in (as_map, as_join):
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_lookup_column_repeated_keys_keep_join_semantics(spark):
+    from orderlens.operators.relational import lookup_column
+    df = spark.createDataFrame([(1,), (2,)], "k int")
+    lookup = spark.createDataFrame([(1, "a"), (1, "b")], "lk int, lv string")
+    got = sorted(map(tuple, lookup_column(df, "k", lookup, "lk", "lv", "v").collect()), key=str)
+    assert got == [(1, "a"), (1, "b"), (2, None)]
