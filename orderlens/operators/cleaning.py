@@ -55,18 +55,22 @@ def replace_values(df: DataFrame, mapping: dict[str, str],
     return df.replace(mapping, subset=subset) if subset else df
 
 
+def _missing(column: str, dtype: T.DataType) -> Column:
+    c = F.col(column)
+    return (c.isNull() | F.isnan(c)) if isinstance(dtype, _FLOATING) else c.isNull()
+
+
 def missing(df: DataFrame, column: str) -> Column:
     """True when the cell is null, or NaN in a floating-point column."""
-    c = F.col(column)
-    if isinstance(df.schema[column].dataType, _FLOATING):
-        return c.isNull() | F.isnan(c)
-    return c.isNull()
+    return _missing(column, df.schema[column].dataType)
 
 
 def all_present(df: DataFrame, subset: Iterable[str] | None = None) -> Column:
+    """True when no column of ``subset`` (default: all) is missing."""
+    types = {f.name: f.dataType for f in df.schema.fields}
     cond = F.lit(True)
-    for name in (list(subset) if subset is not None else df.columns):
-        cond = cond & ~missing(df, name)
+    for name in (list(subset) if subset is not None else list(types)):
+        cond = cond & ~_missing(name, types[name])
     return cond
 
 

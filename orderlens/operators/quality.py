@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.operators.cleaning import all_present, missing
+from orderlens.operators.cleaning import _missing, all_present
 
 
 def clean_counts(df: DataFrame, subset: Iterable[str] | None = None) -> DataFrame:
@@ -23,7 +23,8 @@ def null_audit(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame
     cols = list(columns) if columns is not None else df.columns
     aggs = [F.count(F.lit(1)).alias("rows_total"),
             F.count_if(~all_present(df, cols)).alias("rows_with_null")]
-    aggs += [F.count_if(missing(df, c)).alias(f"{c}_nulls") for c in cols]
+    types = {f.name: f.dataType for f in df.schema.fields}
+    aggs += [F.count_if(_missing(c, types[c])).alias(f"{c}_nulls") for c in cols]
     return df.agg(*aggs)
 
 

@@ -51,9 +51,14 @@ class OrderViews:
             reader = reader.schema(DRIVER_SCHEMAS[name])
         return reader.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def _nation_names(self):
+        return relational.small_lookup_map(self.table("nation"), "n_nationkey", "n_name")
+
     def _state_of(self, df: DataFrame, nation_key: str, alias: str) -> DataFrame:
         """The nation's name plays the state; the nation table is a code table."""
-        return relational.lookup_column(df, nation_key, self.table("nation"), "n_nationkey", "n_name", alias)
+        return relational.lookup_column(df, nation_key, self.table("nation"), "n_nationkey", "n_name", alias,
+                                        mapping=self._nation_names)
 
     @cached_property
     def customers(self) -> DataFrame:
