@@ -67,13 +67,6 @@ def q4_straight(v, spark):
                     classify.margin_category(m).alias("margin_category"))
 
 
-def q8_straight(v):
-    counts = v.clean_orders.groupBy("customer_id").agg(F.count("order_id").alias("order_count"))
-    means = (v.clean_orders.join(v.clean_payments, "order_id").groupBy("customer_id")
-             .agg(F.avg("payment_value").alias("average_order_value")))
-    return counts.join(means, "customer_id").orderBy(F.desc("average_order_value"))
-
-
 def q1_discover_on_join(v):
     rows = (v.clean_orders.join(v.customers, "customer_id").join(v.clean_payments, "order_id"))
     return aggregate.pivot_count(rows, "customer_state", "payment_type", counted="order_id", values=None)
@@ -92,8 +85,6 @@ def main():
             lambda: A.state_trade_balance(A.item_route(spark, v.items_bucketed, v.sellers, v.clean_orders,
                                                        v.customers)),
             lambda: q4_straight(v, spark)),
-        "q8_per_order_fold_vs_two_aggregates": (lambda: A.customer_behaviour(v.clean_orders, v.clean_payments),
-                                                lambda: q8_straight(v)),
         "q1_payment_domain_vs_discover_on_join": (
             lambda: A.pivot_payment_type_by_state(v.clean_orders, v.customers, v.clean_payments),
             lambda: q1_discover_on_join(v)),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import classify
 from orderlens.functions.scalar import (
-    WEEKDAYS, cents, exact_sum, from_cents, hour_of, round_half_up, year_of,
+    WEEKDAYS, cents, exact_avg, exact_sum, from_cents, hour_of, round_half_up, year_of,
 )
 from orderlens.operators import aggregate, cleaning, relational
 from orderlens.sources.catalog import run_sql
@@ -204,24 +204,24 @@ def customer_behaviour(orders: DataFrame, payments: DataFrame, grain: str = "pay
     ``grain="order"``: the mean over orders of each order's payment total.
     Customers without any payment row are left out.
 
-    Payments are folded to one row per order before they meet the orders,
-    so one shuffle by order and one by customer serve both measures.
+    Both measures are partially aggregated per customer before any
+    customer-keyed shuffle, and they arrive partitioned by customer, so the
+    inner join between them adds no exchange.
     """
     if grain not in ("payment", "order"):
         raise ValueError("grain must be 'payment' or 'order'")
-    per_order = payments.groupBy(order_id).agg(
-        F.sum(cents(value)).alias("_paid"), F.count(value).alias("_values"),
-        F.count(F.lit(1)).alias("_rows"))
-    joined = orders.select(order_id, customer_id).join(per_order, order_id, "left")
+    counts = orders.groupBy(customer_id).agg(F.count(order_id).alias("order_count"))
+    located = orders.select(order_id, customer_id)
     if grain == "payment":
-        total, n = F.sum("_paid"), F.sum("_values")
+        paid = located.join(payments.select(order_id, value), order_id)
+        means = paid.groupBy(customer_id).agg(exact_avg(value).alias("average_order_value"))
     else:
-        total, n = F.sum("_paid"), F.count("_paid")
-    per_customer = (joined.where(F.col(customer_id).isNotNull()).groupBy(customer_id)
-                    .agg(F.count(order_id).alias("order_count"), F.sum("_rows").alias("_rows"),
-                         from_cents(total).alias("_total"), n.cast("double").alias("_n")))
-    return (per_customer.where(F.col("_rows") > 0)
-            .select(customer_id, "order_count", F.try_divide("_total", "_n").alias("average_order_value"))
+        per_order = payments.groupBy(order_id).agg(F.sum(cents(value)).alias("_paid"))
+        paid = located.join(per_order, order_id)
+        means = paid.groupBy(customer_id).agg(
+            F.try_divide(from_cents(F.sum("_paid")), F.count("_paid").cast("double")).alias("average_order_value"))
+    return (counts.join(means, customer_id)
+            .select(customer_id, "order_count", "average_order_value")
             .orderBy(F.col("average_order_value").desc()))
 
 
