@@ -104,10 +104,6 @@ def main():
         else:
             a, b = timed(ours(), runs), timed(straight(), runs)
         print(json.dumps({"pair": name, "ours_sec": a, "straight_sec": b, "sf_dir": sf_dir}), flush=True)
-    # join-strategy policy on the whole Q4
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
-    q4 = A.state_trade_balance(A.item_route(spark, v.items_bucketed, v.sellers, v.clean_orders, v.customers))
-    print(json.dumps({"pair": "q4_static_broadcast_10MB", "sec": timed(q4, runs), "sf_dir": sf_dir}), flush=True)
     spark.stop()
 
 
