@@ -42,13 +42,16 @@ def build_session(master: str = "local[*]", app_name: str = "orderlens",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; a local folder is only
-    set when nothing is configured (local tests).
+    ``spark.checkpoint.dir`` is read from the session.  Only a ``local[...]``
+    session without one gets a local folder (tests); on a cluster a missing
+    setting is an error, never a machine-local path.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     local = tempfile.mkdtemp(prefix="orderlens-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local

@@ -1,0 +1,55 @@
+"""One key holding a third (or more) of all rows: results stay exact and the plans
+keep map-side partial aggregation in front of every shuffle on that key."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from orderlens.plans import analyses as A
+
+
+def _executed(df) -> str:
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_customer_and_state(spark):
+    n = 30_000
+    orders = spark.range(n).select(F.col("id").alias("order_id"),
+                                   F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("customer_id"))
+    customers = spark.range(n).select(F.col("id").alias("customer_id"),
+                                      F.when(F.col("id") < 10, "HOT").otherwise(F.concat(F.lit("S"), (F.col("id") % 20).cast("string"))).alias("customer_state"))
+    got = {r.customer_state: r.order_count for r in A.orders_per_state(customers, orders).collect()}
+    own_orders_of_hot_customers = len([i for i in range(1, 10) if i % 3 != 0])
+    assert got["HOT"] == n // 3 + own_orders_of_hot_customers and sum(got.values()) == n
+    payments = orders.select("order_id", (F.col("order_id") % 7 + 1).cast("double").alias("payment_value"))
+    beh = A.customer_behaviour(orders, payments)
+    hot = beh.where("customer_id = 0").first()
+    assert hot.order_count == n // 3
+    plan = _executed(beh)
+    assert "partial_count" in plan and "partial_sum" in plan
+
+
+def test_hot_seller_month_window(spark):
+    n = 20_000
+    orders = spark.range(n).select(F.col("id").alias("order_id"),
+                                   F.make_timestamp_ntz(F.lit(2017), (F.col("id") % 12 + 1).cast("int"), F.lit(1),
+                                                        F.lit(0), F.lit(0), F.lit(0)).alias("order_purchase_timestamp"))
+    items = spark.range(n).select(F.col("id").alias("order_id"),
+                                  F.when(F.col("id") % 2 == 0, F.lit(1)).otherwise(F.col("id") % 50).alias("seller_id"),
+                                  F.lit(1.25).alias("price"))
+    out = A.seller_monthly_growth(orders, items)
+    hot = out.where("seller_id = 1").orderBy("year_month").collect()
+    assert len(hot) == 12                                # one window row per month, however hot
+    assert hot[0].prev_month_sales is None and hot[1].prev_month_sales == hot[0].monthly_sales
+    plan = _executed(out)
+    assert "partial_sum" in plan
+
+
+def test_many_copies_of_one_row_dedupe(spark):
+    route = spark.range(40_000).select(
+        F.when(F.col("id") < 20_000, F.lit(1)).otherwise(F.col("id")).alias("order_id"),
+        F.lit(10.0).alias("price"), F.lit(7).alias("seller_id"), F.lit("SP").alias("seller_state"),
+        F.lit(3).alias("customer_id"), F.lit("RJ").alias("customer_state"))
+    got = {r.customer_state: r.buy_value for r in A.state_trade_balance(route).collect()}
+    assert got == {"RJ": 10.0 * (1 + 20_000)}
