@@ -24,15 +24,21 @@ def discover_values(df: DataFrame, column: str, max_values: int = 10_000) -> lis
 
 
 def pivot_count(df: DataFrame, row: str | Sequence[str], column: str, counted: str,
-                values: Sequence | None = None, fill: int | None = 0) -> DataFrame:
+                values: Sequence | None = None, fill: int | None = 0,
+                null_label: str | None = None) -> DataFrame:
     """Count of non-null ``counted`` per ``row`` x value of ``column``.
 
     One output column per value, in the order of ``values`` (discovered and
-    sorted when not given).  Cells without rows are null; ``fill`` replaces
-    them (``None`` keeps nulls).  Map-side partial counts mean a hot row key
-    costs one row per partition in the shuffle.
+    sorted when not given).  A null value gets a column named ``null``, or
+    ``null_label`` when given.  Cells without rows are null; ``fill``
+    replaces them (``None`` keeps nulls).  Map-side partial counts mean a hot
+    row key costs one row per partition in the shuffle.
     """
     rows = [row] if isinstance(row, str) else list(row)
+    if null_label is not None:
+        df = df.withColumn(column, F.coalesce(F.col(column), F.lit(null_label)))
+        if values is not None:
+            values = [null_label if v is None else v for v in values]
     vals = list(values) if values is not None else discover_values(df, column)
     out = df.groupBy(*rows).pivot(column, vals).agg(F.count(F.col(counted)))
     if fill is not None:

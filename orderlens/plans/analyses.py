@@ -22,20 +22,22 @@ from orderlens.sources.catalog import run_sql
 
 # Q1 ---------------------------------------------------------------------------------------------
 def pivot_payment_type_by_state(orders: DataFrame, customers: DataFrame, payments: DataFrame,
-                                values: Sequence[str] | None = None, *, order_id: str = "order_id",
-                                customer_id: str = "customer_id", state: str = "customer_state",
-                                payment_type: str = "payment_type") -> DataFrame:
+                                values: Sequence[str] | None = None, null_label: str | None = None, *,
+                                order_id: str = "order_id", customer_id: str = "customer_id",
+                                state: str = "customer_state", payment_type: str = "payment_type") -> DataFrame:
     """Payment rows per state and payment type, one column per type, empty cells 0.
 
     Without ``values`` the types are the sorted distinct types of
     ``payments`` (one small job): a type with no matching order then shows
-    as a column of zeros.
+    as a column of zeros.  Payments without a type are counted in a column
+    named ``null``, or ``null_label`` when given.
     """
     if values is None:
         values = aggregate.discover_values(payments, payment_type)
     located = orders.select(order_id, customer_id).join(customers.select(customer_id, state), customer_id)
     rows = located.join(payments.select(order_id, payment_type), order_id)
-    return aggregate.pivot_count(rows, state, payment_type, counted=order_id, values=values, fill=0)
+    return aggregate.pivot_count(rows, state, payment_type, counted=order_id, values=values, fill=0,
+                                 null_label=null_label)
 
 
 # Q2 ---------------------------------------------------------------------------------------------

@@ -47,7 +47,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     ``schema`` is a ``StructType``, a DDL string or a key of ``SCHEMAS``.
     Without a schema, types are inferred only when ``infer_schema`` is set;
     otherwise every column is read as string.  A UTF-8 BOM and CRLF line
-    ends are handled by Spark's reader.
+    ends are handled by Spark's reader.  With a declared schema the columns
+    are taken by position, as Spark does by default; pass
+    ``enforceSchema="false"`` to have the header names checked instead.
     """
     reader = spark.read.option("header", True).options(**options)
     if isinstance(schema, str) and schema in SCHEMAS:

@@ -188,3 +188,15 @@ def test_state_counts_left_join(spark):
     sellers = spark.createDataFrame([("s1", "SP"), ("s2", "SP"), ("s3", "MG")], "seller_id string, seller_state string")
     got = {tuple(r) for r in A.state_counts_left_join(buyers, sellers).collect()}
     assert got == {("SP", 1, "SP", 2), ("RJ", 1, "RJ", 0)}
+
+
+def test_pivot_null_type_column_and_label(spark):
+    orders = spark.createDataFrame([("o1", "c1"), ("o2", "c1")], "order_id string, customer_id string")
+    customers = spark.createDataFrame([("c1", "SP")], "customer_id string, customer_state string")
+    pays = spark.createDataFrame([("o1", None), ("o2", "boleto")], "order_id string, payment_type string")
+    plain = A.pivot_payment_type_by_state(orders, customers, pays)
+    assert plain.columns == ["customer_state", "null", "boleto"]
+    assert tuple(plain.first()) == ("SP", 1, 1)
+    labelled = A.pivot_payment_type_by_state(orders, customers, pays, null_label="unknown")
+    assert labelled.columns == ["customer_state", "unknown", "boleto"]   # the label takes the null column's place
+    assert tuple(labelled.first()) == ("SP", 1, 1)
