@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows.  Above the bound the frame
-    is returned unchanged and Spark picks a shuffle join (AQE may still turn
-    it into a broadcast from measured sizes).
+    The check is a row count that needs no column data (Parquet answers it
+    from row-group metadata) and stops each partition after ``max_rows + 1``
+    rows.  Above the bound the frame is returned unchanged and Spark picks a
+    shuffle join (AQE may still turn it into a broadcast from measured sizes).
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
