@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_module
-from conftest import SF_ORACLE, SF_SMALL
+from conftest import SF_ORACLE
 from oracle import compare, duck
 
 QUERIES = entry_module.queries()

@@ -1,8 +1,6 @@
 """One key holding a third (or more) of all rows: results stay exact and the plans
 keep map-side partial aggregation in front of every shuffle on that key."""
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from orderlens.plans import analyses as A

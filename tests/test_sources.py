@@ -1,5 +1,3 @@
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from orderlens.sources import SCHEMAS, publish, read_csv, run_sql, write_result
