@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orderlens.plans import analyses as A
+from orderlens.plans.display import with_display_names
 from orderlens.plans.preparation import prepare_tables
 from orderlens.sources import SCHEMAS, read_csv, read_parquet, write_result
 
@@ -65,12 +66,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     parser.add_argument("--out", help="folder for the results (Parquet, one folder per analysis)")
     parser.add_argument("--show", action="store_true", help="print 20 rows of each result")
     parser.add_argument("--trim", action="store_true", help="also trim sellers and geolocation")
+    parser.add_argument("--display-names", action="store_true",
+                        help="name result columns as the original outputs do")
     args = parser.parse_args(argv)
     paths = dict(item.split("=", 1) for item in args.table)
     if spark is None:
         from orderlens.session import build_session
         spark = build_session()
     results = run_all(spark, load(spark, paths), trim=args.trim)
+    if args.display_names:
+        results = {name: with_display_names(df, name) for name, df in results.items()}
     for name, df in results.items():
         if args.out:
             write_result(df, f"{args.out.rstrip('/')}/{name}")

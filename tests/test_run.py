@@ -65,3 +65,10 @@ def test_prepare_tables_cleaning_steps(spark):
     assert [r[0] for r in t["geolocation"].collect()] == ["sao paulo", "São Paulo"]
     assert t["orders"].count() == 1
     assert prepare_tables({"sellers": sellers}, trim=True)["sellers"].first().seller_city == "a b"
+
+
+def test_display_names(spark):
+    from orderlens.plans.display import with_display_names
+    df = spark.createDataFrame([("boleto", 1.0, 2.0)], "payment_type string, total_payment_value double, avg_installments double")
+    assert with_display_names(df, "payment_summary").columns == ["Payment_type", "Total Payment Value", "Avg Installments"]
+    assert with_display_names(df, "no_such_analysis").columns == df.columns
