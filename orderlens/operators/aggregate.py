@@ -47,6 +47,22 @@ def pivot_count(df: DataFrame, row: str | Sequence[str], column: str, counted: s
     return out
 
 
+def pivot_sum(df: DataFrame, row: str | Sequence[str], column: str, summed: str,
+              values: Sequence | None = None, fill: int | None = 0,
+              null_label: str | None = None) -> DataFrame:
+    """Sum of ``summed`` per ``row`` x value of ``column``; same layout rules as ``pivot_count``."""
+    rows = [row] if isinstance(row, str) else list(row)
+    if null_label is not None:
+        df = df.withColumn(column, F.coalesce(F.col(column), F.lit(null_label)))
+        if values is not None:
+            values = [null_label if v is None else v for v in values]
+    vals = list(values) if values is not None else discover_values(df, column)
+    out = df.groupBy(*rows).pivot(column, vals).agg(F.sum(F.col(summed)))
+    if fill is not None:
+        out = out.na.fill(fill, subset=[c for c in out.columns if c not in rows])
+    return out
+
+
 def share_with_running_total(df: DataFrame, key: str, counted: str, distinct: bool = False,
                              count_name: str = "n", share_name: str = "share_pct",
                              running_name: str = "running_share_pct", scale: int = 2) -> DataFrame:
