@@ -249,6 +249,13 @@ def _q10(v: OrderViews) -> DataFrame:
     return A.seller_monthly_growth(v.clean_orders, v.items)
 
 
+@register("seller_monthly_growth_bucketed", _GROWTH_SQL.format(prev="prev_sales").replace(
+    "JOIN ol_items i ON", "JOIN ol_items_bucketed i ON"))
+def _q10_bucketed(v: OrderViews) -> DataFrame:
+    """Bucketed prices make whole months sum to 0, so growth against a zero month is exercised."""
+    return A.seller_monthly_growth(v.clean_orders, v.items_bucketed)
+
+
 @register("seller_monthly_growth_calendar", _GROWTH_SQL.format(prev=_CALENDAR_PREV))
 def _q10_calendar(v: OrderViews) -> DataFrame:
     return A.seller_monthly_growth(v.clean_orders, v.items, calendar=True)
