@@ -155,6 +155,34 @@ def _q1(v: OrderViews) -> DataFrame:
     return A.pivot_payment_type_by_state(v.clean_orders, v.customers, v.clean_payments)
 
 
+def _pivot_sql(payments_view: str, null_column: str | None) -> str:
+    cells = [f"count(*) FILTER (WHERE p.payment_type = '{t}') AS \"{t}\"" for t in PAYMENT_TYPES]
+    if null_column is not None:
+        cells.insert(0, f"count(*) FILTER (WHERE p.payment_type IS NULL) AS \"{null_column}\"")
+    return (f"SELECT d.customer_state, {', '.join(cells)} FROM ol_clean_orders o "
+            f"JOIN ol_customers d ON o.customer_id = d.customer_id "
+            f"JOIN {payments_view} p ON o.order_id = p.order_id GROUP BY d.customer_state")
+
+
+@register("pivot_payment_type_by_state_null_type", _pivot_sql("ol_payments_partly_untyped", "null"))
+def _q1_null_type(v: OrderViews) -> DataFrame:
+    return A.pivot_payment_type_by_state(v.clean_orders, v.customers, v.payments_partly_untyped)
+
+
+@register("pivot_payment_type_by_state_unknown_label", _pivot_sql("ol_payments_partly_untyped", "unknown"))
+def _q1_unknown_label(v: OrderViews) -> DataFrame:
+    return A.pivot_payment_type_by_state(v.clean_orders, v.customers, v.payments_partly_untyped,
+                                         null_label="unknown")
+
+
+@register("payment_summary_null_type", f"""
+SELECT payment_type, {_money_sum('payment_value')} AS total_payment_value,
+       avg(payment_installments) AS avg_installments
+FROM ol_payments_partly_untyped GROUP BY payment_type""")
+def _q6_null_type(v: OrderViews) -> DataFrame:
+    return A.payment_summary(v.payments_partly_untyped)
+
+
 @register("active_sellers_by_year", _ACTIVE_SQL.format(where=""))
 def _q2(v: OrderViews) -> DataFrame:
     return A.active_sellers_by_year(v.items, v.clean_orders, v.clean_payments, v.sellers, v.products)

@@ -19,6 +19,7 @@ UNDEFINED_PAYMENT_TYPE = "4-NOT SPECIFIED"  # plays the reference's "not_defined
 PAYMENT_TYPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 UNTRANSLATED_TYPES = ["PROMO", "STANDARD"]
 PRICE_BUCKET = 10_000
+UNTYPED_EVERY = 97
 
 
 # Column layout of the driver tables, declared so that reading them needs no
@@ -115,6 +116,13 @@ class OrderViews:
     def clean_payments(self) -> DataFrame:
         return cleaning.zero_undefined_installments(self.payments, undefined=UNDEFINED_PAYMENT_TYPE)
 
+    @cached_property
+    def payments_partly_untyped(self) -> DataFrame:
+        """Clean payments with no type on every order whose key is a multiple of 97."""
+        p = self.clean_payments
+        return p.withColumn("payment_type", F.when(p.order_id % UNTYPED_EVERY == 0, F.lit(None))
+                            .otherwise(p.payment_type))
+
     @cached_property
     def products(self) -> DataFrame:
         p = self.table("part")
@@ -176,6 +184,9 @@ SQL_VIEWS: dict[str, str] = {
     "ol_clean_payments": f"""SELECT order_id, payment_sequential, payment_type,
         CASE WHEN payment_type = '{UNDEFINED_PAYMENT_TYPE}' THEN 0 ELSE payment_installments END
             AS payment_installments, payment_value FROM ol_payments""",
+    "ol_payments_partly_untyped": f"""SELECT order_id, payment_sequential,
+        CASE WHEN order_id % {UNTYPED_EVERY} = 0 THEN NULL ELSE payment_type END AS payment_type,
+        payment_installments, payment_value FROM ol_clean_payments""",
     "ol_products": """SELECT p_partkey AS product_id, p_type AS product_category_name,
         CAST(CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE p_size END AS INTEGER) AS product_length_cm,
         p_size AS product_width_cm, p_size AS product_height_cm,
