@@ -13,6 +13,7 @@ from __future__ import annotations
 import argparse
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from orderlens.plans import analyses as A
@@ -46,9 +47,10 @@ def load(spark: SparkSession, paths: dict[str, str]) -> Tables:
     return tables
 
 
-def run_all(spark: SparkSession, tables: Tables, trim: bool = False) -> dict[str, DataFrame]:
+def run_all(spark: SparkSession, tables: Tables, trim: bool = False,
+            prepared: Tables | None = None) -> dict[str, DataFrame]:
     """Every analysis whose input tables are present, as lazy DataFrames."""
-    t = prepare_tables(tables, trim=trim)
+    t = prepared if prepared is not None else prepare_tables(tables, trim=trim)
     results = {}
     for name, (needs, fn) in ANALYSES.items():
         if all(n in t for n in needs):
@@ -68,20 +70,37 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     parser.add_argument("--trim", action="store_true", help="also trim sellers and geolocation")
     parser.add_argument("--display-names", action="store_true",
                         help="name result columns as the original outputs do")
+    parser.add_argument("--persist", action="store_true",
+                        help="keep the cleaned orders and payments (memory, spilling to disk) while "
+                             "the analyses run; released at the end")
     args = parser.parse_args(argv)
     paths = dict(item.split("=", 1) for item in args.table)
     if spark is None:
         from orderlens.session import build_session
         spark = build_session()
-    results = run_all(spark, load(spark, paths), trim=args.trim)
+    prepared = prepare_tables(load(spark, paths), trim=args.trim)
+    kept = []
+    if args.persist:
+        # Six analyses start from the cleaned orders and three from the cleaned
+        # payments; computing them once serves all.  Lost blocks are rebuilt
+        # from lineage.
+        for name in ("orders", "payments"):
+            if name in prepared:
+                prepared[name] = prepared[name].persist(StorageLevel.MEMORY_AND_DISK)
+                kept.append(prepared[name])
+    results = run_all(spark, {}, prepared=prepared)
     if args.display_names:
         results = {name: with_display_names(df, name) for name, df in results.items()}
-    for name, df in results.items():
-        if args.out:
-            write_result(df, f"{args.out.rstrip('/')}/{name}")
-        if args.show:
-            print(name)
-            df.show(truncate=False)
+    try:
+        for name, df in results.items():
+            if args.out:
+                write_result(df, f"{args.out.rstrip('/')}/{name}")
+            if args.show:
+                print(name)
+                df.show(truncate=False)
+    finally:
+        for df in kept:
+            df.unpersist()
     return results
 
 

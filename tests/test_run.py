@@ -43,7 +43,8 @@ def test_cli_runs_all_analyses_from_csv(spark, tmp_path):
     for name, df in inputs.items():
         args += ["--table", f"{name}=" + _csv(df, str(tmp_path / f"{name}.csv"))]
     out = str(tmp_path / "out")
-    results = run.main(args + ["--out", out], spark=spark)
+    results = run.main(args + ["--out", out, "--persist"], spark=spark)
+    assert not [rdd for rdd in spark.sparkContext._jsc.getPersistentRDDs().values()]   # released
     assert len(results) == 10
     for name in results:
         assert spark.read.parquet(f"{out}/{name}").count() >= 1
