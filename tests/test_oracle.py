@@ -31,3 +31,17 @@ def test_entry_smoke(spark):
     assert len(rows) > 0
     assert df.columns == ["customer_state", "buy_value", "seller_state", "sell_value",
                           "margin_activity", "margin_category"]
+
+
+@pytest.mark.parametrize("name", ["hour_weekday_matrix", "seller_monthly_growth_calendar", "scalar_casts",
+                                  "active_sellers_by_year", "payment_summary"])
+def test_same_answer_without_ansi_in_another_zone(spark, con, name):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.ansi.enabled", "spark.sql.session.timeZone")}
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        ok, msg = compare(QUERIES[name](spark, SF_ORACLE), con, ORACLE[name])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert ok, msg
