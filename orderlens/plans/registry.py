@@ -387,16 +387,26 @@ def _c5(v: OrderViews) -> DataFrame:
     return cleaning.drop_nulls(v.orders.select("order_id", "order_approved_at"))
 
 
-@register("clean_lookup_translate", """
+_TRANSLATE_SQL = """
 SELECT p.product_id, t.product_category_name_english AS product_category_name, p.product_length_cm,
        p.product_width_cm, p.product_height_cm, p.product_weight_g
 FROM ol_products p LEFT JOIN ol_category_translation t
-  ON p.product_category_name = t.product_category_name""")
+  ON p.product_category_name = t.product_category_name"""
+
+
+@register("clean_lookup_translate", _TRANSLATE_SQL)
 def _c8(v: OrderViews) -> DataFrame:
     return cleaning.lookup_translate(v.products, v.category_translation, "product_category_name",
                                      "product_category_name_english")
 
 
+@register("clean_lookup_translate_join", _TRANSLATE_SQL)
+def _c8_join(v: OrderViews) -> DataFrame:
+    """The same translation through the left-join path (as for a lookup too large for a map)."""
+    return cleaning.lookup_translate(v.products, v.category_translation, "product_category_name",
+                                     "product_category_name_english", max_entries=0)
+
+
 @register("clean_conditional_override", "SELECT * FROM ol_clean_payments")
 def _c9(v: OrderViews) -> DataFrame:
     return cleaning.zero_undefined_installments(v.payments, undefined=UNDEFINED_PAYMENT_TYPE)
