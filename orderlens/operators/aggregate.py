@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.scalar import exact_sum, float32, growth_pct, round_half_up
@@ -23,44 +23,40 @@ def discover_values(df: DataFrame, column: str, max_values: int = 10_000) -> lis
     return [r[0] for r in rows]
 
 
-def pivot_count(df: DataFrame, row: str | Sequence[str], column: str, counted: str,
-                values: Sequence | None = None, fill: int | None = 0,
-                null_label: str | None = None) -> DataFrame:
-    """Count of non-null ``counted`` per ``row`` x value of ``column``.
-
-    One output column per value, in the order of ``values`` (discovered and
-    sorted when not given).  A null value gets a column named ``null``, or
-    ``null_label`` when given.  Cells without rows are null; ``fill``
-    replaces them (``None`` keeps nulls).  Map-side partial counts mean a hot
-    row key costs one row per partition in the shuffle.
-    """
+def _pivot(df: DataFrame, row: str | Sequence[str], column: str, measure: Column,
+           values: Sequence | None, fill: int | None, null_label: str | None) -> DataFrame:
     rows = [row] if isinstance(row, str) else list(row)
     if null_label is not None:
         df = df.withColumn(column, F.coalesce(F.col(column), F.lit(null_label)))
         if values is not None:
             values = [null_label if v is None else v for v in values]
     vals = list(values) if values is not None else discover_values(df, column)
-    out = df.groupBy(*rows).pivot(column, vals).agg(F.count(F.col(counted)))
+    out = df.groupBy(*rows).pivot(column, vals).agg(measure)
     if fill is not None:
-        pivoted = [c for c in out.columns if c not in rows]
-        out = out.na.fill(fill, subset=pivoted)
+        out = out.na.fill(fill, subset=[c for c in out.columns if c not in rows])
     return out
 
 
+def pivot_count(df: DataFrame, row: str | Sequence[str], column: str, counted: str,
+                values: Sequence | None = None, fill: int | None = 0,
+                null_label: str | None = None) -> DataFrame:
+    """Count of non-null ``counted`` per ``row`` x value of ``column``.
+
+    One output column per value, in the order of ``values`` (discovered and
+    sorted when not given).  A null value gets a column named ``null``, or
+    ``null_label`` when given (in the null column's place).  Cells without
+    rows are null; ``fill`` replaces them (``None`` keeps nulls).  Map-side
+    partial counts mean a hot row key costs one row per partition in the
+    shuffle.
+    """
+    return _pivot(df, row, column, F.count(F.col(counted)), values, fill, null_label)
+
+
 def pivot_sum(df: DataFrame, row: str | Sequence[str], column: str, summed: str,
               values: Sequence | None = None, fill: int | None = 0,
               null_label: str | None = None) -> DataFrame:
     """Sum of ``summed`` per ``row`` x value of ``column``; same layout rules as ``pivot_count``."""
-    rows = [row] if isinstance(row, str) else list(row)
-    if null_label is not None:
-        df = df.withColumn(column, F.coalesce(F.col(column), F.lit(null_label)))
-        if values is not None:
-            values = [null_label if v is None else v for v in values]
-    vals = list(values) if values is not None else discover_values(df, column)
-    out = df.groupBy(*rows).pivot(column, vals).agg(F.sum(F.col(summed)))
-    if fill is not None:
-        out = out.na.fill(fill, subset=[c for c in out.columns if c not in rows])
-    return out
+    return _pivot(df, row, column, F.sum(F.col(summed)), values, fill, null_label)
 
 
 def share_with_running_total(df: DataFrame, key: str, counted: str, distinct: bool = False,
