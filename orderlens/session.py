@@ -19,6 +19,10 @@ def recommended_conf(shuffle_partitions: int = 8) -> dict[str, str]:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Split a skewed join partition even where the split needs a further
+        # shuffle downstream (Q4 de-duplicates on the join's order-key
+        # partitioning); it only happens when skew is measured.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.caseSensitive": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",

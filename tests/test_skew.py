@@ -51,3 +51,40 @@ def test_many_copies_of_one_row_dedupe(spark):
         F.lit(3).alias("customer_id"), F.lit("RJ").alias("customer_state"))
     got = {r.customer_state: r.buy_value for r in A.state_trade_balance(route).collect()}
     assert got == {"RJ": 10.0 * (1 + 20_000)}
+
+
+def test_hot_order_key_in_trade_balance_is_split(spark):
+    """One order holding two thirds of the items: AQE splits its join partition (the
+    recommended session forces the split although the de-duplication then needs a
+    further shuffle), and the answer does not change."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    n = 60_000
+    items = spark.range(n).select(F.when(F.col("id") % 3 != 0, F.lit(0)).otherwise(F.col("id")).alias("order_id"),
+                                  (F.col("id") % 50).alias("seller_id"), (F.col("id") % 1000).cast("double").alias("price"))
+    orders = spark.range(n).select(F.col("id").alias("order_id"), (F.col("id") % 500).alias("customer_id"))
+    customers = spark.range(500).select(F.col("id").alias("customer_id"),
+                                        (F.col("id") % 7).cast("string").alias("customer_state"))
+    sellers = spark.range(50).select(F.col("id").alias("seller_id"), (F.col("id") % 5).cast("string").alias("seller_state"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = A.state_trade_balance(A.item_route(spark, items, sellers, orders, customers))
+        got = sorted(map(tuple, df.collect()))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert "skewed" in plan
+    distinct_rows = (items.dropDuplicates(["order_id", "seller_id", "price"])
+                     .join(orders, "order_id").join(customers, "customer_id"))
+    buy = {r[0]: r[1] for r in distinct_rows.groupBy("customer_state").agg(F.sum("price")).collect()}
+    assert {r[0]: r[1] for r in got} == buy
