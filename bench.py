@@ -7,6 +7,8 @@ on ``local[$BENCH_CPUS]`` (default 8) and prints one JSON line:
 Every query is executed in full into Spark's ``noop`` sink (no rows are
 pulled to the driver).  One untimed warm-up pass runs first; then each
 query runs ``$BENCH_RUNS`` times (default 3) and its median is reported.
+``$BENCH_EVENT_LOG`` names an (existing) folder for Spark's event log, to
+read stage and task times afterwards.
 """
 
 from __future__ import annotations
@@ -50,8 +52,11 @@ def main() -> None:
     from orderlens.session import build_session
     from orderlens.plans.registry import QUERIES
 
-    spark = build_session(f"local[{cpus}]", app_name="orderlens-bench", shuffle_partitions=cpus,
-                          extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    event_log = os.environ.get("BENCH_EVENT_LOG")    # optional folder for Spark's event log
+    if event_log:
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_log})
+    spark = build_session(f"local[{cpus}]", app_name="orderlens-bench", shuffle_partitions=cpus, extra=extra)
     for name in names:                      # warm-up: JIT, class loading, file listing caches
         run_once(spark, QUERIES[name], sf_dir)
     timings = {}
