@@ -85,8 +85,8 @@ def customer_share_by_state(customers: DataFrame, distinct: bool = False, *,
 
 
 # Q4 ---------------------------------------------------------------------------------------------
-ITEM_ROUTE_SQL = """
-SELECT i.order_id, i.price, i.seller_id, s.seller_state, o.customer_id, c.customer_state
+ROUTE_COLUMNS = ["i.order_id", "i.price", "i.seller_id", "s.seller_state", "o.customer_id", "c.customer_state"]
+ROUTE_FROM = """
 FROM {items} AS i
 JOIN {sellers} AS s ON i.seller_id = s.seller_id
 JOIN ({orders} AS o JOIN {customers} AS c ON o.customer_id = c.customer_id)
@@ -99,12 +99,11 @@ def item_route(spark: SparkSession, items: DataFrame, sellers: DataFrame, orders
     """One row per item with the seller's state and the buyer's state (SQL source).
 
     Orders meet customers first: that join is order-sized, and only its
-    result meets the larger item table.
+    result meets the larger item table.  ``extra_item_columns`` are carried
+    from the item table as well.
     """
-    query = ITEM_ROUTE_SQL
-    if extra_item_columns:
-        query = query.replace("SELECT i.order_id,", "SELECT " + "".join(f"i.{c}, " for c in extra_item_columns)
-                              + "i.order_id,")
+    columns = [f"i.{c}" for c in extra_item_columns] + ROUTE_COLUMNS
+    query = "SELECT " + ", ".join(columns) + ROUTE_FROM
     return run_sql(spark, query, items=items, sellers=sellers, orders=orders, customers=customers)
 
 
