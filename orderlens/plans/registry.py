@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import classify
 from orderlens.functions.scalar import (
-    exact_sum, hour_of, month_key, text_to_timestamp, weekday_name, year_of,
+    WEEKDAYS, exact_sum, hour_of, month_key, text_to_timestamp, weekday_name, year_of,
 )
 from orderlens.operators import cleaning, quality, relational
 from orderlens.plans import analyses as A
@@ -64,9 +64,7 @@ def _size_case(p: str = "p") -> str:
     return f"CASE WHEN {any_null} THEN '{u}' WHEN {small} THEN '{s}' WHEN {medium} THEN '{m}' ELSE '{l}' END"
 
 
-_WEEKDAY_COLUMNS = ", ".join(
-    f"max(n) FILTER (WHERE day = '{d}') AS \"{d}\"" for d in
-    ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"])
+_WEEKDAY_COLUMNS = ", ".join(f"max(n) FILTER (WHERE day = '{d}') AS \"{d}\"" for d in WEEKDAYS)
 
 
 def _hour_weekday_sql(view: str) -> str:

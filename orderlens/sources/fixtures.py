@@ -7,6 +7,7 @@ kept next to each other so they stay the same mapping.
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -224,5 +225,4 @@ def with_views(select: str) -> str:
 
 
 def _mentions(text: str, name: str) -> bool:
-    import re
     return re.search(rf"\b{re.escape(name)}\b", text) is not None
