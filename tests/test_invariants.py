@@ -53,3 +53,11 @@ def test_one_first_month_per_seller(spark):
     firsts = g.where(F.col("prev_month_sales").isNull()).groupBy("seller_id").count()
     assert firsts.where("count != 1").count() == 0
     assert firsts.count() == g.select("seller_id").distinct().count()
+
+
+def test_growth_null_exactly_where_previous_missing_or_zero(spark):
+    g = Q["seller_monthly_growth_bucketed"](spark, SF_SMALL)
+    counts = g.agg(
+        F.count_if(F.col("sales_growth_percentage").isNull()).alias("null_growth"),
+        F.count_if(F.col("prev_month_sales").isNull() | (F.col("prev_month_sales") == 0)).alias("no_base")).first()
+    assert counts.null_growth == counts.no_base
