@@ -62,9 +62,20 @@ def round_half_up(c: Column | str, scale: int = 2) -> Column:
     return F.when(dec.isNull(), x).otherwise(F.round(dec, scale).cast("double"))
 
 
+def _finite(x: Column) -> Column:
+    return ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+
+
 def cents(c: Column | str) -> Column:
-    """Money amount as whole cents (``bigint``), rounded to the nearest cent."""
-    return F.rint(_col(c) * CENTS_PER_UNIT).cast("bigint")
+    """Finite money amount as whole cents (``bigint``); null for null, NaN and infinities."""
+    x = _col(c)
+    return F.when(_finite(x), F.rint(x * CENTS_PER_UNIT).cast("bigint"))
+
+
+def non_finite(c: Column | str) -> Column:
+    """The NaN / infinite part of a money amount (null when the amount is finite)."""
+    x = _col(c)
+    return F.when(~_finite(x), x)
 
 
 def from_cents(total: Column | str) -> Column:
@@ -72,15 +83,24 @@ def from_cents(total: Column | str) -> Column:
     return _col(total).cast("double") / F.lit(float(CENTS_PER_UNIT))
 
 
+def money_total(cent_sum: Column | str, non_finite_sum: Column | str) -> Column:
+    """Exact cent total plus the summed non-finite part, if any.
+
+    A NaN or infinite amount makes the total NaN or infinite, as a plain
+    double sum would; otherwise the total is the exact cent sum.
+    """
+    exact, odd = from_cents(cent_sum), _col(non_finite_sum)
+    return F.when(odd.isNull(), exact).otherwise(odd + F.coalesce(exact, F.lit(0.0)))
+
+
 def exact_sum(c: Column | str) -> Column:
     """Sum of a money column, exact to the cent, returned as double."""
-    return from_cents(F.sum(cents(c)))
+    return money_total(F.sum(cents(c)), F.sum(non_finite(c)))
 
 
 def exact_avg(c: Column | str) -> Column:
     """Mean of a money column over its non-null values (exact sum / count)."""
-    x = _col(c)
-    return F.try_divide(from_cents(F.sum(cents(x))), F.count(x).cast("double"))
+    return F.try_divide(exact_sum(c), F.count(_col(c)).cast("double"))
 
 
 def growth_pct(current: Column | str, previous: Column | str) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import classify
 from orderlens.functions.scalar import (
-    WEEKDAYS, cents, exact_avg, exact_sum, from_cents, hour_of, round_half_up, year_of,
+    WEEKDAYS, cents, exact_avg, exact_sum, hour_of, money_total, non_finite, round_half_up, year_of,
 )
 from orderlens.operators import aggregate, cleaning, relational
 from orderlens.sources.catalog import run_sql
@@ -124,12 +124,16 @@ def state_trade_balance(route: DataFrame, dedupe_keys: Sequence[str] | None = No
     read, shuffled and de-duplicated only once.
     """
     rows = cleaning.dedupe_rows(route, dedupe_keys)
-    pairs = rows.groupBy(seller_state, buyer_state).agg(F.sum(cents(price)).alias("_v"))
-    sides = pairs.unpivot("_v", [seller_state, buyer_state], "_side", "_state")
+    pairs = rows.groupBy(seller_state, buyer_state).agg(
+        F.sum(cents(price)).alias("_v"), F.sum(non_finite(price)).alias("_o"))
+    sides = pairs.unpivot(["_v", "_o"], [seller_state, buyer_state], "_side", "_state")
     selling, buying = F.col("_side") == seller_state, F.col("_side") == buyer_state
+
+    def side_total(on: Column) -> Column:
+        return money_total(F.sum(F.when(on, F.col("_v"))), F.sum(F.when(on, F.col("_o"))))
+
     per_state = sides.groupBy("_state").agg(
-        from_cents(F.sum(F.when(selling, F.col("_v")))).alias("_sell"),
-        from_cents(F.sum(F.when(buying, F.col("_v")))).alias("buy_value"),
+        side_total(selling).alias("_sell"), side_total(buying).alias("buy_value"),
         F.count_if(buying).alias("_buyer_rows"))
     # A null state never matches in the join this mirrors, so it sells nothing.
     sell = F.when(F.col("_state").isNull(), F.lit(0.0)).otherwise(F.col("_sell"))
@@ -226,10 +230,13 @@ def customer_behaviour(orders: DataFrame, payments: DataFrame, grain: str = "pay
         paid = located.join(payments.select(order_id, value), order_id)
         means = paid.groupBy(customer_id).agg(exact_avg(value).alias("average_order_value"))
     else:
-        per_order = payments.groupBy(order_id).agg(F.sum(cents(value)).alias("_paid"))
+        per_order = payments.groupBy(order_id).agg(
+            F.sum(cents(value)).alias("_paid"), F.sum(non_finite(value)).alias("_odd"))
         paid = located.join(per_order, order_id)
-        means = paid.groupBy(customer_id).agg(
-            F.try_divide(from_cents(F.sum("_paid")), F.count("_paid").cast("double")).alias("average_order_value"))
+        valued = F.col("_paid").isNotNull() | F.col("_odd").isNotNull()
+        means = paid.groupBy(customer_id).agg(F.try_divide(
+            money_total(F.sum("_paid"), F.sum("_odd")), F.count_if(valued).cast("double")
+        ).alias("average_order_value"))
     return (counts.join(means, customer_id)
             .select(customer_id, "order_count", "average_order_value")
             .orderBy(F.col("average_order_value").desc()))
@@ -259,11 +266,11 @@ def value_by_product_size(items: DataFrame, products: DataFrame, classifier=clas
     shuffle feeding it are product-sized, not item-sized.
     """
     per_product = items.groupBy(product_id).agg(
-        F.sum(cents(price)).alias("_sum"), F.count(price).alias("_n"))
+        F.sum(cents(price)).alias("_sum"), F.sum(non_finite(price)).alias("_odd"), F.count(price).alias("_n"))
     classes = size_classified(products, classifier, product_id=product_id, **dimension_columns)
     joined = per_product.join(classes.select(product_id, "product_size_category"), product_id)
     return (joined.groupBy("product_size_category")
-            .agg(from_cents(F.sum("_sum")).alias("_sum"), F.sum("_n").cast("double").alias("_n"))
+            .agg(money_total(F.sum("_sum"), F.sum("_odd")).alias("_sum"), F.sum("_n").cast("double").alias("_n"))
             .select("product_size_category",
                     round_half_up(F.try_divide("_sum", "_n"), 2).alias("average_order_value")))
 

@@ -200,3 +200,23 @@ def test_pivot_null_type_column_and_label(spark):
     labelled = A.pivot_payment_type_by_state(orders, customers, pays, null_label="unknown")
     assert labelled.columns == ["customer_state", "unknown", "boleto"]   # the label takes the null column's place
     assert tuple(labelled.first()) == ("SP", 1, 1)
+
+
+def test_state_trade_balance_nan_price(spark):
+    rows = [("o1", float("nan"), "s1", "SP", "c1", "RJ"), ("o2", 4.0, "s2", "RJ", "c2", "SP")]
+    df = spark.createDataFrame(rows, "order_id string, price double, seller_id string, seller_state string, "
+                                     "customer_id string, customer_state string")
+    got = {r.customer_state: r for r in A.state_trade_balance(df).collect()}
+    import math
+    assert math.isnan(got["RJ"].buy_value) and got["RJ"].sell_value == 4.0
+    assert math.isnan(got["RJ"].margin_activity) and got["RJ"].margin_category is None
+    # fillna(0) on sell_value replaces NaN as well as null, as the original's fill does
+    assert got["SP"].sell_value == 0.0 and got["SP"].margin_category == "consumer_dominant"
+
+
+def test_value_by_product_size_nan_price(spark):
+    products = spark.createDataFrame([("p1", 20, 20, 20, 500)], "product_id string, product_length_cm int, "
+                                     "product_width_cm int, product_height_cm int, product_weight_g int")
+    items = spark.createDataFrame([("p1", 10.0), ("p1", float("nan"))], "product_id string, price double")
+    import math
+    assert math.isnan(A.value_by_product_size(items, products).first().average_order_value)

@@ -75,3 +75,14 @@ def test_money_sums_are_exact_cents(spark):
     assert r.s == 104998.47            # 0.1 + 0.2 + 0.29 in doubles would not be exact
     assert r.a == 104998.47 / 4
     assert df.where("x is null").select(exact_sum("x")).first()[0] is None
+
+
+def test_money_sums_keep_nan_and_infinity_semantics(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("a", 1.5), ("a", float("nan")), ("b", 2.25), ("b", inf),
+                                ("c", inf), ("c", -inf), ("d", None), ("e", 0.1), ("e", 0.2)], "k string, x double")
+    got = {r.k: r.s for r in df.groupBy("k").agg(exact_sum("x").alias("s")).collect()}
+    assert math.isnan(got["a"]) and got["b"] == inf and math.isnan(got["c"])
+    assert got["d"] is None and got["e"] == 0.3
+    avg = {r.k: r.m for r in df.groupBy("k").agg(exact_avg("x").alias("m")).collect()}
+    assert math.isnan(avg["a"]) and avg["e"] == 0.15
