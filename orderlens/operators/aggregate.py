@@ -84,8 +84,8 @@ def share_with_running_total(df: DataFrame, key: str, counted: str, distinct: bo
     joined = counts.join(F.broadcast(levels), on=count_name, how="inner")
     return joined.select(
         key, count_name,
-        round_half_up(F.col(count_name) / F.col("_grand") * 100, scale).alias(share_name),
-        round_half_up(F.col("_running") / F.col("_grand") * 100, scale).alias(running_name))
+        round_half_up(F.try_divide(F.col(count_name), F.col("_grand")) * 100, scale).alias(share_name),
+        round_half_up(F.try_divide(F.col("_running"), F.col("_grand")) * 100, scale).alias(running_name))
 
 
 def period_growth(df: DataFrame, key: str, ts: str, amount: str, calendar: bool = False,

@@ -220,3 +220,9 @@ def test_value_by_product_size_nan_price(spark):
     items = spark.createDataFrame([("p1", 10.0), ("p1", float("nan"))], "product_id string, price double")
     import math
     assert math.isnan(A.value_by_product_size(items, products).first().average_order_value)
+
+
+def test_share_when_nothing_is_counted(spark):
+    df = spark.createDataFrame([("A", None), ("B", None)], "customer_state string, customer_unique_id string")
+    got = {r.customer_state: (r.no_customers, r.percentage_customer_base) for r in A.customer_share_by_state(df).collect()}
+    assert got == {"A": (0, None), "B": (0, None)}
