@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, language_id, mixing, simhash
+from . import byte_bpe, exact_dedup, html_text, language_id, mixing, secrets, simhash, url_filter, vector_search, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,17 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(_table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url; the html is not read."""
+    judged = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page.page_id", "host", "path", "rule", "verdict", "blocked_chance")
+
+
+def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every vec_id divisible by 50."""
+    return vector_search.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     return language_id.identify(_table(spark, sf_dir, "documents"))
@@ -42,11 +53,30 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), rank_file())
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's WARC record, with what the audit against a damaged replica says of it."""
+    pages = _table(spark, sf_dir, "pages")
+    return warc_fixity.audit(warc_fixity.manifest(pages), warc_fixity.manifest(warc_fixity.aged(pages)))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of the secrets in every document."""
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.cluster(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_language_id, op5_source_mixing, op6_byte_bpe, op9_simhash_near_dedup)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = _table(spark, sf_dir, "pages")
+    return html_text.extract(pages.select("page_id", "url", F.col("html").cast("string").alias("html")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_url_filter, op3_vector_search, op4_language_id, op5_source_mixing, op6_byte_bpe, op7_warc_fixity,
+    op8_secret_scan, op9_simhash_near_dedup, op10_html_extraction)}
 
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op5_source_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op5_source_mixing": mixing.ORACLE, "op7_warc_fixity": warc_fixity.ORACLE}
