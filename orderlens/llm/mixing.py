@@ -57,18 +57,19 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     limited = ranked.withColumn("weight", weight.cast("long")).withColumn("most", F.col("source_size") * passes)
     ordered = running(limited.drop("place"), [F.col("most") / F.col("weight"), F.col("source_key")],
                       {"most_up_to": F.col("most"), "weight_up_to": F.col("weight")})
-    total = sources.agg(F.floor(F.sum("source_size") * F.lit(share)).cast("long").alias("budget"))
-    whole = ordered.agg(F.sum("weight").alias("all_weight")).join(F.broadcast(total))
+    ordered = store(ordered, "limits")
+    words, all_weight = ordered.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).head()
+    budget = int(words * share)
     wide = "decimal(38,0)"
-    left_words = F.col("budget") - (F.col("most_up_to") - F.col("most"))
-    left_weight = F.col("all_weight") - (F.col("weight_up_to") - F.col("weight"))
+    left_words = F.lit(budget) - (F.col("most_up_to") - F.col("most"))
+    left_weight = F.lit(all_weight) - (F.col("weight_up_to") - F.col("weight"))
     full = F.col("most").cast(wide) * left_weight.cast(wide) <= F.col("weight").cast(wide) * left_words.cast(wide)
-    judged = store(ordered.join(F.broadcast(whole)).withColumn("full", full), "limits")
-    open_ = judged.agg(F.sum(F.when(~F.col("full"), F.col("weight"))).alias("open_weight"),
-                       F.sum(F.when(F.col("full"), F.col("most")).otherwise(0)).alias("full_words"))
-    part = F.try_divide((F.col("budget") - F.col("full_words")).cast("double"), F.col("open_weight").cast("double"))
-    target = F.when(F.col("full"), F.col("most").cast("double")).otherwise(F.col("weight").cast("double") * part)
-    return judged.join(F.broadcast(open_)).select("source_key", "source_size", target.alias("target"), "budget")
+    judged = ordered.withColumn("full", full)
+    open_weight, full_words = judged.agg(F.coalesce(F.sum(F.when(~F.col("full"), F.col("weight"))), F.lit(0)),
+                                         F.coalesce(F.sum(F.when(F.col("full"), F.col("most"))), F.lit(0))).head()
+    part = float(budget - full_words) / float(open_weight) if open_weight else 0.0
+    target = F.when(F.col("full"), F.col("most").cast("double")).otherwise(F.col("weight").cast("double") * F.lit(part))
+    return judged.select("source_key", "source_size", target.alias("target"), F.lit(budget).cast("long").alias("budget"))
 
 
 def _queue(rows: DataFrame, buckets: DataFrame) -> DataFrame:
