@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 # English weekday names in calendar order, Monday first.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
-# Money is summed as whole cents in a 64-bit integer: exact, so a total does
-# not depend on how rows are spread over partitions or in which order they are
-# added, and the additions stay primitive longs inside codegen (a decimal sum
-# wider than 18 digits would fall back to BigDecimal arithmetic).
-CENTS_PER_UNIT = 100
+# Money is summed as decimals with ten digits after the point: exact, so a total
+# does not depend on how rows are spread over partitions or in which order they
+# are added.  Amounts from EXACT_BELOW on, and NaN and infinities, are summed as
+# doubles beside it; 1e13 rows of the largest exact amount still fit.
+EXACT_BELOW = 1e15
 
 
 def _col(c: Column | str) -> Column:
@@ -52,50 +52,31 @@ def float32(c: Column | str) -> Column:
 
 
 def round_half_up(c: Column | str, scale: int = 2) -> Column:
-    """Round half up on the number's decimal text, e.g. 1.005 -> 1.01.
-
-    The value passes through ``decimal(38,10)``, which gives the same digits
-    on every engine; NaN and infinities are returned unchanged.
-    """
-    x = _col(c)
-    dec = x.try_cast("decimal(38,10)")
-    return F.when(dec.isNull(), x).otherwise(F.round(dec, scale).cast("double"))
-
-
-def _finite(x: Column) -> Column:
-    return ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    """Round half up once, on the number's shortest decimal text; NaN and infinities stay."""
+    return F.round(_col(c), scale)
 
 
-def cents(c: Column | str) -> Column:
-    """Finite money amount as whole cents (``bigint``); null for null, NaN and infinities."""
+def exact_part(c: Column | str) -> Column:
+    """A money amount as ``decimal(38,10)``; null where it belongs to ``residue``."""
     x = _col(c)
-    return F.when(_finite(x), F.rint(x * CENTS_PER_UNIT).cast("bigint"))
+    return F.when(F.abs(x) < EXACT_BELOW, x).cast("decimal(38,10)")
 
 
-def non_finite(c: Column | str) -> Column:
-    """The NaN / infinite part of a money amount (null when the amount is finite)."""
+def residue(c: Column | str) -> Column:
+    """A money amount that no ``exact_part`` holds (from EXACT_BELOW on, NaN, infinite); null otherwise."""
     x = _col(c)
-    return F.when(~_finite(x), x)
-
-
-def from_cents(total: Column | str) -> Column:
-    """Cent total back to a money amount (double)."""
-    return _col(total).cast("double") / F.lit(float(CENTS_PER_UNIT))
-
+    return F.when(F.abs(x) >= EXACT_BELOW, x).cast("double")
 
-def money_total(cent_sum: Column | str, non_finite_sum: Column | str) -> Column:
-    """Exact cent total plus the summed non-finite part, if any.
 
-    A NaN or infinite amount makes the total NaN or infinite, as a plain
-    double sum would; otherwise the total is the exact cent sum.
-    """
-    exact, odd = from_cents(cent_sum), _col(non_finite_sum)
-    return F.when(odd.isNull(), exact).otherwise(odd + F.coalesce(exact, F.lit(0.0)))
+def money_total(exact: Column | str, rest: Column | str) -> Column:
+    """The sum of the exact parts plus the sum of the residues, as double; null if both are."""
+    total, odd = _col(exact).cast("double"), _col(rest)
+    return F.when(odd.isNull(), total).otherwise(odd + F.coalesce(total, F.lit(0.0)))
 
 
 def exact_sum(c: Column | str) -> Column:
-    """Sum of a money column, exact to the cent, returned as double."""
-    return money_total(F.sum(cents(c)), F.sum(non_finite(c)))
+    """Sum of a money column, exact to ten digits after the point, returned as double."""
+    return money_total(F.sum(exact_part(c)), F.sum(residue(c)))
 
 
 def exact_avg(c: Column | str) -> Column:

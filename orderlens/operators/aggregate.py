@@ -9,28 +9,35 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.scalar import exact_sum, float32, growth_pct, round_half_up
 
+LEVEL_BUCKETS = 1024               # ranges of a running share: 16 to a doubling of the count, up to 2^64
 
-def discover_values(df: DataFrame, column: str, max_values: int = 10_000) -> list:
-    """Sorted distinct values of ``column`` (nulls first), as a pivot would find them.
 
-    One aggregate job; the result is bounded by ``max_values`` and larger
-    domains are refused rather than pulled to the driver.
-    """
-    rows = (df.select(column).distinct().orderBy(F.col(column).asc_nulls_first())
-            .limit(max_values + 1).collect())
-    if len(rows) > max_values:
-        raise ValueError(f"more than {max_values} distinct values in {column!r}; pass values=")
-    return [r[0] for r in rows]
+def discover_values(df: DataFrame, column: str) -> list:
+    """Sorted distinct values of ``column`` (nulls first), one for each output column of a pivot; one aggregate job."""
+    return [r[0] for r in df.select(column).distinct().orderBy(F.col(column).asc_nulls_first()).collect()]
+
+
+def _only(column: str, values: list) -> Column:
+    """``column``, failing on a value that is not in ``values``."""
+    listed = F.lit(False)
+    for v in values:
+        listed = listed | F.col(column).eqNullSafe(F.lit(v))
+    told = F.concat(F.lit(f"{column} has a value that is not among the pivot values: "), F.coalesce(F.col(column).cast("string"), F.lit("null")))
+    return F.when(listed, F.col(column)).otherwise(F.raise_error(told))
 
 
 def _pivot(df: DataFrame, row: str | Sequence[str], column: str, measure: Column,
            values: Sequence | None, fill: int | None, null_label: str | None) -> DataFrame:
     rows = [row] if isinstance(row, str) else list(row)
-    if null_label is not None:
-        df = df.withColumn(column, F.coalesce(F.col(column), F.lit(null_label)))
-        if values is not None:
-            values = [null_label if v is None else v for v in values]
-    vals = list(values) if values is not None else discover_values(df, column)
+    if values is None:
+        vals = discover_values(df, column)
+    else:
+        vals = list(dict.fromkeys(values))
+        df = df.withColumn(column, _only(column, vals))
+    if None in vals and (null_label is not None or "null" in vals):     # a label that is also a value gets one column
+        label = "null" if null_label is None else null_label
+        df = df.withColumn(column, F.coalesce(F.col(column), F.lit(label)))
+        vals = list(dict.fromkeys(label if v is None else v for v in vals))
     out = df.groupBy(*rows).pivot(column, vals).agg(measure)
     if fill is not None:
         out = out.na.fill(fill, subset=[c for c in out.columns if c not in rows])
@@ -67,21 +74,23 @@ def share_with_running_total(df: DataFrame, key: str, counted: str, distinct: bo
     The running share orders keys by count, largest first, with a RANGE
     frame: keys with equal counts share one running value.
 
-    Only the distinct count values need a global order.  There are at most
-    sqrt(2N) of them for N counted rows, so that small frame is the only one
-    ordered in a single partition and it is broadcast back to the per-key
-    counts; the per-key frame itself stays distributed.
+    Only the distinct count values need a global order, and that takes two
+    steps: the levels fall into LEVEL_BUCKETS ranges by their logarithm,
+    whose totals give the offsets, and each range is ordered by itself.
     """
     agg = F.countDistinct(counted) if distinct else F.count(F.col(counted))
     counts = df.groupBy(key).agg(agg.alias(count_name))
-    levels = counts.groupBy(count_name).agg(F.sum(count_name).alias("_level_total"))
-    by_size = Window.orderBy(F.col(count_name).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    levels = levels.select(
-        count_name,
-        F.sum("_level_total").over(by_size).alias("_running"),
-        F.sum("_level_total").over(everything).alias("_grand"))
-    joined = counts.join(F.broadcast(levels), on=count_name, how="inner")
+    steps = LEVEL_BUCKETS // 64                     # buckets to a doubling of the count
+    levels = (counts.groupBy(count_name).agg(F.sum(count_name).alias("_level_total"))
+              .withColumn("_range", F.floor(F.log2(F.greatest(F.col(count_name), F.lit(1))) * steps).cast("int")))
+    larger = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)     # LEVEL_BUCKETS rows at most
+    ranges = levels.groupBy("_range").agg(F.sum("_level_total").alias("_range_total")).select(
+        "_range", F.coalesce(F.sum("_range_total").over(larger), F.lit(0)).alias("_above"),
+        F.sum("_range_total").over(Window.partitionBy()).alias("_grand"))
+    by_size = Window.partitionBy("_range").orderBy(F.col(count_name).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    levels = levels.join(ranges, "_range").select(
+        count_name, (F.col("_above") + F.sum("_level_total").over(by_size)).alias("_running"), "_grand")
+    joined = counts.join(levels, on=count_name, how="inner")
     return joined.select(
         key, count_name,
         round_half_up(F.try_divide(F.col(count_name), F.col("_grand")) * 100, scale).alias(share_name),

@@ -88,14 +88,12 @@ def fill_numeric(df: DataFrame, value: float = 0, subset: Iterable[str] | None =
     return df.na.fill(value, subset=list(subset) if subset is not None else None)
 
 
-def lookup_translate(df: DataFrame, lookup: DataFrame, key: str, translated: str,
-                     max_entries: int = 1_000, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def lookup_translate(df: DataFrame, lookup: DataFrame, key: str, translated: str) -> DataFrame:
     """Replace ``key`` by its translation from ``lookup`` (left join semantics).
 
-    Keys without a translation become null.  A small lookup is applied as a
-    map expression; a large one as a left join (see ``lookup_column``).
+    Keys without a translation become null.
     """
-    out = lookup_column(df, key, lookup, key, translated, "_translated", max_entries, max_broadcast_rows)
+    out = lookup_column(df, key, lookup, key, translated, "_translated")
     return out.select([F.col("_translated").alias(key) if c == key else F.col(c) for c in df.columns])
 
 
@@ -113,8 +111,11 @@ def zero_undefined_installments(payments: DataFrame, type_col: str = "payment_ty
 
 
 def dedupe_rows(df: DataFrame, subset: Iterable[str] | None = None) -> DataFrame:
-    """Distinct rows (over ``subset`` when given). Hash aggregate with map-side combine."""
-    return df.dropDuplicates(list(subset)) if subset is not None else df.dropDuplicates()
+    """Distinct rows; with ``subset``, of rows equal there the one whose columns, in order, are smallest."""
+    if subset is None:
+        return df.dropDuplicates()
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(*subset).agg(F.min(row).alias("_row")).select("_row.*")
 
 
 def copy_column(df: DataFrame, target: str, source: Column | str) -> DataFrame:

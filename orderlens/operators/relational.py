@@ -6,54 +6,15 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows.
-
-    The check is a row count that needs no column data (Parquet answers it
-    from row-group metadata) and stops each partition after ``max_rows + 1``
-    rows.  Above the bound the frame is returned unchanged and Spark picks a
-    shuffle join (AQE may still turn it into a broadcast from measured sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def small_lookup_map(lookup: DataFrame, lookup_key: str, lookup_value: str,
-                     max_entries: int = 1_000) -> Column | None:
-    """A map literal of ``lookup`` if it has at most ``max_entries`` rows with unique,
-    non-null keys; otherwise None.  Reads at most ``max_entries + 1`` rows."""
-    rows = lookup.select(lookup_key, lookup_value).limit(max_entries + 1).collect()
-    keys = [r[0] for r in rows]
-    if len(rows) > max_entries or len(set(keys)) != len(keys) or None in keys:
-        return None
-    if not rows:
-        return F.create_map().cast(T.MapType(lookup.schema[lookup_key].dataType,
-                                             lookup.schema[lookup_value].dataType))
-    return F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
-
-
-def lookup_column(df: DataFrame, key: str, lookup: DataFrame, lookup_key: str, lookup_value: str,
-                  alias: str, max_entries: int = 1_000, max_broadcast_rows: int = 1_000_000,
-                  mapping: Column | None = None) -> DataFrame:
+def lookup_column(df: DataFrame, key: str, lookup: DataFrame, lookup_key: str, lookup_value: str, alias: str) -> DataFrame:
     """Add ``alias`` = ``lookup_value`` of the ``lookup`` row whose ``lookup_key`` equals ``key``.
 
-    Left-join semantics: no match gives null.  A code table of at most
-    ``max_entries`` rows with unique keys becomes a map literal evaluated in
-    the projection: no join, no exchange, and the frame keeps its own size
-    estimate.  Larger tables, or keys that repeat (where the join multiplies
-    rows), fall back to a left join, broadcast only below
-    ``max_broadcast_rows``.  A ``mapping`` already built by
-    ``small_lookup_map`` may be passed to skip the read.
+    A plain left join: no match gives null, a repeated key repeats the row.
+    Spark broadcasts the lookup by its measured size, or shuffles it.
     """
-    if mapping is None:
-        mapping = small_lookup_map(lookup, lookup_key, lookup_value, max_entries)
-    if mapping is not None:
-        return df.withColumn(alias, F.try_element_at(mapping, F.col(key)))
     right = lookup.select(F.col(lookup_key).alias("_lookup_key"), F.col(lookup_value).alias(alias))
-    right = sized_broadcast(right, max_broadcast_rows)
     return df.join(right, F.col(key) == F.col("_lookup_key"), "left").drop("_lookup_key")
 
 

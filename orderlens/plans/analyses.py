@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import classify
 from orderlens.functions.scalar import (
-    WEEKDAYS, cents, exact_avg, exact_sum, hour_of, money_total, non_finite, round_half_up, year_of,
+    WEEKDAYS, exact_avg, exact_part, exact_sum, hour_of, money_total, residue, round_half_up, year_of,
 )
 from orderlens.operators import aggregate, cleaning, relational
 from orderlens.sources.catalog import run_sql
@@ -27,13 +27,10 @@ def pivot_payment_type_by_state(orders: DataFrame, customers: DataFrame, payment
                                 state: str = "customer_state", payment_type: str = "payment_type") -> DataFrame:
     """Payment rows per state and payment type, one column per type, empty cells 0.
 
-    Without ``values`` the types are the sorted distinct types of
-    ``payments`` (one small job): a type with no matching order then shows
-    as a column of zeros.  Payments without a type are counted in a column
-    named ``null``, or ``null_label`` when given.
+    Without ``values`` the types are those of the joined rows, sorted, so a
+    type without any matching order has no column.  Payments without a type
+    are counted in a column named ``null``, or ``null_label`` when given.
     """
-    if values is None:
-        values = aggregate.discover_values(payments, payment_type)
     # Count per (customer, type) before meeting the customer table: the join
     # then sees one row per customer and type instead of one per payment, and
     # a customer with a third of all orders is folded by partial aggregation.
@@ -125,7 +122,7 @@ def state_trade_balance(route: DataFrame, dedupe_keys: Sequence[str] | None = No
     """
     rows = cleaning.dedupe_rows(route, dedupe_keys)
     pairs = rows.groupBy(seller_state, buyer_state).agg(
-        F.sum(cents(price)).alias("_v"), F.sum(non_finite(price)).alias("_o"))
+        F.sum(exact_part(price)).alias("_v"), F.sum(residue(price)).alias("_o"))
     sides = pairs.unpivot(["_v", "_o"], [seller_state, buyer_state], "_side", "_state")
     selling, buying = F.col("_side") == seller_state, F.col("_side") == buyer_state
 
@@ -231,7 +228,7 @@ def customer_behaviour(orders: DataFrame, payments: DataFrame, grain: str = "pay
         means = paid.groupBy(customer_id).agg(exact_avg(value).alias("average_order_value"))
     else:
         per_order = payments.groupBy(order_id).agg(
-            F.sum(cents(value)).alias("_paid"), F.sum(non_finite(value)).alias("_odd"))
+            F.sum(exact_part(value)).alias("_paid"), F.sum(residue(value)).alias("_odd"))
         paid = located.join(per_order, order_id)
         valued = F.col("_paid").isNotNull() | F.col("_odd").isNotNull()
         means = paid.groupBy(customer_id).agg(F.try_divide(
@@ -266,7 +263,7 @@ def value_by_product_size(items: DataFrame, products: DataFrame, classifier=clas
     shuffle feeding it are product-sized, not item-sized.
     """
     per_product = items.groupBy(product_id).agg(
-        F.sum(cents(price)).alias("_sum"), F.sum(non_finite(price)).alias("_odd"), F.count(price).alias("_n"))
+        F.sum(exact_part(price)).alias("_sum"), F.sum(residue(price)).alias("_odd"), F.count(price).alias("_n"))
     classes = size_classified(products, classifier, product_id=product_id, **dimension_columns)
     joined = per_product.join(classes.select(product_id, "product_size_category"), product_id)
     return (joined.groupBy("product_size_category")

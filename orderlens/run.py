@@ -3,7 +3,7 @@
     python -m orderlens.run --table customers=data/customers.csv --table orders=... \\
         --out results/ [--show]
 
-Tables ending in ``.csv`` are read with the declared schema of that table
+Tables ending in ``.csv`` or ``.csv.gz`` are read with the declared schema of that table
 name (``sources.SCHEMAS``); anything else is read as Parquet.  Each result
 is written as Parquet under ``--out/<analysis>`` (or printed with --show).
 """
@@ -38,10 +38,13 @@ ANALYSES: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
 
 
 def load(spark: SparkSession, paths: dict[str, str]) -> Tables:
+    unknown = sorted(set(paths) - set(SCHEMAS))
+    if unknown:
+        raise ValueError(f"unknown tables {unknown}; names are {sorted(SCHEMAS)}")
     tables = {}
     for name, path in paths.items():
-        if path.endswith(".csv"):
-            tables[name] = read_csv(spark, path, schema=SCHEMAS.get(name))
+        if path.endswith((".csv", ".csv.gz")):
+            tables[name] = read_csv(spark, path, schema=name)
         else:
             tables[name] = read_parquet(spark, path)
     return tables

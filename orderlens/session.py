@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
-def recommended_conf(shuffle_partitions: int = 8) -> dict[str, str]:
+def recommended_conf(shuffle_partitions: int | None = None) -> dict[str, str]:
     """Settings for running the analyses.
 
-    On a cluster raise ``spark.sql.shuffle.partitions`` to a few times the
-    total core count; AQE then coalesces small partitions, splits skewed
+    Without ``shuffle_partitions`` the cluster's own setting stays; it should
+    be a few times the total core count.  AQE coalesces small partitions, splits skewed
     ones and picks broadcast joins from measured sizes at run time.
     """
-    return {
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
+    partitions = {} if shuffle_partitions is None else {"spark.sql.shuffle.partitions": str(shuffle_partitions)}
+    return partitions | {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -31,9 +29,12 @@ def recommended_conf(shuffle_partitions: int = 8) -> dict[str, str]:
     }
 
 
-def build_session(master: str = "local[*]", app_name: str = "orderlens",
-                  shuffle_partitions: int = 8, extra: dict[str, str] | None = None) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app_name)
+def build_session(master: str | None = None, app_name: str = "orderlens",
+                  shuffle_partitions: int | None = None, extra: dict[str, str] | None = None) -> SparkSession:
+    """A session with the recommended settings; the master is left to spark-submit unless given."""
+    builder = SparkSession.builder.appName(app_name)
+    if master is not None:
+        builder = builder.master(master)
     conf = recommended_conf(shuffle_partitions)
     conf.update(extra or {})
     for key, value in conf.items():
@@ -44,18 +45,9 @@ def build_session(master: str = "local[*]", app_name: str = "orderlens",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
-
-    ``spark.checkpoint.dir`` is read from the session.  Only a ``local[...]``
-    session without one gets a local folder (tests); on a cluster a missing
-    setting is an error, never a machine-local path.
-    """
+    """The shared checkpoint folder that the session names; a missing one is an error, never a machine-local path."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    local = tempfile.mkdtemp(prefix="orderlens-ckpt-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")

@@ -6,7 +6,7 @@ pass over every file and turns zip prefixes such as ``01001`` into integers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 _S, _I, _D, _TS = T.StringType(), T.IntegerType(), T.DoubleType(), T.TimestampNTZType()
@@ -41,24 +41,36 @@ SCHEMAS: dict[str, T.StructType] = {
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             infer_schema: bool = False, **options: str) -> DataFrame:
+             infer_schema: bool = False, bad_cells: str = "fail", **options: str) -> DataFrame:
     """Header-named CSV scan.
 
-    ``schema`` is a ``StructType``, a DDL string or a key of ``SCHEMAS``.
-    Without a schema, types are inferred only when ``infer_schema`` is set;
-    otherwise every column is read as string.  A UTF-8 BOM and CRLF line
-    ends are handled by Spark's reader.  With a declared schema the columns
-    are taken by position, as Spark does by default; pass
-    ``enforceSchema="false"`` to have the header names checked instead.
+    ``schema`` is a ``StructType``, a DDL string or a key of ``SCHEMAS``; its
+    columns are found by their names in the header, in any order and any
+    case.  A missing or unknown column, and files of one folder with
+    different headers, are errors; so is a cell that its type cannot hold,
+    unless ``bad_cells="null"``.  Without a schema, types are inferred only
+    when ``infer_schema`` is set; otherwise every column is a string.
     """
-    reader = spark.read.option("header", True).options(**options)
-    if isinstance(schema, str) and schema in SCHEMAS:
-        schema = SCHEMAS[schema]
-    if schema is not None:
-        reader = reader.schema(schema)
-    elif infer_schema:
-        reader = reader.option("inferSchema", True)
-    return reader.csv(path)
+    reader = spark.read.option("header", True).options(**{"enforceSchema": "false"} | options)
+    if schema is None:
+        return reader.option("inferSchema", infer_schema).csv(path)
+    if isinstance(schema, str):
+        schema = SCHEMAS[schema] if schema in SCHEMAS else T.StructType.fromDDL(schema)
+    cells = reader.csv(path)
+    given, wanted = {c.lower(): c for c in cells.columns}, {f.name.lower() for f in schema}
+    if set(given) != wanted or len(given) != len(cells.columns):
+        raise ValueError(f"{path}: missing columns {sorted(wanted - set(given))}, unknown or repeated columns "
+                         f"{sorted(c for c in cells.columns if c.lower() not in wanted or given[c.lower()] != c)}")
+
+    def typed(field: T.StructField) -> Column:
+        cell = F.col(f"`{given[field.name.lower()]}`")
+        value = cell.try_cast(field.dataType)
+        if bad_cells == "null":
+            return value.alias(field.name)
+        told = F.concat(F.lit(f"{path}: {field.name} cannot be {field.dataType.simpleString()}: "), cell)
+        return F.when(cell.isNotNull() & value.isNull(), F.raise_error(told)).otherwise(value).alias(field.name)
+
+    return cells.select(*[typed(f) for f in schema])
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -66,7 +78,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_result(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                 mode: str = "overwrite", fmt: str = "parquet") -> None:
+                 mode: str = "errorifexists", fmt: str = "parquet") -> None:
     """Write a result instead of printing it.
 
     Partitioning by a low-cardinality column (e.g. a month key) lets later

@@ -7,15 +7,15 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from orderlens.session import build_session, ensure_checkpoint_dir  # noqa: E402
+from orderlens.session import build_session  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_ORACLE = os.environ.get("ORDERLENS_ORACLE_SF", "/root/testdata/sf0.01")   # e.g. .../sf0.1
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session("local[4]", app_name="orderlens-tests", shuffle_partitions=4)
-    ensure_checkpoint_dir(session)
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()

@@ -176,11 +176,15 @@ def test_active_sellers_semi_join_matches_inner_join(spark):
     assert status == [(2017, 2, 2)]
 
 
-def test_discover_values_is_bounded(spark):
-    df = spark.range(20).withColumnRenamed("id", "v")
-    assert aggregate.discover_values(df, "v")[:3] == [0, 1, 2]
-    with pytest.raises(ValueError):
-        aggregate.discover_values(df, "v", max_values=5)
+def test_pivot_values(spark):
+    wide = spark.range(20_000).withColumnRenamed("id", "v")
+    assert len(aggregate.discover_values(wide, "v")) == 20_000
+    df = spark.createDataFrame([("a", None), ("a", "unknown"), ("b", "null"), ("b", "card")], "s string, t string")
+    merged = aggregate.pivot_count(df, "s", "t", "s", null_label="unknown")
+    assert merged.columns == ["s", "unknown", "card", "null"] and {tuple(r) for r in merged.collect()} == {("a", 2, 0, 0), ("b", 0, 1, 1)}
+    assert {tuple(r) for r in aggregate.pivot_count(df, "s", "t", "s").collect()} == {("a", 1, 0, 1), ("b", 1, 1, 0)}
+    with pytest.raises(Exception, match="not among the pivot values"):
+        aggregate.pivot_count(df, "s", "t", "s", values=["card"]).collect()
 
 
 def test_state_counts_left_join(spark):

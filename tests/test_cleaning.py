@@ -66,17 +66,19 @@ def test_copy_column(spark):
     assert cleaning.copy_column(df, "b", "a").first().b == "SP"
 
 
-def test_lookup_column_map_and_join_paths_agree(spark):
+def test_lookup_column_is_a_left_join(spark):
     from orderlens.operators.relational import lookup_column
     df = spark.createDataFrame([(1,), (2,), (3,), (None,)], "k int")
     lookup = spark.createDataFrame([(1, "a"), (2, "b")], "lk int, lv string")
-    as_map = lookup_column(df, "k", lookup, "lk", "lv", "v")
-    as_join = lookup_column(df, "k", lookup, "lk", "lv", "v", max_entries=1)
-    assert "Join" not in as_map._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" in as_join._jdf.queryExecution().optimizedPlan().toString()
-    expected = [(1, "a"), (2, "b"), (3, None), (None, None)]
-    for out in (as_map, as_join):
-        assert sorted(map(tuple, out.collect()), key=str) == sorted(expected, key=str)
+    got = map(tuple, lookup_column(df, "k", lookup, "lk", "lv", "v").collect())
+    assert sorted(got, key=str) == sorted([(1, "a"), (2, "b"), (3, None), (None, None)], key=str)
+
+
+def test_dedupe_keys_keep_a_defined_row(spark):
+    rows = [(1, float(i)) for i in range(200)]
+    for order in (rows, rows[::-1], rows[100:] + rows[:100]):
+        df = spark.createDataFrame(order, "k int, v double").repartition(4)
+        assert [tuple(r) for r in cleaning.dedupe_rows(df, ["k"]).collect()] == [(1, 0.0)]
 
 
 def test_lookup_column_repeated_keys_keep_join_semantics(spark):

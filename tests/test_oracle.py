@@ -5,9 +5,10 @@ import pytest
 import __spark_entry__ as entry_module
 from conftest import SF_ORACLE
 from oracle import compare, duck
+from orderlens.plans import registry
 
-QUERIES = entry_module.queries()
-ORACLE = entry_module.oracle_sql()
+QUERIES = registry.QUERIES
+ORACLE = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -1,3 +1,6 @@
+import gzip
+
+import pytest
 from pyspark.sql import functions as F
 
 from orderlens.sources import SCHEMAS, publish, read_csv, run_sql, write_result
@@ -47,3 +50,20 @@ def test_declared_driver_schemas_match_files(spark):
             on_disk = spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet").schema
             declared = spark.read.schema(ddl).parquet(f"/root/testdata/{sf}/{name}.parquet").schema
             assert [(f.name, f.dataType) for f in on_disk] == [(f.name, f.dataType) for f in declared], (sf, name)
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    header, row = "payment_type,order_id,payment_value,payment_sequential,payment_installments", "card,o1,10.5,1,2"
+    (tmp_path / "a.csv").write_text(f"{header}\n{row}\n")
+    (tmp_path / "b.csv.gz").write_bytes(gzip.compress(f"{header}\n{row}\n".encode()))
+    expected = [("o1", 1, "card", 2, 10.5)]
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "a.csv"), "payments").collect()] == expected
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path), "payments").collect()] == expected * 2
+    for bad in (header.replace(",order_id", ""), header + ",more"):
+        (tmp_path / "c.csv").write_text(f"{bad}\n{row}\n")
+        with pytest.raises(ValueError, match="missing columns"):
+            read_csv(spark, str(tmp_path / "c.csv"), "payments")
+    (tmp_path / "d.csv").write_text(f"{header}\n{row.replace('10.5', 'ten')}\n")
+    with pytest.raises(Exception, match="payment_value cannot be double"):
+        read_csv(spark, str(tmp_path / "d.csv"), "payments").collect()
+    assert read_csv(spark, str(tmp_path / "d.csv"), "payments", bad_cells="null").first().payment_value is None
