@@ -146,7 +146,9 @@ def _joined(spans: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_sha256 and all spans of every document."""
     found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
-    of = {k: F.filter("spans", lambda s, k=k: s["kind"] == k) for k in BASE}
+    def of(kind: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *[F.size(v).cast("long").alias(f"n_{k}") for k, v in of.items()],
+    return found.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE],
                         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

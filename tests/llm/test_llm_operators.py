@@ -184,6 +184,11 @@ def test_secrets_base_and_structure(spark, awkward):
     docs, rows = awkward
     found = secrets.report(docs).collect()
     assert len(found) == len(rows) and {r.base_sha256 for r in found} == {hashlib.sha256(b"").hexdigest()}
+    one = secrets.report(docs_of(spark, [(1, text, None, None)])).first()
+    base = [s for s in spans if s[0] in secrets.BASE]
+    assert (one.n_assign, one.n_access, one.n_hex) == tuple(sum(s[0] == k for s in base) for k in secrets.BASE) and one.n_assign > 0 < one.n_hex
+    assert one.spans == ",".join("%s:%d:%d" % s for s in spans)
+    assert one.base_sha256 == hashlib.sha256(",".join("%s:%d:%d" % s for s in base).encode()).hexdigest()
 
 
 def test_html_extraction(spark):
