@@ -4,7 +4,7 @@ A linear support vector machine over hashed letter bigrams and trigrams of
 the whole text picks the language family; within the family, one-versus-one
 machines vote between its languages.  Training reads a bounded sample: at
 most ``PER_LANGUAGE`` labelled documents of each language, those with the
-smallest hash of doc_id and text.  The features of the sample are computed
+smallest hash of doc_id (of rows that share a doc_id, the smallest text).  The features of the sample are computed
 by the executors, and Spark ML fits the machines on them.
 
 Defined results: ``und`` with score 0 for a text that is null or has no
@@ -35,6 +35,7 @@ FAMILIES = {
 }
 BITS = 12                           # 2^BITS hashed features
 PER_LANGUAGE = 500                  # bound of the training sample, documents of a language
+SPARE = 4                           # times the bound of documents that are ranked for the sample
 CHUNK = 1 << 20                     # letters hashed at once
 TASKS = 4                           # of a training step over the sample
 STEEPNESS = 4.0                     # of the curve from margin to score
@@ -65,8 +66,14 @@ def profile(text: str, bits: int = BITS) -> np.ndarray | None:
 
 def _sample(docs: DataFrame, per_language: int) -> DataFrame:
     """(lang, features) of the training sample."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
-    rows = (docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("hash"), F.col("lang").cast("string").alias("lang"), "text")
+    # Of each language, hashes below a share of all that leaves SPARE times the bound: the ranking sees that many rows, however large the language
+    ids = known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("ids"))       # one row a language
+    least, span = -float(1 << 63), float(1 << 64)
+    few = known.join(F.broadcast(ids), "lang").where(F.col("hash") < least + span * F.least(F.lit(1.0), SPARE * per_language / F.col("ids")))
+    order = Window.partitionBy("lang").orderBy("hash", "id")
+    rows = (few.groupBy("lang", "id", "hash").agg(F.min("text").alias("text"))
             .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("lang", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
