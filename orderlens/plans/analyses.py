@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import classify
 from orderlens.functions.scalar import (
-    WEEKDAYS, exact_avg, exact_part, exact_sum, hour_of, money_total, residue, round_half_up, year_of,
+    WEEKDAYS, exact_part, exact_sum, hour_of, money_total, residue, round_half_up, year_of,
 )
 from orderlens.operators import aggregate, cleaning, relational
 from orderlens.sources.catalog import run_sql
@@ -50,8 +50,8 @@ def active_sellers_by_year(items: DataFrame, orders: DataFrame, payments: DataFr
                            status: str = "order_status") -> DataFrame:
     """Distinct sellers and products per year of order approval.
 
-    Payments, sellers and products only test existence, so they are left
-    semi joins: an order with several payments does not multiply its items.
+    Payments, sellers and products only test existence: an order with several
+    payments does not multiply its items.
     ``status_in`` keeps only orders in those statuses.
     """
     if status_in is not None:
@@ -59,8 +59,13 @@ def active_sellers_by_year(items: DataFrame, orders: DataFrame, payments: DataFr
     # The payment test shares the order key with the order join, so it runs on
     # the order side (a quarter of the item rows) and items meet orders once.
     dated = relational.semi_filter(orders.select(order_id, year_of(approved).alias("year")), (payments, order_id))
-    base = items.select(order_id, seller_id, product_id).join(dated, order_id)
-    base = relational.semi_filter(base, (sellers, seller_id), (products, product_id))
+    # Items are folded to distinct (year, seller, product) before the seller and
+    # product tests, so those joins never see item rows.  They are inner joins
+    # with distinct keys, because a semi join would be pushed below the fold.
+    base = cleaning.dedupe_rows(items.select(order_id, seller_id, product_id).join(dated, order_id)
+                                .select("year", seller_id, product_id))
+    for known, key in ((sellers, seller_id), (products, product_id)):
+        base = base.join(cleaning.dedupe_rows(known.select(key)), key)
     return (base.groupBy("year")
             .agg(F.countDistinct(seller_id).alias("active_seller"),
                  F.countDistinct(product_id).alias("product_count"))
@@ -115,14 +120,42 @@ def state_trade_balance(route: DataFrame, dedupe_keys: Sequence[str] | None = No
     nothing, and ``seller_state`` repeats the buyer's state.
 
     ``route`` rows are de-duplicated (over ``dedupe_keys``, default every
-    column) and summed once per (seller state, buyer state) pair.  That pair
-    table has at most states x states rows; it is unpivoted to
-    (state, side, value) and folded per state, so the item-sized input is
-    read, shuffled and de-duplicated only once.
+    column) and summed once per (seller state, buyer state) pair.  From the
+    four tables themselves, ``trade_balance_of_tables`` shuffles less.
     """
     rows = cleaning.dedupe_rows(route, dedupe_keys)
     pairs = rows.groupBy(seller_state, buyer_state).agg(
         F.sum(exact_part(price)).alias("_v"), F.sum(residue(price)).alias("_o"))
+    return _balance_of_pairs(pairs, classifier, seller_state, buyer_state)
+
+
+def trade_balance_of_tables(items: DataFrame, sellers: DataFrame, orders: DataFrame, customers: DataFrame,
+                            extra_item_columns: Sequence[str] = (),
+                            classifier: Callable[[Column], Column] = classify.margin_category, *,
+                            order_id: str = "order_id", customer_id: str = "customer_id",
+                            seller_id: str = "seller_id", price: str = "price",
+                            seller_state: str = "seller_state", buyer_state: str = "customer_state") -> DataFrame:
+    """``state_trade_balance`` of ``item_route``, from the four tables.
+
+    Every join key is a column of the route, so the distinct route is the
+    join of the distinct inputs.  Items are de-duplicated first, on a key
+    that spreads a hot order; they meet their orders and are summed per
+    (seller, buyer state), and only those sums meet the sellers.  The sums
+    follow the order join by a shuffle, so AQE can split a hot order there.
+    """
+    bought = cleaning.dedupe_rows(items.select(*extra_item_columns, order_id, price, seller_id))
+    located = cleaning.dedupe_rows(orders.select(order_id, customer_id)).join(
+        cleaning.dedupe_rows(customers.select(customer_id, buyer_state)), customer_id)
+    per_seller = bought.join(located, order_id).groupBy(seller_id, buyer_state).agg(
+        F.sum(exact_part(price)).alias("_v"), F.sum(residue(price)).alias("_o"))
+    pairs = (per_seller.join(cleaning.dedupe_rows(sellers.select(seller_id, seller_state)), seller_id)
+             .groupBy(seller_state, buyer_state).agg(F.sum("_v").alias("_v"), F.sum("_o").alias("_o")))
+    return _balance_of_pairs(pairs, classifier, seller_state, buyer_state)
+
+
+def _balance_of_pairs(pairs: DataFrame, classifier: Callable[[Column], Column], seller_state: str,
+                      buyer_state: str) -> DataFrame:
+    """The balance per state from at most states x states rows of money sums, unpivoted to (state, side, value)."""
     sides = pairs.unpivot(["_v", "_o"], [seller_state, buyer_state], "_side", "_state")
     selling, buying = F.col("_side") == seller_state, F.col("_side") == buyer_state
 
@@ -215,26 +248,21 @@ def customer_behaviour(orders: DataFrame, payments: DataFrame, grain: str = "pay
     ``grain="order"``: the mean over orders of each order's payment total.
     Customers without any payment row are left out.
 
-    Both measures are partially aggregated per customer before any
-    customer-keyed shuffle, and they arrive partitioned by customer, so the
-    inner join between them adds no exchange.
+    Payments are folded per order, so orders are read and meet them once, and
+    one aggregate per customer gives both measures.
     """
     if grain not in ("payment", "order"):
         raise ValueError("grain must be 'payment' or 'order'")
-    counts = orders.groupBy(customer_id).agg(F.count(order_id).alias("order_count"))
-    located = orders.select(order_id, customer_id)
-    if grain == "payment":
-        paid = located.join(payments.select(order_id, value), order_id)
-        means = paid.groupBy(customer_id).agg(exact_avg(value).alias("average_order_value"))
-    else:
-        per_order = payments.groupBy(order_id).agg(
-            F.sum(exact_part(value)).alias("_paid"), F.sum(residue(value)).alias("_odd"))
-        paid = located.join(per_order, order_id)
-        valued = F.col("_paid").isNotNull() | F.col("_odd").isNotNull()
-        means = paid.groupBy(customer_id).agg(F.try_divide(
-            money_total(F.sum("_paid"), F.sum("_odd")), F.count_if(valued).cast("double")
-        ).alias("average_order_value"))
-    return (counts.join(means, customer_id)
+    per_order = payments.groupBy(order_id).agg(
+        F.sum(exact_part(value)).alias("_paid"), F.sum(residue(value)).alias("_odd"),
+        F.count(value).alias("_values"), F.count("*").alias("_rows"))
+    valued = F.col("_paid").isNotNull() | F.col("_odd").isNotNull()
+    number = F.sum("_values") if grain == "payment" else F.count_if(valued)
+    mean = F.try_divide(money_total(F.sum("_paid"), F.sum("_odd")), number.cast("double"))
+    joined = orders.select(order_id, customer_id).where(F.col(customer_id).isNotNull()).join(per_order, order_id, "left")
+    return (joined.groupBy(customer_id)
+            .agg(F.count(order_id).alias("order_count"), mean.alias("average_order_value"), F.sum("_rows").alias("_rows"))
+            .where(F.col("_rows") > 0)
             .select(customer_id, "order_count", "average_order_value")
             .orderBy(F.col("average_order_value").desc()))
 

@@ -83,10 +83,10 @@ SELECT oc.customer_id, oc.order_count, av.average_order_value
 FROM oc JOIN av ON oc.customer_id = av.customer_id"""
 
 _BEHAVIOUR_ORDER_GRAIN_SQL = f"""
-WITH po AS (SELECT order_id, sum(CAST(payment_value AS DECIMAL(18,2))) AS paid
+WITH po AS (SELECT order_id, sum(CAST(CAST(payment_value AS VARCHAR) AS DECIMAL(38,10))) AS paid
             FROM ol_clean_payments GROUP BY order_id),
 oc AS (SELECT customer_id, count(order_id) AS order_count FROM ol_clean_orders GROUP BY customer_id),
-av AS (SELECT o.customer_id, CAST(sum(po.paid) AS DOUBLE) / count(po.paid) AS average_order_value
+av AS (SELECT o.customer_id, CAST(CAST(sum(po.paid) AS VARCHAR) AS DOUBLE) / count(po.paid) AS average_order_value
        FROM ol_clean_orders o JOIN po ON o.order_id = po.order_id GROUP BY o.customer_id)
 SELECT oc.customer_id, oc.order_count, av.average_order_value
 FROM oc JOIN av ON oc.customer_id = av.customer_id"""
@@ -163,6 +163,11 @@ def _pivot_sql(payments_view: str, null_column: str | None) -> str:
             f"JOIN {payments_view} p ON o.order_id = p.order_id GROUP BY d.customer_state")
 
 
+@register("pivot_payment_type_declared_values", _pivot_sql("ol_clean_payments", None))
+def _q1_declared(v: OrderViews) -> DataFrame:
+    return A.pivot_payment_type_by_state(v.clean_orders, v.customers, v.clean_payments, values=PAYMENT_TYPES)
+
+
 @register("pivot_payment_type_by_state_null_type", _pivot_sql("ol_payments_partly_untyped", "null"))
 def _q1_null_type(v: OrderViews) -> DataFrame:
     return A.pivot_payment_type_by_state(v.clean_orders, v.customers, v.payments_partly_untyped)
@@ -187,6 +192,13 @@ def _q2(v: OrderViews) -> DataFrame:
     return A.active_sellers_by_year(v.items, v.clean_orders, v.clean_payments, v.sellers, v.products)
 
 
+@register("active_sellers_by_year_with_gaps", _ACTIVE_SQL.format(where="").replace("ol_clean_payments", "ol_some_payments")
+          .replace("ol_sellers", "ol_some_sellers").replace("ol_products", "ol_some_products"))
+def _q2_gaps(v: OrderViews) -> DataFrame:
+    """Items whose payment, seller or product is missing."""
+    return A.active_sellers_by_year(v.items, v.clean_orders, v.some_payments, v.some_sellers, v.some_products)
+
+
 @register("active_sellers_by_year_status", _ACTIVE_SQL.format(where="WHERE o.order_status IN ('F')"))
 def _q2_status(v: OrderViews) -> DataFrame:
     return A.active_sellers_by_year(v.items, v.clean_orders, v.clean_payments, v.sellers, v.products,
@@ -203,18 +215,39 @@ def _q3_distinct(v: OrderViews) -> DataFrame:
     return A.customer_share_by_state(v.customers, distinct=True)
 
 
+@register("customer_share_by_state_shared_ids",
+          _SHARE_SQL.format(agg="DISTINCT customer_unique_id").replace("ol_customers", "ol_shared_customers"))
+def _q3_shared(v: OrderViews) -> DataFrame:
+    return A.customer_share_by_state(v.shared_customers, distinct=True)
+
+
 @register("state_trade_balance", _trade_balance_sql(_ROUTE_COLUMNS, "ol_items_bucketed"))
 def _q4(v: OrderViews) -> DataFrame:
-    route = A.item_route(v.spark, v.items_bucketed, v.sellers, v.clean_orders, v.customers)
-    return A.state_trade_balance(route)
+    return A.trade_balance_of_tables(v.items_bucketed, v.sellers, v.clean_orders, v.customers)
+
+
+@register("state_trade_balance_of_route", _trade_balance_sql(_ROUTE_COLUMNS, "ol_items_bucketed"))
+def _q4_route(v: OrderViews) -> DataFrame:
+    return A.state_trade_balance(A.item_route(v.spark, v.items_bucketed, v.sellers, v.clean_orders, v.customers))
+
+
+@register("state_trade_balance_subcent", _trade_balance_sql(_ROUTE_COLUMNS, "ol_items_subcent"))
+def _q4_subcent(v: OrderViews) -> DataFrame:
+    return A.trade_balance_of_tables(v.items_subcent, v.sellers, v.clean_orders, v.customers)
+
+
+@register("state_trade_balance_with_gaps", _trade_balance_sql(_ROUTE_COLUMNS, "ol_items_bucketed")
+          .replace("ol_sellers", "ol_some_sellers").replace("ol_customers", "ol_shared_customers"))
+def _q4_gaps(v: OrderViews) -> DataFrame:
+    """States without sellers and states without buyers."""
+    return A.trade_balance_of_tables(v.items_bucketed, v.some_sellers, v.clean_orders, v.shared_customers)
 
 
 @register("state_trade_balance_item_grain",
           _trade_balance_sql("i.order_item_id, " + _ROUTE_COLUMNS, "ol_items_bucketed"))
 def _q4_item_grain(v: OrderViews) -> DataFrame:
-    route = A.item_route(v.spark, v.items_bucketed, v.sellers, v.clean_orders, v.customers,
-                         extra_item_columns=["order_item_id"])
-    return A.state_trade_balance(route)
+    return A.trade_balance_of_tables(v.items_bucketed, v.sellers, v.clean_orders, v.customers,
+                                     extra_item_columns=["order_item_id"])
 
 
 @register("hour_weekday_matrix", _hour_weekday_sql("ol_clickstream_orders"))
@@ -235,6 +268,14 @@ def _q6(v: OrderViews) -> DataFrame:
     return A.payment_summary(v.clean_payments)
 
 
+@register("payment_summary_subcent", f"""
+SELECT payment_type, {_money_sum('payment_value')} AS total_payment_value,
+       avg(payment_installments) AS avg_installments
+FROM ol_payments_subcent GROUP BY payment_type""")
+def _q6_subcent(v: OrderViews) -> DataFrame:
+    return A.payment_summary(v.payments_subcent)
+
+
 @register("orders_per_state", """
 SELECT c.customer_state, count(o.order_id) AS order_count
 FROM ol_customers c JOIN ol_clean_orders o ON c.customer_id = o.customer_id GROUP BY c.customer_state""")
@@ -252,6 +293,17 @@ def _q8_order_grain(v: OrderViews) -> DataFrame:
     return A.customer_behaviour(v.clean_orders, v.clean_payments, grain="order")
 
 
+@register("customer_behaviour_subcent", _BEHAVIOUR_SQL.replace("ol_clean_payments", "ol_payments_subcent"))
+def _q8_subcent(v: OrderViews) -> DataFrame:
+    return A.customer_behaviour(v.clean_orders, v.payments_subcent)
+
+
+@register("customer_behaviour_with_gaps", _BEHAVIOUR_SQL.replace("ol_clean_payments", "ol_some_payments"))
+def _q8_gaps(v: OrderViews) -> DataFrame:
+    """Orders, and customers, without a payment."""
+    return A.customer_behaviour(v.clean_orders, v.some_payments)
+
+
 @register("customer_behaviour_count", f"SELECT count(*) AS row_count FROM ({_BEHAVIOUR_SQL}) t")
 def _p4(v: OrderViews) -> DataFrame:
     return quality.row_count(A.customer_behaviour(v.clean_orders, v.clean_payments))
@@ -271,6 +323,20 @@ def _q9(v: OrderViews) -> DataFrame:
     return A.value_by_product_size(v.items, v.products)
 
 
+@register("value_by_product_size_subcent", f"""
+SELECT {_size_case('p')} AS product_size_category,
+       {_round2(_money_sum('i.price') + ' / count(i.price)')} AS average_order_value
+FROM ol_items_subcent i JOIN ol_products p ON i.product_id = p.product_id GROUP BY 1""")
+def _q9_subcent(v: OrderViews) -> DataFrame:
+    return A.value_by_product_size(v.items_subcent, v.products)
+
+
+@register("seller_monthly_growth_subcent", _GROWTH_SQL.format(prev="prev_sales").replace(
+    "JOIN ol_items i ON", "JOIN ol_items_subcent i ON"))
+def _q10_subcent(v: OrderViews) -> DataFrame:
+    return A.seller_monthly_growth(v.clean_orders, v.items_subcent)
+
+
 @register("seller_monthly_growth", _GROWTH_SQL.format(prev="prev_sales"))
 def _q10(v: OrderViews) -> DataFrame:
     return A.seller_monthly_growth(v.clean_orders, v.items)
@@ -328,15 +394,34 @@ def _j2(v: OrderViews) -> DataFrame:
                          "s.seller_state", "pr.product_category_name")
 
 
-@register("join_left_expression", """
+_LEFT_COUNTS_SQL = """
 WITH b AS (SELECT customer_state, count(customer_id) AS customers FROM ol_customers GROUP BY customer_state),
 s AS (SELECT seller_state, count(seller_id) AS sellers FROM ol_sellers GROUP BY seller_state)
 SELECT b.customer_state, b.customers, b.customer_state AS seller_state, COALESCE(s.sellers, 0) AS sellers
-FROM b LEFT JOIN s ON b.customer_state = s.seller_state""")
+FROM b LEFT JOIN s ON b.customer_state = s.seller_state"""
+
+
+@register("join_left_expression", _LEFT_COUNTS_SQL)
 def _j5(v: OrderViews) -> DataFrame:
     return A.state_counts_left_join(v.customers, v.sellers)
 
 
+@register("join_left_expression_with_gaps", _LEFT_COUNTS_SQL.replace("ol_sellers", "ol_some_sellers"))
+def _j5_gaps(v: OrderViews) -> DataFrame:
+    """States without sellers take the filled 0."""
+    return A.state_counts_left_join(v.customers, v.some_sellers)
+
+
+@register("join_left_semi_exists_with_gaps", """
+SELECT * FROM ol_items i
+WHERE i.order_id IN (SELECT order_id FROM ol_some_payments)
+  AND i.seller_id IN (SELECT seller_id FROM ol_some_sellers)
+  AND i.product_id IN (SELECT product_id FROM ol_some_products)""")
+def _j3_gaps(v: OrderViews) -> DataFrame:
+    return relational.semi_filter(v.items, (v.some_payments, "order_id"), (v.some_sellers, "seller_id"),
+                                  (v.some_products, "product_id"))
+
+
 @register("join_left_semi_exists", """
 SELECT * FROM ol_items i
 WHERE i.order_id IN (SELECT order_id FROM ol_clean_payments)
@@ -461,6 +546,17 @@ def _u1(v: OrderViews) -> DataFrame:
         classify.margin_category(margin).alias("margin_category"))
 
 
+@register("margin_category_balanced", f"""
+WITH goods AS (SELECT order_id, {_money_sum('price')} AS goods_value FROM ol_items GROUP BY order_id),
+m AS (SELECT order_id, CASE WHEN order_id % 3 = 0 THEN 0.0 ELSE goods_value - 150000 END AS margin_activity FROM goods)
+SELECT order_id, CAST(margin_activity AS DOUBLE) AS margin_activity, {_margin_case('margin_activity')} AS margin_category FROM m""")
+def _u1_balanced(v: OrderViews) -> DataFrame:
+    """Every third order is balanced exactly; the others fall on both sides."""
+    goods = v.items.groupBy("order_id").agg(exact_sum("price").alias("goods_value"))
+    margin = F.when(F.col("order_id") % 3 == 0, F.lit(0.0)).otherwise(F.col("goods_value") - 150000)
+    return goods.select("order_id", margin.alias("margin_activity"), classify.margin_category(margin).alias("margin_category"))
+
+
 @register("product_size_class", f"""
 SELECT p.*, {_size_case('p')} AS product_size_category FROM ol_products p""")
 def _u2(v: OrderViews) -> DataFrame:

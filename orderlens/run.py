@@ -59,8 +59,8 @@ def run_all(spark: SparkSession, tables: Tables, trim: bool = False,
         if all(n in t for n in needs):
             results[name] = fn(*(t[n] for n in needs))
     if all(n in t for n in ("order_items", "sellers", "orders", "customers")):
-        route = A.item_route(spark, t["order_items"], t["sellers"], t["orders"], t["customers"])
-        results["state_trade_balance"] = A.state_trade_balance(route)
+        results["state_trade_balance"] = A.trade_balance_of_tables(
+            t["order_items"], t["sellers"], t["orders"], t["customers"])
     return results
 
 

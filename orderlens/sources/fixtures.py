@@ -21,6 +21,9 @@ PAYMENT_TYPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 UNTRANSLATED_TYPES = ["PROMO", "STANDARD"]
 PRICE_BUCKET = 10_000
 UNTYPED_EVERY = 97
+STATES_WITHOUT_SELLERS = ["NATION_3", "NATION_8"]
+STATES_WITHOUT_BUYERS = ["NATION_5"]
+SHARED_IDS = 400
 
 
 # Column layout of the driver tables, declared so that reading them needs no
@@ -136,6 +139,36 @@ class OrderViews:
                         F.lower(p.p_type).alias("product_category_name_english"))
                 .distinct())
 
+    @cached_property
+    def some_sellers(self) -> DataFrame:
+        """Sellers with gaps: a seventh of the ids and whole states are missing."""
+        return self.sellers.where((F.col("seller_id") % 7 != 0) & ~F.col("seller_state").isin(STATES_WITHOUT_SELLERS))
+
+    @cached_property
+    def some_payments(self) -> DataFrame:
+        """Clean payments, none for every eleventh order."""
+        return self.clean_payments.where(F.col("order_id") % 11 != 0)
+
+    @cached_property
+    def some_products(self) -> DataFrame:
+        return self.products.where(F.col("product_id") % 5 != 0)
+
+    @cached_property
+    def shared_customers(self) -> DataFrame:
+        """Customers whose unique ids repeat, and states where nobody buys."""
+        shared = F.concat(F.lit("U"), (F.col("customer_id") % SHARED_IDS).cast("string"))
+        return (self.customers.where(~F.col("customer_state").isin(STATES_WITHOUT_BUYERS))
+                .withColumn("customer_unique_id", shared))
+
+    @cached_property
+    def items_subcent(self) -> DataFrame:
+        """Prices with parts below a cent."""
+        return self._items(F.col("l_extendedprice") / 8)
+
+    @cached_property
+    def payments_subcent(self) -> DataFrame:
+        return self.clean_payments.withColumn("payment_value", F.col("payment_value") / 8)
+
     @cached_property
     def products_padded(self) -> DataFrame:
         p = self.table("part")
@@ -191,6 +224,18 @@ SQL_VIEWS: dict[str, str] = {
         lower(p_type) AS product_category_name_english FROM part
         WHERE p_type NOT IN ({untranslated})""".replace(
         "{untranslated}", ", ".join(f"'{t}'" for t in UNTRANSLATED_TYPES)),
+    "ol_some_sellers": """SELECT * FROM ol_sellers
+        WHERE seller_id % 7 <> 0 AND seller_state NOT IN ({states})""".replace(
+        "{states}", ", ".join(f"'{s}'" for s in STATES_WITHOUT_SELLERS)),
+    "ol_some_payments": "SELECT * FROM ol_clean_payments WHERE order_id % 11 <> 0",
+    "ol_some_products": "SELECT * FROM ol_products WHERE product_id % 5 <> 0",
+    "ol_shared_customers": f"""SELECT customer_id, 'U' || CAST(customer_id % {SHARED_IDS} AS VARCHAR) AS customer_unique_id,
+        customer_state FROM ol_customers WHERE customer_state NOT IN ({{states}})""".replace(
+        "{states}", ", ".join(f"'{s}'" for s in STATES_WITHOUT_BUYERS)),
+    "ol_items_subcent": """SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_partkey AS product_id,
+        l_suppkey AS seller_id, l_extendedprice / 8 AS price FROM lineitem""",
+    "ol_payments_subcent": """SELECT order_id, payment_sequential, payment_type, payment_installments,
+        payment_value / 8 AS payment_value FROM ol_clean_payments""",
     "ol_products_padded": """SELECT p_partkey AS product_id,
         '  ' || replace(p_name, ' ', ' ' || chr(9) || '  ') || ' ' AS product_name,
         ' ' || p_brand || '  ' AS product_brand, p_type AS product_category_name,
