@@ -1,5 +1,7 @@
 """Physical-plan properties: no Python workers, pruning, single pass over items."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry_module
@@ -32,3 +34,42 @@ def test_no_single_partition_exchange_over_per_key_rows(spark):
     # the only global ordering in the share query is over the distinct count values
     plan = _plan(Q["customer_share_by_state"](spark, SF_SMALL))
     assert plan.count("SinglePartition") == 1
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield spark
+    spark.conf.set(name, before)
+
+
+def _item_exchanges(plan: str) -> list[tuple[list[str], bool]]:
+    """From the item scan upwards: the keys of every exchange, and whether an aggregate lies right below it."""
+    lines = plan.splitlines()
+    column = [re.search(r"[A-Za-z*]", line).start() if re.search(r"[A-Za-z*]", line) else 0 for line in lines]
+    at, found, path = next(i for i, line in enumerate(lines) if "lineitem.parquet" in line), [], []
+    for i in range(at, -1, -1):
+        if not path or column[i] < column[path[-1]]:
+            path.append(i)
+    for child, i in zip(path, path[1:]):
+        if keys := re.search(r"Exchange hashpartitioning\((.*), \d+\)", lines[i]):
+            found.append((re.findall(r"(\w+)#", keys[1]), "HashAggregate" in lines[child]))
+    return found
+
+
+def test_items_are_folded_before_the_seller_and_product_tests(no_broadcast):
+    exchanges = _item_exchanges(_plan(Q["active_sellers_by_year"](no_broadcast, SF_SMALL)))
+    assert exchanges[:2] == [(["order_id"], False), (["year", "seller_id", "product_id"], True)]
+
+
+def test_trade_balance_moves_no_items_by_seller(no_broadcast):
+    exchanges = _item_exchanges(_plan(Q["state_trade_balance"](no_broadcast, SF_SMALL)))
+    assert [keys for keys, _ in exchanges[:3]] == [["order_id", "price", "seller_id"], ["order_id"], ["seller_id", "customer_state"]]
+    assert exchanges[0][1] and exchanges[2][1]
+
+
+def test_customer_behaviour_reads_orders_for_one_join(no_broadcast):
+    plan = _plan(Q["customer_behaviour"](no_broadcast, SF_SMALL))
+    assert plan.count("SortMergeJoin") == 1 and plan.count("orders.parquet") == 2     # the orders, and the payments made of them

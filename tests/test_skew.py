@@ -1,6 +1,7 @@
 """One key holding a third (or more) of all rows: results stay exact and the plans
 keep map-side partial aggregation in front of every shuffle on that key."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from orderlens.plans import analyses as A
@@ -53,11 +54,14 @@ def test_many_copies_of_one_row_dedupe(spark):
     assert got == {"RJ": 10.0 * (1 + 20_000)}
 
 
-def test_hot_order_key_in_trade_balance_is_split(spark):
-    """One order holding two thirds of the items: AQE splits its join partition (the
-    recommended session forces the split although the de-duplication then needs a
-    further shuffle), and the answer does not change."""
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+@pytest.mark.parametrize("of_route", [True, False])
+def test_hot_order_key_in_trade_balance_is_split(spark, of_route):
+    """One order holding two thirds of the items: AQE splits its join partition, and the
+    answer does not change.  From the route this takes the recommended session, which forces
+    the split although the de-duplication then needs a further shuffle; from the tables a
+    plain session splits it."""
+    settings = {"spark.sql.adaptive.forceOptimizeSkewedJoin": str(of_route).lower(),
+                "spark.sql.autoBroadcastJoinThreshold": "-1",
                 "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
                 "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
                 "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
@@ -66,7 +70,7 @@ def test_hot_order_key_in_trade_balance_is_split(spark):
     before = {k: spark.conf.get(k, None) for k in settings}
     n = 60_000
     items = spark.range(n).select(F.when(F.col("id") % 3 != 0, F.lit(0)).otherwise(F.col("id")).alias("order_id"),
-                                  (F.col("id") % 50).alias("seller_id"), (F.col("id") % 1000).cast("double").alias("price"))
+                                  (F.col("id") % 50).alias("seller_id"), (F.col("id") % 30_000).cast("double").alias("price"))
     orders = spark.range(n).select(F.col("id").alias("order_id"), (F.col("id") % 500).alias("customer_id"))
     customers = spark.range(500).select(F.col("id").alias("customer_id"),
                                         (F.col("id") % 7).cast("string").alias("customer_state"))
@@ -74,7 +78,10 @@ def test_hot_order_key_in_trade_balance_is_split(spark):
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        df = A.state_trade_balance(A.item_route(spark, items, sellers, orders, customers))
+        if of_route:
+            df = A.state_trade_balance(A.item_route(spark, items, sellers, orders, customers))
+        else:
+            df = A.trade_balance_of_tables(items, sellers, orders, customers)
         got = sorted(map(tuple, df.collect()))
         plan = df._jdf.queryExecution().executedPlan().toString()
     finally:
