@@ -7,6 +7,7 @@ same question in DuckDB SQL over the same base tables.  Column names match.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from orderlens.functions.scalar import (
 )
 from orderlens.operators import cleaning, quality, relational
 from orderlens.plans import analyses as A
+from orderlens.sources.catalog import publish, run_sql
 from orderlens.sources.fixtures import PAYMENT_TYPES, UNDEFINED_PAYMENT_TYPE, OrderViews, with_views
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -364,6 +366,22 @@ def _s3(v: OrderViews) -> DataFrame:
     return A.item_route(v.spark, v.items, v.sellers, v.clean_orders, v.customers)
 
 
+@register("sql_route_of_views", f"""
+SELECT {_ROUTE_COLUMNS}
+FROM ol_items i JOIN ol_sellers s ON i.seller_id = s.seller_id
+JOIN ol_clean_orders o ON i.order_id = o.order_id
+JOIN ol_customers c ON c.customer_id = o.customer_id""")
+def _s2(v: OrderViews) -> DataFrame:
+    """SQL text over temp views, named for this call and dropped once the text is resolved."""
+    tables = {"items": v.items, "sellers": v.sellers, "orders": v.clean_orders, "customers": v.customers}
+    names = dict(zip(tables, publish(tables, prefix=f"view_{uuid.uuid4().hex}_")))
+    try:
+        return run_sql(v.spark, f"SELECT {', '.join(A.ROUTE_COLUMNS)} {A.ROUTE_FROM.format(**names)}")
+    finally:
+        for name in names.values():
+            v.spark.catalog.dropTempView(name)
+
+
 @register("project_columns", "SELECT order_purchase_timestamp, order_id FROM ol_clean_orders")
 def _r1(v: OrderViews) -> DataFrame:
     return relational.project(v.clean_orders, ["order_purchase_timestamp", "order_id"])
