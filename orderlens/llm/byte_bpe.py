@@ -120,6 +120,26 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*parts, np.empty(0)]), kind))
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], spec: str, table: list[bytes], text: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    encoder, lengths = Encoder(spec, pattern), np.array([len(t) for t in table])
+    for whole in batches:
+        for at in range(0, whole.num_rows, BATCH):
+            batch = whole.slice(at, BATCH)
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            ids = [encoder(t) for t in texts]
+            spans = [char_spans(t, i, lengths) if len(i) else (i, i) for t, i in zip(texts, ids)]
+            yield _with(batch, text, {"ids": _lists(ids, pa.int32()), "starts": _lists([a for a, _ in spans], pa.int32()),
+                                      "ends": _lists([b for _, b in spans], pa.int32())})
+
+
+def _decoded(ids: pa.Array, table: list[bytes]) -> pa.Array:
+    try:
+        return pa.array([b"".join([table[i] for i in tokens.values.to_numpy(zero_copy_only=False).tolist()] if tokens.is_valid else [])
+                         for tokens in ids], pa.binary())
+    except (IndexError, TypeError) as e:
+        raise ValueError("an id is null or not in the vocabulary") from e
+
+
 def encode(rows: DataFrame, path: str, text: str = "text", pattern: str = PATTERN) -> DataFrame:
     """``rows`` without the column ``text``, plus ids, starts and ends (code points, end exclusive)."""
     given = rows.sparkSession.sparkContext.broadcast(load(path))
@@ -127,16 +147,7 @@ def encode(rows: DataFrame, path: str, text: str = "text", pattern: str = PATTER
     schema = rows.drop(text).withColumns({"ids": empty, "starts": empty, "ends": empty}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec, table = given.value
-        encoder, lengths = Encoder(spec, pattern), np.array([len(t) for t in table])
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
-                texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-                ids = [encoder(t) for t in texts]
-                spans = [char_spans(t, i, lengths) if len(i) else (i, i) for t, i in zip(texts, ids)]
-                yield _with(batch, text, {"ids": _lists(ids, pa.int32()), "starts": _lists([a for a, _ in spans], pa.int32()),
-                                          "ends": _lists([b for _, b in spans], pa.int32())})
+        return _encoded(batches, *given.value, text, pattern)
 
     return rows.mapInArrow(run, schema)
 
@@ -147,15 +158,8 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     schema = rows.drop(ids).withColumn("decoded", F.lit(b"").cast("binary")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = given.value[1]
         for batch in batches:
-            found = []
-            for tokens in batch.column(batch.schema.get_field_index(ids)):
-                try:
-                    found.append(b"".join([table[i] for i in tokens.values.to_numpy(zero_copy_only=False).tolist()] if tokens.is_valid else []))
-                except (IndexError, TypeError) as e:
-                    raise ValueError("an id is null or not in the vocabulary") from e
-            yield _with(batch, ids, {"decoded": pa.array(found, pa.binary())})
+            yield _with(batch, ids, {"decoded": _decoded(batch.column(batch.schema.get_field_index(ids)), given.value[1])})
 
     return rows.mapInArrow(run, schema)
 
@@ -166,8 +170,19 @@ def ids_sha256(ids: Column) -> Column:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document.
+
+    Encoding and decoding share one Python worker: the tokens go from one to the other without a second worker a task.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    encoded = encode(rows, path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256(F.col("ids")).alias("ids_sha256"), "ids")
-    return decode(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    given = docs.sparkSession.sparkContext.broadcast(load(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _encoded(batches, *given.value, "text", PATTERN):
+            ids = batch.column(batch.schema.get_field_index("ids"))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), ids, _decoded(ids, given.value[1])],
+                                             ["doc_id", "ids", "decoded"])
+
+    tokens = rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256(F.col("ids")).alias("ids_sha256"),
+                         F.sha2("decoded", 256).alias("decoded_sha256"))
