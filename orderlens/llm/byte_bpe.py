@@ -31,7 +31,7 @@ from .common import text_of
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BATCH = 256                         # texts in an output batch
-WORDS = 400_000                     # words whose ids a task remembers
+WORDS = 150_000                     # words whose ids a task remembers
 
 
 def byte_letters() -> list[str]:
