@@ -133,11 +133,16 @@ def _encoded(batches: Iterator[pa.RecordBatch], spec: str, table: list[bytes], t
 
 
 def _decoded(ids: pa.Array, table: list[bytes]) -> pa.Array:
-    try:
-        return pa.array([b"".join([table[i] for i in tokens.values.to_numpy(zero_copy_only=False).tolist()] if tokens.is_valid else [])
-                         for tokens in ids], pa.binary())
-    except (IndexError, TypeError) as e:
-        raise ValueError("an id is null or not in the vocabulary") from e
+    found = []
+    for tokens in ids:
+        own = tokens.values.to_numpy(zero_copy_only=False).tolist() if tokens.is_valid else []
+        try:
+            if min(own, default=0) < 0:
+                raise IndexError
+            found.append(b"".join([table[i] for i in own]))
+        except (IndexError, TypeError) as e:
+            raise ValueError("an id is null or not in the vocabulary") from e
+    return pa.array(found, pa.binary())
 
 
 def encode(rows: DataFrame, path: str, text: str = "text", pattern: str = PATTERN) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -268,3 +269,11 @@ def test_warc_audit_finds_the_damage(spark):
     assert found == {(44, "missing_second"), (other[100][0], "corrupt"), (None, "corrupt"), (5000, "missing_first")}
     assert {r.status for r in warc_fixity.audit(a, a).collect()} == {"intact"}
     assert warc_fixity.audit(a.limit(0), a.limit(0)).count() == 0
+
+
+def test_byte_bpe_refuses_unknown_ids():
+    table = [b"a", b"", b"b"]
+    assert byte_bpe._decoded(pa.array([[0, 2], [], None], pa.list_(pa.int32())), table).to_pylist() == [b"ab", b"", b""]
+    for wrong in ([0, 3], [-1], [0, None]):
+        with pytest.raises(ValueError):
+            byte_bpe._decoded(pa.array([wrong], pa.list_(pa.int32())), table)
