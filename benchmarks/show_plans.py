@@ -22,13 +22,18 @@ def main() -> None:
     print(f"# Final physical plans ({os.path.basename(sf_dir)}, local[8], AQE on)\n")
     print("Generated by `benchmarks/show_plans.py`: each analysis is executed, then the final "
           "adaptive plan of that execution is printed. Expression ids are stripped.\n")
-    for name in HEADLINE:
-        df = QUERIES[name](spark, sf_dir)
-        df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        plan = re.sub(r"#\d+L?", "", plan)
-        plan = re.sub(r"Location: InMemoryFileIndex\(1 paths\)\[file:[^\]]*/", "Location: [", plan)
-        print(f"## {name}\n\n```\n{plan.rstrip()}\n```\n")
+    default = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for part, threshold in (("Broadcasts by size", default), ("Broadcasts off, as where no dimension is small enough", "-1")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        print(f"# {part}\n")
+        for name in HEADLINE:
+            df = QUERIES[name](spark, sf_dir)
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            plan = re.sub(r"#\d+L?", "", plan)
+            plan = re.sub(r"Location: InMemoryFileIndex\(1 paths\)\[file:[^\]]*/", "Location: [", plan)
+            plan = re.split(r"\n\W*== Initial Plan ==", plan)[0]
+            print(f"## {name}\n\n```\n{plan.rstrip()}\n```\n")
     spark.stop()
 
 
