@@ -34,7 +34,10 @@ replies share sharing sidebar skip social sponsor sponsored subscribe tags toolb
 ARTICLE_NAMES = frozenset("article content entry main post story".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)
-                     |<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attributes>(?:[^<>"']|"[^"<>]*+"|'[^'<>]*+')*+[^>]*+)(?:>|\Z)""", re.S | re.X)
+                     |<(?P<end>/?)(?P<name>[A-Za-z][^\s/><]*+)(?!<)(?P<attributes>(?:[^<>"']|"[^"<>]*+"|'[^'<>]*+')*+[^>]*+)(?:>|\Z)""", re.S | re.X)
+#: Where unread content stops, by element.  Within a head, all but a script also stop where the head does.
+OWN_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in UNREAD}
+HEAD_END = {name: re.compile(rf"</(?:{name}|head)(?=[\s/>]|\Z)|<body(?=[\s/>]|\Z)", re.I) for name in UNREAD - {"script"}}
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 OUTSIDE, ARTICLE, PAGE_FURNITURE = 0, 1, 2
@@ -125,7 +128,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """(text, words, words in links, container, heading) of the page's text blocks, in order."""
     found, text, in_links = [], [], []
     open_: list[tuple[str, int]] = []               # elements that say something about what is inside them
-    state, links, heading, skip, at = OUTSIDE, 0, 0, "", 0
+    state, links, heading, in_head, at = OUTSIDE, 0, 0, False, 0
+    endless: set[str] = set()                       # elements without an end tag from here on
 
     def close_block() -> None:
         words = html.unescape("".join(text)).split()
@@ -139,24 +143,29 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if links:
             in_links.append(piece)
 
-    for m in TAG.finditer(page):
-        if not skip and m.start() > at:
+    while m := TAG.search(page, at):
+        if not in_head and m.start() > at:
             read(page[at:m.start()])
         at = m.end()
         name = (m["name"] or "").lower()
-        if skip:
-            if name == skip and m["end"]:
-                skip = ""
-            elif skip == "head" and name == "body":
-                skip = ""
-            else:
+        if in_head and name == ("head" if m["end"] else "body"):
+            in_head = False
+        if name in UNREAD:
+            if m["end"] or m["attributes"].endswith("/"):
                 continue
-        if not name:
+            close_block()
+            if name == "head":
+                in_head = True
+            elif name not in endless:
+                stop = (HEAD_END if in_head else OWN_END).get(name, OWN_END[name]).search(page, at)
+                if stop:
+                    at = stop.start()
+                elif in_head:
+                    endless.add(name)
+                else:
+                    at = len(page)
             continue
-        if name in UNREAD:
-            if not m["end"] and not m["attributes"].endswith("/"):
-                close_block()
-                skip = name
+        if in_head or not name:
             continue
         if name == "a":
             links = 0 if m["end"] else 1
@@ -183,7 +192,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if inner == PAGE_FURNITURE:
                 open_.append((name, state))
                 state = inner
-    if not skip:
+    if not in_head:
         read(page[at:])
     close_block()
     return found

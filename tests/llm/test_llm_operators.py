@@ -277,3 +277,25 @@ def test_byte_bpe_refuses_unknown_ids():
     for wrong in ([0, 3], [-1], [0, None]):
         with pytest.raises(ValueError):
             byte_bpe._decoded(pa.array([wrong], pa.list_(pa.int32())), table)
+
+
+LONG = "These are more than enough words for the paragraph of an article to be read"
+
+
+@pytest.mark.parametrize("unread", [
+    "<script>if(a<b){x()}</script>", "<script>for(i=0;i<n;i++){x()}</SCRIPT >", '<script>var s="<!--";</script>', '<script>var s="</p><style>";</script>',
+    '<style>a:before{content:"<b"}</style>', '<style>/* <!-- */</style>', "<noscript>a<b</noscript>", "<textarea><!-- a<b</textarea>", "<svg><style>a<b{}</style></svg>",
+    "<script src=x></script>", "<script>x('<script>')</script>", "<button>a<b</button>", "<iframe><!-- </iframe>"])
+def test_text_after_unread_elements_is_kept(unread):
+    assert html_text.main_text(f"<body>{unread}<article><p>{LONG}.</p>{unread}<p>{LONG}, too.</p></article>") == f"{LONG}.\n\n{LONG}, too."
+    in_head = f"<html><head><title>a <b <!-- c</title><meta name=x>{unread}</head><body><article><p>{LONG}.</p></article></body></html>"
+    assert html_text.main_text(in_head) == f"{LONG}."
+
+
+def test_unread_elements_end_where_they_did():
+    for page in (f"<head><title>no end<body><article><p>{LONG}", f"<head><style>a<b</head><article><p>{LONG}", f"<head><script>no end<body><article><p>{LONG}",
+                 f"<article><p>{LONG}<script>never closed<p>{LONG}", f"<head><script>document.write('</head><body>')</script></head><article><p>{LONG}",
+                 f"<article><p>{LONG}</p><script>a</scripts>b<p>{LONG}"):
+        assert html_text.main_text(page) == LONG
+    assert html_text.main_text(f"<article><p>{LONG} if a<b<p>{LONG}") == f"{LONG} if a<b\n\n{LONG}"
+    assert html_text.main_text("<head>" + "<title>" * 100_000) == ""
