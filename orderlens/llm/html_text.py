@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,10 +28,28 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 UNREAD = frozenset("script style noscript template svg math iframe object head title select textarea button canvas audio video".split())
 FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
 HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr p li dt dd tr td th option".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr option".split())
+CLOSES_P = HEADINGS | frozenset("""address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form header
+hgroup hr li main menu nav ol p pre search section summary table ul""".split())
+#: What the start of an element ends, up to the nearest of the second names; its end tag looks no further either.
+ENDED = {
+    **dict.fromkeys(("li",), (("li",), ("ul", "ol", "menu", "dir", "table"))), **dict.fromkeys(("dt", "dd"), (("dt", "dd"), ("dl", "table"))),
+    **dict.fromkeys(("td", "th"), (("td", "th"), ("tr", "table"))), "tr": (("td", "th", "tr"), ("table",)),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (("td", "th", "tr", "tbody", "thead", "tfoot"), ("table",))),
+}
 FURNITURE_NAMES = frozenset("""ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent
 disqus footer header masthead menu nav navbar navigation newsletter notice notices pagination popup modal promo promoted related
 replies share sharing sidebar skip social sponsor sponsored subscribe tags toolbar widget""".split())
+#: Furniture too: names made of furniture words, other than those of LAYOUT, and these; and the whole names below.
+FILLERS = frozenset("""area bar block body box button buttons container form group icons inner item items law link links list media panel posts
+section slot thread tools unit wrap wrapper""".split())
+LAYOUT = frozenset("header masthead sidebar".split())
+FURNITURE_COMPOUNDS = frozenset("""article-footer article-sidebar content-footer content-sidebar entry-comments entry-footer entry-tags left-nav main-menu
+main-nav main-navigation main-sidebar page-footer page-nav page-navigation post-comments post-footer post-navigation post-tags primary-menu primary-nav
+related-articles related-content related-stories right-nav secondary-menu secondary-nav site-footer site-header site-menu site-nav site-navigation
+skip-to-content sub-nav top-nav""".split())
+#: Names of what holds articles that are not the page's own.
+OTHER_ARTICLES = frozenset("comment comments disqus promo promoted related replies sponsor sponsored".split())
 ARTICLE_NAMES = frozenset("article content entry main post story".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)
@@ -38,7 +57,7 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:
 #: Where unread content stops, by element.  Within a head, all but a script also stop where the head does.
 OWN_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in UNREAD}
 HEAD_END = {name: re.compile(rf"</(?:{name}|head)(?=[\s/>]|\Z)|<body(?=[\s/>]|\Z)", re.I) for name in UNREAD - {"script"}}
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 OUTSIDE, ARTICLE, PAGE_FURNITURE = 0, 1, 2
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "in_article", "in_furniture")
@@ -106,29 +125,44 @@ def classify(node, features: tuple) -> int:
     return node
 
 
-def _container(name: str, attributes: str, around: int) -> int:
-    """What the element ``name`` means for the blocks inside it."""
+def _is_furniture(name: list[str]) -> bool:
+    """Whether a whole class name, given as its words, names page furniture."""
+    words = {*name}
+    return (bool(words) and words <= FURNITURE_NAMES or "-".join(name) in FURNITURE_COMPOUNDS
+            or bool(words & FURNITURE_NAMES) and not words & LAYOUT and words <= FURNITURE_NAMES | FILLERS)
+
+
+def _container(name: str, attributes: str, around: int) -> tuple[int, bool | None]:
+    """What the element ``name`` means for the blocks inside it; if it is furniture by itself, whether an article inside it overrides that."""
     if name in ("article", "main") or (name == "body" and around == OUTSIDE):
         named = OUTSIDE if name == "body" else ARTICLE
     elif name in FURNITURE or (name == "header" and around != ARTICLE):
-        return PAGE_FURNITURE
+        return PAGE_FURNITURE, False
     else:
         named = around
-    words = set()
-    if name != "body" and "=" in attributes:
-        words = {w for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", "".join(m.groups("")).lower())}
-    if words & FURNITURE_NAMES and not words & {"with", "has", "no"}:
-        return PAGE_FURNITURE
+    names = []
+    if name not in ("body", "main") and "=" in attributes:
+        names = [[w for w in re.split(r"[^a-z]+", n) if w] for m in NAMES.finditer(attributes) for n in "".join(m.groups("")).lower().split()]
+    words = {w for n in names for w in n}
+    negated = bool(words & {"with", "has", "no"})
+    told = any(ARTICLE_NAMES & {*n} and (negated or name == "article" or not FURNITURE_NAMES & {*n}) for n in names)
+    if not negated and not (told and name == "article"):
+        kept = LAYOUT - {"sidebar"} if around == ARTICLE else frozenset()           # an article has a header too
+        if any(_is_furniture(n) and not kept & {*n} for n in names):
+            return PAGE_FURNITURE, name != "article" and not words & OTHER_ARTICLES
     if around == PAGE_FURNITURE:
-        return around
-    return ARTICLE if words & ARTICLE_NAMES else named
+        return around, None
+    return ARTICLE if told else named, None
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """(text, words, words in links, container, heading) of the page's text blocks, in order."""
     found, text, in_links = [], [], []
-    open_: list[tuple[str, int]] = []               # elements that say something about what is inside them
-    state, links, heading, in_head, at = OUTSIDE, 0, 0, False, 0
+    # Open elements: name, the place around, the place inside.  A place is [container, whether an article inside overrides it],
+    # the same object for all that stands in it, as an article may come after other blocks
+    open_: list[tuple[str, list, list]] = []
+    counts: Counter[str] = Counter()                # of the names in open_
+    state, links, heading, in_head, at = [OUTSIDE, False], 0, 0, False, 0
     endless: set[str] = set()                       # elements without an end tag from here on
 
     def close_block() -> None:
@@ -143,6 +177,34 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if links:
             in_links.append(piece)
 
+    def leave(names: tuple[str, ...], within: tuple[str, ...] = ()) -> bool:
+        """End the innermost open element of ``names`` and all in it, if it is not beyond one of ``within``."""
+        nonlocal state
+        if any(counts[n] for n in names):
+            for i in range(len(open_) - 1, -1, -1):
+                if open_[i][0] in names:
+                    state = open_[i][1]
+                    counts.subtract(e[0] for e in open_[i:])
+                    del open_[i:]
+                    return True
+                if open_[i][0] in within:
+                    break
+        return False
+
+    def enter(name: str, attributes: str) -> None:
+        nonlocal state
+        around = state
+        if name in ("article", "main") and around[0] == PAGE_FURNITURE and _container(name, attributes, OUTSIDE)[0] == ARTICLE:
+            furniture = [e for e in open_ if e[1] is not e[2] and e[2][0] == PAGE_FURNITURE]
+            if all(e[2][1] for e in furniture):
+                for _, before, inside in furniture:
+                    inside[0] = before[0]
+        container, yields = _container(name, attributes, around[0])
+        if container != around[0] or yields is not None:
+            state = [container, bool(yields) and not counts["article"]]
+        open_.append((name, around, state))
+        counts[name] += 1
+
     while m := TAG.search(page, at):
         if not in_head and m.start() > at:
             read(page[at:m.start()])
@@ -179,23 +241,19 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         links = 0
         heading = int(name in HEADINGS and not m["end"])
         if m["end"]:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    state = open_[i][1]
-                    del open_[i:]
-                    break
-        elif name not in VOID and not m["attributes"].endswith("/"):
-            open_.append((name, state))
-            state = _container(name, m["attributes"], state)
-        elif "=" in m["attributes"] and state != PAGE_FURNITURE and name == "p":
-            inner = _container(name, m["attributes"], state)
-            if inner == PAGE_FURNITURE:
-                open_.append((name, state))
-                state = inner
+            leave((name,), ENDED[name][1] if name in ENDED else ())
+            continue
+        if name in CLOSES_P:
+            leave(("p",), ("table", "td", "th", "caption"))
+        if name in ENDED:
+            while leave(*ENDED[name]):
+                pass
+        if name not in VOID and not m["attributes"].endswith("/"):
+            enter(name, m["attributes"])
     if not in_head:
         read(page[at:])
     close_block()
-    return found
+    return [(*b[:3], b[3][0], b[4]) for b in found]
 
 
 def main_text(page: str) -> str:

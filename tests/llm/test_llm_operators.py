@@ -299,3 +299,24 @@ def test_unread_elements_end_where_they_did():
         assert html_text.main_text(page) == LONG
     assert html_text.main_text(f"<article><p>{LONG} if a<b<p>{LONG}") == f"{LONG} if a<b\n\n{LONG}"
     assert html_text.main_text("<head>" + "<title>" * 100_000) == ""
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="layout sidebar-right"><article>{a}</article></div>', '<article class="post tag-social">{a}</article>', '<main class="content social">{a}</main>',
+    '<div class="layout sidebar">{a}<article>{b}</article></div>', '<main><div class="sidebar"><div id="widget"><article>{a}</article></div></div></main>',
+    '<article><header class="entry-header">{a}</header>{b}</article>', '<article><header class="header">{a}</header>{b}</article>',
+    '<article class="post related">{a}</article>', '<div class="category-comments"><p>{b}</p></div>',
+    '<article><p class=ad>{x}{a}</article>', '<article><p class="ad">{x}<p>{b}</p></article>', '<article><p class=ad>{x}<h2>{b}</h2></article>',
+    '<article><ul><li class="comment">{x}<li>{b}</ul></article>', '<article><ul><li class="share"><ul><li>{x}</ul><li>{b}</li></ul>{a}</article>',
+    '<table><tr><td class="sidebar">{x}<td>{b}</table>', '<table><tr><td id=sidebar>{x}</tr><tr><td>{b}</td></tr></table>', '<dl><dt class=promo>{x}<dd>{b}</dl>',
+    '<article>{a}<div class="comments"><article>{x}</article></div></article>', '<article>{a}</article><div id="comments"><article>{x}</article></div>',
+    '<article>{a}</article><article class="comment" id="comment-12">{x}</article>', '<article>{a}<div class="sidebar"><article>{x}</article></div></article>',
+    '<div class="sidebar"><div class="comments"><article>{x}</article></div></div><article>{a}</article>', '<aside><article>{x}</article></aside>{a}',
+    '<div class="layout sidebar"><nav>{x}</nav><div class="widget">{x}</div><article>{a}</article></div>', '<div class="share-buttons">{x}</div>{a}',
+    '<div class="cookie-notice">{x}</div><div id="widget-3">{x}</div><div class="comment_list">{x}</div>{a}'])
+def test_class_names_of_containers(page):
+    kept = {"{a}": f"<h1>{LONG}</h1><p>{LONG}, a.</p>", "{b}": f"{LONG}, b.", "{x}": f"{LONG}, x."}
+    expected = [t for k in re.findall(r"\{[ab]\}", page) for t in ([LONG, f"{LONG}, a."] if k == "{a}" else [f"{LONG}, b."])]
+    for k, v in kept.items():
+        page = page.replace(k, v)
+    assert html_text.main_text(f"<body class='has sidebar'>{page}</body>").split("\n\n") == expected
