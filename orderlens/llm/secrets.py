@@ -5,8 +5,10 @@ method adds what decodes to a key or a signed token: base64 and hex
 candidates are decoded and reported only if the bytes parse as a key
 encoding (DER whose nested lengths fill their parents exactly, an OpenSSH
 private key, an SSH public key of length-prefixed fields), PEM blocks only
-if their body does, and dotted tokens only if the first part is a JSON
-header that names an algorithm.
+if their body does or their header lines say that it is encrypted, and dotted
+tokens only if the first part is a JSON header that names an algorithm.
+Keys over several lines are read without escaped line ends, quote and comment
+marks and string quotes; outside a PEM block they are one span of kind key.
 
 Defined results: a null or empty text has no spans; spans are in code
 points, end exclusive, ordered by start, then by kind as listed in KINDS;
@@ -34,10 +36,25 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 LEAST_VALUE = 6
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")           # a run begins once, so 20 characters or more is the same as a filter after
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*+)-----([A-Za-z0-9+/=\s]++)-----END \1-----")
+BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*+)-----")
+LINE_END = r"(?:\\+r\\+n|\\+[nr]|\\+u000[aAdD]|\r\n?|\n)"
+HEADER_LINE = re.compile(r"[A-Za-z][A-Za-z0-9-]*:")
+ENCRYPTED = re.compile(r"Proc-Type:\s*4\s*,\s*ENCRYPTED\b"), re.compile(r"DEK-Info:\s*[A-Za-z0-9-]+(?:\s*,\s*[0-9A-Fa-f]+)?")
+STRING_END = re.compile(r"""["'`][\s+.,;&)\\]*$""")
+STRING_START = re.compile(r"""^[\s+.&(]*["'`]""")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}")
+#: Between two lines of one key: a line end with marks of a quote or comment, or the end and start of a source string.
+BETWEEN = rf"""(?:[ \t]*{LINE_END}(?:[ \t>#*;%|]|//(?=[ \t]))*|(?:\\+r)?(?:\\+n)?["'][ \t]*[+.,\\]?[ \t]*\r?\n[ \t]*[+.]?[ \t]*["'])"""
+FIRST_LINE = re.compile(rf"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-P]|AAAA|b3Bl)[A-Za-z0-9+/_-]++(?={BETWEEN}[A-Za-z0-9+/_-])")
+NEXT_LINE = re.compile(rf"{BETWEEN}([A-Za-z0-9+/_-]++)")
+LEAST_KEY = 32                      # characters of a key in base64
+LONGEST_SSH = 1 << 14               # characters of an SSH key over lines, whose length is not told at its start
+LEAST_CIPHER = 16                   # bytes of an encrypted key
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}+(?![0-9A-Fa-f])")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{14,}+)\.[A-Za-z0-9_-]++\.([A-Za-z0-9_-]*+))")        # {"alg":""} has 14 characters
+OPENSSH = b"openssh-key-v1\0"
+SSH_TYPE = re.compile(rb"(ssh|ecdsa|sk-ssh|sk-ecdsa)-")
+PADDING = re.compile("={0,2}")
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -72,9 +89,34 @@ def _fields(data: bytes) -> list[bytes] | None:
     return found
 
 
+def _key_ends(data: bytes) -> Iterator[int]:
+    """Where a key that ``data`` begins with may end."""
+    if data[:1] == b"\x30" and len(data) > 6:
+        size = data[1] & 0x7F if data[1] >= 0x80 else 0
+        if size <= 4:
+            yield 2 + size + (int.from_bytes(data[2:2 + size]) if size else data[1])
+        return
+    def after(at: int) -> int:
+        return at + 4 + int.from_bytes(data[at:at + 4])
+
+    if data.startswith(OPENSSH):                    # cipher, kdf, its options, the number of keys, the public keys, the private ones
+        at = after(after(after(len(OPENSSH))))
+        left = int.from_bytes(data[at:at + 4]) + 1
+        at += 4
+        while left and at + 4 <= len(data):
+            at, left = after(at), left - 1
+        if not left:
+            yield at
+    elif SSH_TYPE.match(data[4:]):
+        at = after(0)
+        while at + 4 <= len(data):
+            at = after(at)
+            yield at
+
+
 def is_key(data: bytes) -> bool:
     """Whether the bytes are a key encoding."""
-    if data.startswith(b"openssh-key-v1\0"):
+    if data.startswith(OPENSSH):
         return True
     if data[:1] == b"\x30":                         # one DER sequence: a version or an algorithm, then the key
         outer = _der_children(data, 0, len(data))
@@ -97,6 +139,80 @@ def _from_base64(text: str) -> bytes:
         return b""
 
 
+def _pem_bodies(inner: str, mark: str) -> Iterator[str]:
+    """What the base64 text between BEGIN and END may be; ``mark`` stands before END on its line."""
+    inner = inner.replace("\\/", "/")
+    for strip in dict.fromkeys((mark.rstrip(), "")):
+        body, in_headers, margin = [], True, None
+        for line in re.split(LINE_END, inner):
+            line = STRING_START.sub("", STRING_END.sub("", line.removeprefix(strip)))
+            plain = re.sub(r"^[^A-Za-z0-9+/=]+|[^A-Za-z0-9+/=]+$", "", line)
+            indent = len(line) - len(line.lstrip())
+            if in_headers and HEADER_LINE.match(plain):
+                margin = indent
+            elif not plain:
+                margin = None
+            elif not in_headers or margin is None or indent <= margin:          # else the header line goes on
+                in_headers = False
+                body.append(plain)
+        yield "".join(body)
+    for pattern in ENCRYPTED:
+        inner = pattern.sub("", inner)
+    yield re.sub(LINE_END, "", inner)
+
+
+def _is_pem(inner: str, mark: str) -> bool:
+    bodies = [_from_base64(b) for b in _pem_bodies(inner, mark)]
+    return any(is_key(b) for b in bodies) or (any(len(b) >= LEAST_CIPHER for b in bodies) and all(p.search(inner) for p in ENCRYPTED))
+
+
+def _pem_blocks(text: str) -> list[tuple[int, int]]:
+    """The spans from a BEGIN to its END with a key between them."""
+    found, begins = [], list(BEGIN.finditer(text))
+    for i, m in enumerate(begins):
+        end = f"-----END {m[1]}-----"
+        at = text.find(end, m.end(), begins[i + 1].start() if i + 1 < len(begins) else len(text))
+        if at >= 0:
+            inner = text[m.end():at]
+            mark = re.split(LINE_END, inner)[-1]
+            if re.search("[A-Za-z0-9=]", mark):     # the end of the body
+                mark = ""
+            if _is_pem(inner[:len(inner) - len(mark)], mark):
+                found.append((m.start(), at + len(end)))
+    return found
+
+
+def _wrapped_keys(text: str) -> list[tuple[int, int]]:
+    """The spans of base64 keys that go over several lines."""
+    found, at = [], 0
+    while m := FIRST_LINE.search(text, at):
+        at = m.end()
+        chars, ends, wanted = m[0], {}, 0
+        while line := NEXT_LINE.match(text, next(reversed(ends.values()), m.end())):
+            ends[len(chars) + len(line[1])] = line.end()
+            chars += line[1]
+            if not wanted and len(chars) >= 44:
+                data = _from_base64(chars[:44])
+                if data[:1] == b"\x30":
+                    wanted = -(-4 * next(_key_ends(data), 0) // 3)
+                elif data.startswith(OPENSSH) or SSH_TYPE.match(data[4:]):
+                    wanted = LONGEST_SSH
+            if not wanted and len(chars) >= 44 or wanted and len(chars) >= wanted:
+                break
+        data = _from_base64(chars[:len(chars) - (len(chars) % 4 == 1)])         # one character more than fours holds no byte
+        good = [ends[n] for size in _key_ends(data)
+                if (n := -(-4 * size // 3)) in ends and n >= LEAST_KEY and size <= len(data) and is_key(data[:size])]
+        if good:
+            at = good[-1] + len(PADDING.match(text, good[-1])[0])
+            found.append((m.start(), at))
+    return found
+
+
+def _escaped_start(text: str, at: int) -> int:
+    """1 if the character at ``at`` ends an escape such as \\n, which is not part of what follows."""
+    return int(at > 0 and text[at - 1] == "\\" and text[at] in "nrt")
+
+
 def _is_header(part: str) -> bool:
     try:
         header = json.loads(_from_base64(part))
@@ -114,12 +230,20 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         spans += [("access", *m.span()) for m in ACCESS.finditer(text)]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
-    if "-----BEGIN " in text:
-        spans += [("pem", *m.span()) for m in PEM.finditer(text) if is_key(_from_base64(m[2]))]
-    spans += [("key", *m.span()) for m in BASE64.finditer(text) if is_key(_from_base64(m[0]))]
+    blocks = _pem_blocks(text) if "-----BEGIN " in text else []
+    spans += [("pem", *s) for s in blocks]
+    wrapped = [s for s in _wrapped_keys(text) if not any(a <= s[0] and s[1] <= b for a, b in blocks)]
+    spans += [("key", *s) for s in wrapped]
+    keys = [(m.start() + skip, m.end()) for m in BASE64.finditer(text) for skip in {0, _escaped_start(text, m.start())}
+            if is_key(_from_base64(text[m.start() + skip:m.end()]))]
+    spans += [("key", *s) for s in keys if not any(a <= s[0] and s[1] <= b for a, b in wrapped)]
     spans += [("key", *m.span()) for m in HEX_KEY.finditer(text) if is_key(bytes.fromhex(m[0]))]
-    if "eyJ" in text:
-        spans += [("token", *m.span()) for m in TOKEN.finditer(text) if _is_header(m[1])]
+    end = 0
+    for m in TOKEN.finditer(text):
+        skip = _escaped_start(text, m.start())
+        if m.start() >= end and (head := next((n for n in (0, skip) if _is_header(m[1][n:])), None)) is not None:
+            end = m.end(2)
+            spans.append(("token", m.start() + head, end))
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -320,3 +320,73 @@ def test_class_names_of_containers(page):
     for k, v in kept.items():
         page = page.replace(k, v)
     assert html_text.main_text(f"<body class='has sidebar'>{page}</body>").split("\n\n") == expected
+
+
+def _secret_material():
+    import base64
+    rng = random.Random(9)
+    field = lambda b: len(b).to_bytes(4) + b
+    der = b"\x30\x81\xd7\x02\x01\x00\x30\x05\x06\x03\x2b\x65\x70\x04\x81\xca" + rng.randbytes(202)
+    ssh = field(b"ssh-rsa") + field(b"\x01\x00\x01") + field(rng.randbytes(257))
+    own = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4) + field(ssh) + field(rng.randbytes(120))
+    return tuple(base64.b64encode(b).decode() for b in (der, ssh, own, rng.randbytes(208)))
+
+
+def _wrap(text, width=64):
+    return [text[i:i + width] for i in range(0, len(text), width)]
+
+
+PEM_FORMS = {
+    "json": lambda lines: '{"key": "' + "\\n".join(lines) + '\\n"}', "json twice": lambda lines: "\\\\n".join(lines), "crlf": lambda lines: "\\r\\n".join(lines),
+    "quoted": lambda lines: "\n".join("> " + x for x in lines), "quoted twice": lambda lines: "\r\n".join(">> " + x for x in lines),
+    "hash": lambda lines: "\n".join("# " + x for x in lines), "slashes": lambda lines: "\n".join("//" + x for x in lines),
+    "star": lambda lines: "/*\n" + "\n".join(" * " + x for x in lines) + "\n */", "strings": lambda lines: " +\n".join(f'  "{x}\\n"' for x in lines),
+    "c strings": lambda lines: "\n".join(f'"{x}\\n"' for x in lines), "continued": lambda lines: "\\n\\\n".join(lines), "plain": "\n".join, "one line": " ".join}
+
+
+@pytest.mark.parametrize("form", PEM_FORMS)
+def test_pem_in_other_text(form):
+    der, _, own, noise = _secret_material()
+    for body in (_wrap(der), _wrap(own, 70), ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", "", *_wrap(noise)],
+                 ["X-Note: one", "Comment: two", "", *_wrap(der)]):
+        if form == "one line" and body[0].startswith("X-"):
+            continue
+        text = "é " + PEM_FORMS[form](["-----BEGIN RSA PRIVATE KEY-----", *body, "-----END RSA PRIVATE KEY-----"]) + " after"
+        at, end = text.index("-----BEGIN"), text.index("KEY-----", text.index("-----END")) + 8
+        assert [s for s in secrets.scan(text) if s[0] == "pem"] == [("pem", at, end)]
+        assert not any(s[0] == "key" and s[2] - s[1] > 70 for s in secrets.scan(text))
+    for body in (_wrap(noise), _wrap(der)[:-1], ["Proc-Type: 4,ENCRYPTED", "", *_wrap(noise)], ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123", "", "not a body!"], ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123", "", "some, (encrypted) data: here and there and so on"], []):
+        text = PEM_FORMS[form](["-----BEGIN RSA PRIVATE KEY-----", *body, "-----END RSA PRIVATE KEY-----"])
+        assert not any(s[0] == "pem" for s in secrets.scan(text))
+
+
+@pytest.mark.parametrize("width", [20, 48, 64, 76])
+@pytest.mark.parametrize("joint", ["\n", "\r\n", "\\n", "\n  ", "\n> ", "\n# ", '"\n"', '\\n" +\n    "'])
+def test_base64_keys_over_lines(width, joint):
+    der, ssh, own, noise = _secret_material()
+    for key in (der, ssh, own):
+        for before, after in (("", ""), ("key:\n", "\nand more words"), ('"', '"'), ("MAIN\n", "\nMAIN"), ("é\\n", "\\nword")):
+            text = before + joint.join(_wrap(key, width)) + after
+            at = len(before)
+            assert [s for s in secrets.scan(text) if s[0] == "key"] == [("key", at, len(text) - len(after))]
+        assert not any(s[0] == "key" and s[2] - s[1] > width for s in secrets.scan(joint.join(_wrap(key, width)[:-1] + ["x"])))
+    assert not any(s[0] == "key" for s in secrets.scan(joint.join(_wrap("MIHX" + noise, width))))
+    both = joint.join(_wrap(der, width)) + "\n\n" + joint.join(_wrap(ssh, width))
+    assert [s[0] for s in secrets.scan(both)].count("key") == 2
+
+
+@pytest.mark.parametrize("header", [b'{"alg":"HS256"}', b'{ "alg": "none" }', b'\n{"typ":"JWT",\n"alg":"ES256"}', b' {"alg":""}', b'{\r\n "alg":"RS256"}'])
+def test_tokens_with_any_json_header(header):
+    import base64
+    token = base64.urlsafe_b64encode(header).decode().rstrip("=") + ".e30.c2ln"
+    for before in ("", "a.b.c ", "some-long-host-name.", "one.two.", '"t\\n', "=", "é"):
+        assert [s for s in secrets.scan(before + token + " end") if s[0] == "token"] == [("token", len(before), len(before) + len(token))]
+    assert not any(s[0] == "token" for s in secrets.scan("com.example.application org.apache.spark.internal.Logging " + token.split(".", 1)[1]))
+
+
+def test_secret_candidates_take_no_square_time():
+    import time
+    start = time.monotonic()
+    for text in ("-----BEGIN A-----\n" * 20_000 + "-----END A-----", "MIIB\n" * 20_000, "AAAAB3NzaC1yc2EAAAADAQABAAABAQ\n" * 4_000, "eyJhbGciOiJI.a." * 20_000, "\\n" * 100_000):
+        secrets.scan(text)
+    assert time.monotonic() - start < 60
