@@ -11,11 +11,13 @@ is located to the record.
 
 A node hashes its children by a sum over their hashes with their places, so
 it needs no list of them and map-side aggregation applies; repeated ids hash
-as a multiset in one leaf.
+as a multiset in one leaf.  Inside a leaf that differs the records are matched
+by length and hash, with counts; what is left on both sides is paired, records
+at the same file and offset first, as one corrupt record each.
 
 Defined results: null url and html count as empty; all records with a null
 id are one leaf, in a branch of its own, and are spread over files by their
-hash; an id in one replica only is ``missing`` there;
+hash; a record without a partner in the other replica is ``missing`` there;
 empty replicas are equal.
 """
 
@@ -23,11 +25,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import store
+from .common import running, store
 
 PER_FILE = 1000
 FANOUT_BITS = 4                     # 16 children to a node
 LOOSE_FILES = 4096                  # files for the records without an id
+LEAF = ("no_id", "node")            # a record's place in the tree; records without an id are a branch beside all others
 HEX_DIGITS = 14                     # of a hash in one partial sum: sums of 2^31 of them fit decimal(38)
 
 
@@ -56,53 +59,95 @@ def _sum_hash(hashes: Column) -> Column:
     return F.sha2(F.concat_ws("/", F.count("*").cast("string"), *[s.cast("string") for s in sums]).cast("binary"), 256)
 
 
+def placed(records: DataFrame) -> DataFrame:
+    """``records`` with their LEAF and ``record``, what two equal records share."""
+    return records.withColumns({"no_id": F.col("id").isNull(), "node": F.coalesce("id", F.lit(0)).cast("long"), "record": F.concat_ws("/", "length", "sha256")})
+
+
 def tree(records: DataFrame, levels: int) -> list[DataFrame]:
-    """The levels of a replica's tree, leaves first: (node, hash), the last of one row."""
-    leaf = F.sha2(F.concat_ws("/", "length", "sha256").cast("binary"), 256)
-    rows = store(records.select(F.coalesce("id", F.lit(-1)).alias("node"), leaf.alias("leaf")).groupBy("node").agg(_sum_hash(F.col("leaf")).alias("hash")), "leaves")
+    """The levels of a replica's tree, leaves first: (no_id, node, hash), the last of one row."""
+    leaf = F.sha2(F.col("record").cast("binary"), 256)
+    rows = store(placed(records).select(*LEAF, leaf.alias("leaf")).groupBy(*LEAF).agg(_sum_hash(F.col("leaf")).alias("hash")), "leaves")
     found = [rows]
+    child = F.sha2(F.concat_ws("/", F.col("no_id").cast("string"), "node", "hash").cast("binary"), 256).alias("child")
     for _ in range(levels):
-        placed = F.sha2(F.concat_ws("/", "node", "hash").cast("binary"), 256)
-        rows = store(rows.select(F.shiftright("node", FANOUT_BITS).alias("up"), placed.alias("placed"))
-                     .groupBy(F.col("up").alias("node")).agg(_sum_hash(F.col("placed")).alias("hash")), "nodes")
+        rows = store(rows.select("no_id", F.shiftright("node", FANOUT_BITS).alias("up"), child)
+                     .groupBy("no_id", F.col("up").alias("node")).agg(_sum_hash(F.col("child")).alias("hash")), "nodes")
         found.append(rows)
-    root = F.sha2(F.concat_ws("/", "node", "hash").cast("binary"), 256)
-    return [*found, store(rows.select(F.lit(0).cast("long").alias("node"), root.alias("placed")).groupBy("node").agg(_sum_hash(F.col("placed")).alias("hash")), "root")]
+    root = rows.select(F.lit(False).alias("no_id"), F.lit(0).cast("long").alias("node"), child)
+    return [*found, store(root.groupBy(*LEAF).agg(_sum_hash(F.col("child")).alias("hash")), "root")]
 
 
-def levels_for(largest_id: int | None) -> int:
-    levels = 0
-    while (largest_id or 0) >> FANOUT_BITS * levels:
+def levels_for(largest_id: int | None, smallest_id: int | None = None) -> int:
+    levels, largest = 0, max(largest_id or 0, ~(smallest_id or 0))
+    while largest >> FANOUT_BITS * levels:
         levels += 1
     return levels
 
 
 def damaged(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
-    """The leaves (node, hash_a, hash_b) in which two trees of the same height differ; null where a replica has none."""
+    """The leaves (no_id, node, hash_a, hash_b) in which two trees of the same height differ; null where a replica has none."""
     suspects = None
     for level in reversed(range(len(a))):
-        sides = [x[level].select("node", F.col("hash").alias(f"hash_{n}")) for n, x in (("a", a), ("b", b))]
-        if level < len(a) - 2:                  # the root's children are the nodes 0 and -1: both are read
-            sides = [s.join(suspects, F.shiftright("node", FANOUT_BITS) == suspects["parent"], "left_semi") for s in sides]
-        differ = sides[0].join(sides[1], "node", "full_outer").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+        sides = [x[level].select(*LEAF, F.col("hash").alias(f"hash_{n}")) for n, x in (("a", a), ("b", b))]
+        if level < len(a) - 2:                  # the root's children are the nodes 0 and -1 and that without ids: all are read
+            sides = [s.join(suspects, (s["no_id"] == suspects["none"]) & (F.shiftright("node", FANOUT_BITS) == suspects["parent"]), "left_semi") for s in sides]
+        differ = sides[0].join(sides[1], [*LEAF], "full_outer").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
         differ = store(differ, "differ")
         if level == 0 or differ.isEmpty():
             return differ
-        suspects = differ.select(F.col("node").alias("parent"))
+        suspects = differ.select(F.col("no_id").alias("none"), F.col("node").alias("parent"))
     raise AssertionError("a tree has at least a root")
 
 
+def _numbered(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``rows`` with ``number``, from 1 within equal ``keys``; no task sees all rows of a key."""
+    rows = store(running(rows, [*[F.col(k) for k in keys], *order], {"number": F.lit(1)}), "numbered")
+    starts = rows.groupBy(*keys).agg((F.min("number") - 1).alias("start"))
+    return rows.join(starts, keys).withColumn("number", F.col("number") - F.col("start")).drop("start")
+
+
+def _first_where(rows: DataFrame, others: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """``rows`` with a mark on those whose ``keys`` are also in ``others``, and an order that has these first."""
+    return rows.join(others.select(*keys).distinct().withColumn("met", F.lit(True)), keys, "left"), F.col("met").isNull()
+
+
+def _judged(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Every record of damaged leaves with its status; the records of ``second`` only where the first replica has no partner."""
+    keys = [*LEAF, "record"]
+    both = first.select(*keys, F.lit(1).alias("c1"), F.lit(0).alias("c2")).unionByName(second.select(*keys, F.lit(0).alias("c1"), F.lit(1).alias("c2")))
+    groups = store(both.groupBy(*keys).agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2")), "groups")
+    first = store(first.join(groups, keys), "first")
+    second = store(second.join(groups, keys), "second")
+    even = first.where("c1 <= c2").withColumn("status", F.lit("intact"))
+    left = []
+    for rows, others, more, matched in ((first, second, "c1 > c2", "c2"), (second, first, "c2 > c1", "c1")):
+        rows, met = _first_where(rows.where(more), others, [*keys, "file", "offset"])
+        left.append(store(_numbered(rows, keys, [met, F.col("file"), F.col("offset")]).drop("met")
+                          .withColumn("matched", F.col("number") <= F.col(matched)).drop("number"), "left"))
+    pairs = groups.groupBy(*LEAF).agg(F.least(F.sum(F.greatest(F.expr("c1 - c2"), F.lit(0))), F.sum(F.greatest(F.expr("c2 - c1"), F.lit(0)))).alias("pairs"))
+    unmatched = [rows.where("not matched") for rows in left]
+    found = [even, left[0].where("matched").withColumn("status", F.lit("intact"))]
+    for rows, others, status in ((*unmatched, F.when(F.col("number") <= F.col("pairs"), "corrupt").otherwise("missing_second")),
+                                 (*reversed(unmatched), F.when(F.col("number") > F.col("pairs"), "missing_first"))):
+        rows, met = _first_where(rows, others, [*LEAF, "file", "offset"])
+        rows = _numbered(rows, [*LEAF], [met, F.col("file"), F.col("offset"), F.col("record")])
+        found.append(rows.join(pairs, [*LEAF]).withColumn("status", status).where("status is not null"))
+    columns = ["id", "file", "offset", "length", "sha256", "status"]
+    result = found[0].select(*columns)
+    for rows in found[1:]:
+        result = result.unionByName(rows.select(*columns))
+    return result
+
+
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     """Every record of either replica with ``status``: intact, corrupt, missing_first or missing_second."""
     first, second = store(first, "replica"), store(second, "replica")
-    largest = first.select("id").unionByName(second.select("id")).agg(F.max("id")).head()[0]
-    height = levels_for(largest)
-    bad = damaged(tree(first, height), tree(second, height))
-    status = (F.when(F.col("hash_a").isNull(), "missing_first").when(F.col("hash_b").isNull(), "missing_second").otherwise("corrupt"))
-    bad = bad.select(F.col("node").alias("bad_node"), status.alias("found"))
-    only_second = second.join(bad.where("found = 'missing_first'").select("bad_node"), F.coalesce("id", F.lit(-1)) == F.col("bad_node"), "left_semi")
-    return (first.unionByName(only_second).join(bad, F.coalesce("id", F.lit(-1)) == F.col("bad_node"), "left")
-            .select("id", "file", "offset", "length", "sha256", F.coalesce("found", F.lit("intact")).alias("status")))
+    smallest, largest = first.select("id").unionByName(second.select("id")).agg(F.min("id"), F.max("id")).head()
+    height = levels_for(largest, smallest)
+    bad = damaged(tree(first, height), tree(second, height)).select(*LEAF)
+    sound = placed(first).join(bad, [*LEAF], "left_anti").select("id", "file", "offset", "length", "sha256", F.lit("intact").alias("status"))
+    return sound.unionByName(_judged(*(placed(x).join(bad, [*LEAF], "left_semi") for x in (first, second))))
 
 
 def aged(pages: DataFrame) -> DataFrame:

@@ -390,3 +390,33 @@ def test_secret_candidates_take_no_square_time():
     for text in ("-----BEGIN A-----\n" * 20_000 + "-----END A-----", "MIIB\n" * 20_000, "AAAAB3NzaC1yc2EAAAADAQABAAABAQ\n" * 4_000, "eyJhbGciOiJI.a." * 20_000, "\\n" * 100_000):
         secrets.scan(text)
     assert time.monotonic() - start < 60
+
+
+def test_warc_audit_of_repeated_and_null_ids(spark):
+    schema = "page_id long, url string, html string"
+    first = [(7, f"u{i % 5}", "x" * (i % 5)) for i in range(60)] + [(None, f"n{i}", "é" * i) for i in range(60)] + [(i, "u", "y") for i in (-1, -1, -40, 3, 900)]
+    second = [r for r in first if r[1] not in ("n9", "n10")] + [(7, "u1", "x"), (None, "late", "z"), (-1, "other", "w"), (3, "u", "y"), (-7000, "new", "")]
+    second.remove((7, "u0", ""))
+    second.remove((7, "u2", "xx"))
+    second.remove((-40, "u", "y"))
+    second[second.index((7, "u4", "xxxx"))] = (7, "u4", "damaged")
+    a, b = (warc_fixity.manifest(spark.createDataFrame(x, schema)) for x in (first, second))
+    rows = warc_fixity.audit(a, b).collect()
+    found = Counter((r.id, r.status) for r in rows)
+    assert found == Counter({(7, "intact"): 57, (7, "corrupt"): 2, (7, "missing_second"): 1, (None, "intact"): 58, (None, "corrupt"): 1, (None, "missing_second"): 1,
+                             (-1, "intact"): 2, (-1, "missing_first"): 1, (-40, "missing_second"): 1, (3, "intact"): 1, (3, "missing_first"): 1,
+                             (900, "intact"): 1, (-7000, "missing_first"): 1})
+    one, two = Counter((r.id, r.length, r.sha256) for r in a.collect()), Counter((r.id, r.length, r.sha256) for r in b.collect())
+    assert Counter((r.id, r.length, r.sha256) for r in rows if r.status == "intact") == one & two
+    assert Counter((r.id, r.length, r.sha256) for r in rows if r.status != "missing_first") == one
+    assert not Counter((r.id, r.length, r.sha256) for r in rows if r.status == "missing_first") - (two - one)
+    assert {r.status for r in warc_fixity.audit(b, b).collect()} == {"intact"}
+
+
+def test_warc_audit_pairs_records_at_the_same_place(spark):
+    schema = "id long, file long, offset long, length long, sha256 string"
+    first = [(i, 0, 100 * n, 100, h) for i in (5, None) for n, h in enumerate("abcc")]
+    second = [(i, 0, 100 * n, 100, h) for i in (5, None) for n, h in ((1, "b"), (2, "d"), (3, "c"))]
+    rows = warc_fixity.audit(*(spark.createDataFrame(x, schema) for x in (first, second))).collect()
+    assert {(r.id, r.offset, r.status) for r in rows} == {(i, *s) for i in (5, None) for s in ((0, "missing_second"), (100, "intact"), (200, "corrupt"), (300, "intact"))}
+    assert len(rows) == 8
