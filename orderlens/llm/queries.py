@@ -6,7 +6,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, html_text, language_id, mixing, secrets, simhash, url_filter, vector_search, warc_fixity
+from . import (
+    byte_bpe, exact_dedup, html_text, jaccard_join, language_id, mixing, period_runs, secrets, simhash, url_filter, vector_search,
+    warc_fixity, whitening)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,8 +77,25 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages.select("page_id", "url", F.col("html").cast("string").alias("html")))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened components of every embedding."""
+    whitened = whitening.components(_table(spark, sf_dir, "embeddings"))
+    return whitened.withColumn("deviation", F.col("deviation").try_cast("long"))       # null where a long cannot hold it
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document."""
+    return jaccard_join.cluster(_table(spark, sf_dir, "documents"))
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, a tenth of them with a planted period."""
+    return period_runs.detect(_table(spark, sf_dir, "documents"), plant=True, texts=False)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_url_filter, op3_vector_search, op4_language_id, op5_source_mixing, op6_byte_bpe, op7_warc_fixity,
-    op8_secret_scan, op9_simhash_near_dedup, op10_html_extraction)}
+    op8_secret_scan, op9_simhash_near_dedup, op10_html_extraction, op11_embedding_whitening, op12_jaccard_join, op13_period_runs)}
 
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op5_source_mixing": mixing.ORACLE, "op7_warc_fixity": warc_fixity.ORACLE}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op5_source_mixing": mixing.ORACLE, "op7_warc_fixity": warc_fixity.ORACLE,
+              "op12_jaccard_join": jaccard_join.ORACLE}
