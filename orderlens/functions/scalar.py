@@ -41,6 +41,11 @@ def month_key(ts: Column | str) -> Column:
     return F.date_format(_col(ts), "yyyy-MM")
 
 
+def one_blank(text: Column | str) -> Column:
+    """Every run of white space turned into one blank."""
+    return F.regexp_replace(_col(text), r"\s+", " ")
+
+
 def text_to_timestamp(text: Column | str, strict: bool = False) -> Column:
     """Text to timestamp (no zone).  Unparseable text gives null unless ``strict``."""
     c = _col(text)

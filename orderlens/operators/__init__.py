@@ -1,3 +1,3 @@
-from orderlens.operators import aggregate, cleaning, quality, relational
+from orderlens.operators import aggregate, cleaning, partials, quality, relational, sketches
 
-__all__ = ["aggregate", "cleaning", "quality", "relational"]
+__all__ = ["aggregate", "cleaning", "partials", "quality", "relational", "sketches"]

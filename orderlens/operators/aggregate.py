@@ -7,13 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.functions.scalar import exact_sum, float32, growth_pct, round_half_up
+from orderlens.functions.scalar import exact_part, float32, growth_pct, money_total, residue, round_half_up
+from orderlens.sources.scratch import store
 
 LEVEL_BUCKETS = 1024               # ranges of a running share: 16 to a doubling of the count, up to 2^64
 
 
 def discover_values(df: DataFrame, column: str) -> list:
-    """Sorted distinct values of ``column`` (nulls first), one for each output column of a pivot; one aggregate job."""
+    """Sorted distinct values of ``column`` (nulls first), one for each output column of a pivot; one aggregate job.
+
+    The driver holds as many values as the result has columns; beyond some
+    thousands of columns Spark takes long to plan any query.
+    """
     return [r[0] for r in df.select(column).distinct().orderBy(F.col(column).asc_nulls_first()).collect()]
 
 
@@ -26,10 +31,18 @@ def _only(column: str, values: list) -> Column:
     return F.when(listed, F.col(column)).otherwise(F.raise_error(told))
 
 
+def folded_cells(df: DataFrame, row: str | Sequence[str], column: str, measure: Column) -> DataFrame:
+    """``measure`` for each ``row`` x value of ``column``, as ``_cell``: the table that a pivot lays out."""
+    rows = [row] if isinstance(row, str) else list(row)
+    return df.groupBy(*rows, column).agg(measure.alias("_cell"))
+
+
 def _pivot(df: DataFrame, row: str | Sequence[str], column: str, measure: Column,
            values: Sequence | None, fill: int | None, null_label: str | None) -> DataFrame:
     rows = [row] if isinstance(row, str) else list(row)
     if values is None:
+        # The folded cells are written once; the values and the pivot are read from there, so ``df`` is computed once.
+        df, measure = store(folded_cells(df, rows, column, measure), "cells"), F.sum("_cell")
         vals = discover_values(df, column)
     else:
         vals = list(dict.fromkeys(values))
@@ -109,10 +122,22 @@ def period_growth(df: DataFrame, key: str, ts: str, amount: str, calendar: bool
     runs on the (key, month) aggregate, so even a key holding a third of all
     rows contributes one row per month.
     """
+    return growth_of_sums(month_sums(df, key, ts, amount), key, calendar, period_name, value_name, prev_name, growth_name)
+
+
+def month_sums(df: DataFrame, key: str, ts: str, amount: str) -> DataFrame:
+    """Per ``key`` and ``month`` (its first day): the amount as ``exact`` and ``residue`` parts, which add up over several loads."""
     # Group on the month's first day (a date) and format the key only on the
     # aggregated rows: no string formatting per input row.
     month = F.trunc(F.col(ts).cast("date"), "month")
-    monthly = df.groupBy(F.col(key), month.alias("_month")).agg(exact_sum(amount).alias("_sum"))
+    return df.groupBy(F.col(key), month.alias("month")).agg(F.sum(exact_part(amount)).alias("exact"), F.sum(residue(amount)).alias("residue"))
+
+
+def growth_of_sums(sums: DataFrame, key: str, calendar: bool = False, period_name: str = "year_month",
+                   value_name: str = "monthly_sales", prev_name: str = "prev_month_sales",
+                   growth_name: str = "sales_growth_percentage") -> DataFrame:
+    """``period_growth`` from ``month_sums``."""
+    monthly = sums.select(key, F.col("month").alias("_month"), money_total("exact", "residue").alias("_sum"))
     w = Window.partitionBy(key).orderBy(F.col("_month").asc_nulls_first())
     monthly = monthly.withColumn(value_name, float32("_sum"))
     prev = F.lag(value_name).over(w)

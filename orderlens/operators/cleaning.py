@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderlens.functions.scalar import one_blank
 from orderlens.operators.relational import lookup_column
 
 _FLOATING = (T.FloatType, T.DoubleType)
 
+SPELLINGS = "UNICODE_CI_AI"         # the collation of text in any case, with or without accents
+
 
 def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -45,7 +48,7 @@ def collapse_whitespace(df: DataFrame, columns: Iterable[str] | None = None,
     column, which turns all of them into strings.
     """
     chosen = df.columns if all_columns else _pick(df, columns)
-    return map_columns(df, lambda c: F.regexp_replace(c, r"\s+", " "), chosen)
+    return map_columns(df, one_blank, chosen)
 
 
 def replace_values(df: DataFrame, mapping: dict[str, str],
@@ -55,6 +58,23 @@ def replace_values(df: DataFrame, mapping: dict[str, str],
     return df.replace(mapping, subset=subset) if subset else df
 
 
+def unify_spellings(df: DataFrame, columns: Iterable[str], collation: str = SPELLINGS) -> DataFrame:
+    """Give values that are one under ``collation`` (by default: in any case, with or without accents) one spelling, the smallest.
+
+    Opt-in; all other operators compare text byte by byte.  The distinct
+    values are grouped by collation, and only they: the rows then look their
+    value up.  A null stays null; trailing blanks count.
+    """
+    for column in columns:
+        values = df.select(F.col(column).alias("_value")).distinct()
+        groups = values.groupBy(F.collate("_value", collation).alias("_key")).agg(F.min("_value").alias("_spelling"))
+        known = values.join(groups, F.collate("_value", collation) == F.col("_key")).select("_value", "_spelling")
+        order = df.columns
+        df = lookup_column(df, column, known, "_value", "_spelling", "_unified")
+        df = df.select([F.col("_unified").alias(c) if c == column else F.col(c) for c in order])
+    return df
+
+
 def _missing(column: str, dtype: T.DataType) -> Column:
     c = F.col(column)
     return (c.isNull() | F.isnan(c)) if isinstance(dtype, _FLOATING) else c.isNull()
@@ -88,12 +108,17 @@ def fill_numeric(df: DataFrame, value: float = 0, subset: Iterable[str] | None =
     return df.na.fill(value, subset=list(subset) if subset is not None else None)
 
 
-def lookup_translate(df: DataFrame, lookup: DataFrame, key: str, translated: str) -> DataFrame:
+def lookup_translate(df: DataFrame, lookup: DataFrame, key: str, translated: str, collation: str | None = None) -> DataFrame:
     """Replace ``key`` by its translation from ``lookup`` (left join semantics).
 
-    Keys without a translation become null.
+    Keys without a translation become null.  With ``collation`` (such as
+    ``SPELLINGS``) keys match under it; of several spellings in ``lookup``
+    the smallest gives the translation.
     """
-    out = lookup_column(df, key, lookup, key, translated, "_translated")
+    if collation:
+        first = F.min(F.struct(F.col(key).alias("_spelling"), F.col(translated).alias("_text")))
+        lookup = lookup.groupBy(F.collate(key, collation).alias(key)).agg(first.alias("_first")).select(key, F.col("_first._text").alias(translated))
+    out = lookup_column(df, key, lookup, key, translated, "_translated", collation)
     return out.select([F.col("_translated").alias(key) if c == key else F.col(c) for c in df.columns])
 
 

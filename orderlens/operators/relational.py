@@ -8,14 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def lookup_column(df: DataFrame, key: str, lookup: DataFrame, lookup_key: str, lookup_value: str, alias: str) -> DataFrame:
+def lookup_column(df: DataFrame, key: str, lookup: DataFrame, lookup_key: str, lookup_value: str, alias: str,
+                  collation: str | None = None) -> DataFrame:
     """Add ``alias`` = ``lookup_value`` of the ``lookup`` row whose ``lookup_key`` equals ``key``.
 
     A plain left join: no match gives null, a repeated key repeats the row.
-    Spark broadcasts the lookup by its measured size, or shuffles it.
+    Spark broadcasts the lookup by its measured size, or shuffles it.  With
+    ``collation`` the text keys are compared under it.
     """
     right = lookup.select(F.col(lookup_key).alias("_lookup_key"), F.col(lookup_value).alias(alias))
-    return df.join(right, F.col(key) == F.col("_lookup_key"), "left").drop("_lookup_key")
+    own, other = F.col(key), F.col("_lookup_key")
+    same = F.collate(own, collation) == F.collate(other, collation) if collation else own == other
+    return df.join(right, same, "left").drop("_lookup_key")
 
 
 def semi_filter(df: DataFrame, *conditions: tuple[DataFrame, str | Sequence[str]]) -> DataFrame:

@@ -17,7 +17,7 @@ from orderlens.functions import classify
 from orderlens.functions.scalar import (
     WEEKDAYS, exact_part, exact_sum, hour_of, money_total, residue, round_half_up, year_of,
 )
-from orderlens.operators import aggregate, cleaning, relational
+from orderlens.operators import aggregate, cleaning, partials, relational, sketches
 from orderlens.sources.catalog import run_sql
 
 # Q1 ---------------------------------------------------------------------------------------------
@@ -56,20 +56,45 @@ def active_sellers_by_year(items: DataFrame, orders: DataFrame, payments: DataFr
     """
     if status_in is not None:
         orders = orders.where(F.col(status).isin(list(status_in)))
+    base = _sold_by_period(items, orders, payments, sellers, products, {"year": year_of(approved)}, order_id, seller_id, product_id)
+    return (base.groupBy("year")
+            .agg(F.countDistinct(seller_id).alias("active_seller"),
+                 F.countDistinct(product_id).alias("product_count"))
+            .orderBy(F.col("year").asc_nulls_first(), F.col("active_seller").desc()))
+
+
+def _sold_by_period(items: DataFrame, orders: DataFrame, payments: DataFrame, sellers: DataFrame, products: DataFrame,
+                    periods: dict[str, Column], order_id: str, seller_id: str, product_id: str) -> DataFrame:
+    """Distinct (periods, seller, product) of the items whose order is paid and whose seller and product are known."""
     # The payment test shares the order key with the order join, so it runs on
     # the order side (a quarter of the item rows) and items meet orders once.
-    dated = relational.semi_filter(orders.select(order_id, year_of(approved).alias("year")), (payments, order_id))
-    # Items are folded to distinct (year, seller, product) before the seller and
+    dated = relational.semi_filter(orders.select(order_id, *[c.alias(name) for name, c in periods.items()]), (payments, order_id))
+    # Items are folded to distinct (period, seller, product) before the seller and
     # product tests, so those joins never see item rows.  They are inner joins
     # with distinct keys, because a semi join would be pushed below the fold.
     base = cleaning.dedupe_rows(items.select(order_id, seller_id, product_id).join(dated, order_id)
-                                .select("year", seller_id, product_id))
+                                .select(*periods, seller_id, product_id))
     for known, key in ((sellers, seller_id), (products, product_id)):
         base = base.join(cleaning.dedupe_rows(known.select(key)), key)
-    return (base.groupBy("year")
-            .agg(F.countDistinct(seller_id).alias("active_seller"),
-                 F.countDistinct(product_id).alias("product_count"))
-            .orderBy(F.col("year").asc_nulls_first(), F.col("active_seller").desc()))
+    return base
+
+
+def active_seller_sketches(items: DataFrame, orders: DataFrame, payments: DataFrame, sellers: DataFrame, products: DataFrame,
+                           lg_k: int = sketches.LG_K, *, order_id: str = "order_id", seller_id: str = "seller_id",
+                           product_id: str = "product_id", approved: str = "order_approved_at") -> DataFrame:
+    """Per year and month of order approval: sketches of the distinct sellers and products, to be stored and united later."""
+    periods = {"year": year_of(approved), "month": F.month(approved)}
+    base = _sold_by_period(items, orders, payments, sellers, products, periods, order_id, seller_id, product_id)
+    return sketches.distinct_sketches(base, list(periods), {"active_seller": seller_id, "product_count": product_id}, lg_k)
+
+
+def active_sellers_of_sketches(stored: DataFrame, by: Sequence[str] = ("year",)) -> DataFrame:
+    """``active_sellers_by_year`` by estimate, from ``active_seller_sketches``; also by month or, without ``by``, over all.
+
+    A seller of several months counts once.  The estimates' error is that of ``sketches.error_bound``.
+    """
+    names = ["active_seller", "product_count"]
+    return sketches.estimates(sketches.unite(stored, list(by), names), names)
 
 
 # Q3 ---------------------------------------------------------------------------------------------
@@ -224,6 +249,19 @@ def payment_summary(payments: DataFrame, *, payment_type: str = "payment_type",
             .orderBy(F.col(payment_type).asc_nulls_first()))
 
 
+def payment_partials(payments: DataFrame, *, payment_type: str = "payment_type", value: str = "payment_value",
+                     installments: str = "payment_installments") -> DataFrame:
+    """What one load of payments adds to ``payment_summary``: a row for each payment type."""
+    return partials.money_partials(payments, [payment_type], money=[value], means=[installments])
+
+
+def payment_summary_of_partials(merged: DataFrame, *, payment_type: str = "payment_type", value: str = "payment_value",
+                                installments: str = "payment_installments") -> DataFrame:
+    """``payment_summary`` from ``payment_partials`` of any number of loads, merged."""
+    return (merged.select(payment_type, partials.total(value).alias("total_payment_value"), partials.mean(installments).alias("avg_installments"))
+            .orderBy(F.col(payment_type).asc_nulls_first()))
+
+
 # Q7 ---------------------------------------------------------------------------------------------
 def orders_per_state(customers: DataFrame, orders: DataFrame, *, customer_id: str = "customer_id",
                      order_id: str = "order_id", state: str = "customer_state") -> DataFrame:
@@ -305,5 +343,17 @@ def seller_monthly_growth(orders: DataFrame, items: DataFrame, calendar: bool =
                           order_id: str = "order_id", seller_id: str = "seller_id",
                           ts: str = "order_purchase_timestamp", price: str = "price") -> DataFrame:
     """Per seller and month: sales (float), previous month's sales, growth %."""
+    sums = seller_month_sums(orders, items, order_id=order_id, seller_id=seller_id, ts=ts, price=price)
+    return seller_growth_of_sums(sums, calendar, seller_id=seller_id)
+
+
+def seller_month_sums(orders: DataFrame, items: DataFrame, *, order_id: str = "order_id", seller_id: str = "seller_id",
+                      ts: str = "order_purchase_timestamp", price: str = "price") -> DataFrame:
+    """What one load of orders, with their items, adds to ``seller_monthly_growth``: a row for each seller and month."""
     combined = orders.select(order_id, ts).join(items.select(order_id, seller_id, price), order_id)
-    return aggregate.period_growth(combined, seller_id, ts, price, calendar=calendar)
+    return aggregate.month_sums(combined, seller_id, ts, price)
+
+
+def seller_growth_of_sums(merged: DataFrame, calendar: bool = False, *, seller_id: str = "seller_id") -> DataFrame:
+    """``seller_monthly_growth`` from ``seller_month_sums`` of any number of loads, merged."""
+    return aggregate.growth_of_sums(merged, seller_id, calendar)

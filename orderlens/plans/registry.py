@@ -10,17 +10,20 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions import classify
 from orderlens.functions.scalar import (
     WEEKDAYS, exact_sum, hour_of, month_key, text_to_timestamp, weekday_name, year_of,
 )
-from orderlens.operators import cleaning, quality, relational
+from orderlens.operators import cleaning, partials, quality, relational, sketches
 from orderlens.plans import analyses as A
-from orderlens.sources.catalog import publish, run_sql
+from orderlens.sources.bucketed import bucket_load, write_bucketed
+from orderlens.sources.catalog import publish, publish_classifiers, run_sql
+from orderlens.sources.files import load_csv, read_ordered, write_ordered, write_result
 from orderlens.sources.fixtures import PAYMENT_TYPES, UNDEFINED_PAYMENT_TYPE, OrderViews, with_views
+from orderlens.sources.scratch import new_path, store
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -201,6 +204,22 @@ def _q2_gaps(v: OrderViews) -> DataFrame:
     return A.active_sellers_by_year(v.items, v.clean_orders, v.some_payments, v.some_sellers, v.some_products)
 
 
+@register("active_sellers_by_year_approximate", f"""
+SELECT year, active_seller, product_count, true AS seller_estimate_within, true AS product_estimate_within
+FROM ({_ACTIVE_SQL.format(where="")}) t""")
+def _q2_approximate(v: OrderViews) -> DataFrame:
+    """Sketches by year and month, stored, united by year and held against the exact counts."""
+    tables = (v.items, v.clean_orders, v.clean_payments, v.sellers, v.products)
+    guessed = A.active_sellers_of_sketches(store(A.active_seller_sketches(*tables), "sketches"))
+    exact = A.active_sellers_by_year(*tables)
+    bound = sketches.error_bound()
+    guessed = guessed.select(F.col("year").alias("period"), F.col("active_seller").alias("sellers"), F.col("product_count").alias("products"))
+    return exact.join(guessed, F.col("year").eqNullSafe(F.col("period"))).select(
+        "year", "active_seller", "product_count",
+        (F.abs(F.col("sellers") - F.col("active_seller")) <= F.col("active_seller") * bound).alias("seller_estimate_within"),
+        (F.abs(F.col("products") - F.col("product_count")) <= F.col("product_count") * bound).alias("product_estimate_within"))
+
+
 @register("active_sellers_by_year_status", _ACTIVE_SQL.format(where="WHERE o.order_status IN ('F')"))
 def _q2_status(v: OrderViews) -> DataFrame:
     return A.active_sellers_by_year(v.items, v.clean_orders, v.clean_payments, v.sellers, v.products,
@@ -356,6 +375,94 @@ def _q10_calendar(v: OrderViews) -> DataFrame:
     return A.seller_monthly_growth(v.clean_orders, v.items, calendar=True)
 
 
+# Loads that add up --------------------------------------------------------------------------------
+LOADS = 3
+
+
+@register("payment_summary_merged_loads", f"""
+SELECT payment_type, {_money_sum('payment_value')} AS total_payment_value,
+       avg(payment_installments) AS avg_installments
+FROM ol_clean_payments GROUP BY payment_type""")
+def _q6_merged(v: OrderViews) -> DataFrame:
+    """Q6 from three loads of payments; the second comes twice, first in part."""
+    path, payments = new_path(v.spark, "payment-loads"), v.clean_payments
+    load = F.pmod(F.col("order_id"), F.lit(LOADS))
+    partials.add_load(A.payment_partials(payments.where((load == 1) & (F.col("payment_value") > 100_000))), path, "1")
+    for i in reversed(range(LOADS)):
+        partials.add_load(A.payment_partials(payments.where(load == i)), path, str(i))
+    return A.payment_summary_of_partials(partials.all_loads(v.spark, path, ["payment_type"]))
+
+
+@register("seller_monthly_growth_merged_loads", _GROWTH_SQL.format(prev="prev_sales"))
+def _q10_merged(v: OrderViews) -> DataFrame:
+    """Q10 from three loads of orders with their items; months and sellers are in several loads."""
+    path, load = new_path(v.spark, "sales-loads"), F.pmod(F.col("order_id"), F.lit(LOADS))
+    for i in range(LOADS):
+        partials.add_load(A.seller_month_sums(v.clean_orders.where(load == i), v.items.where(load == i)), path, str(i))
+    return A.seller_growth_of_sums(partials.all_loads(v.spark, path, ["seller_id", "month"]))
+
+
+# Results on disk ----------------------------------------------------------------------------------
+@register("result_with_a_month_rewritten", _GROWTH_SQL.format(prev="prev_sales"))
+def _s4_rewritten(v: OrderViews) -> DataFrame:
+    """Growth by month folders, where one month was written wrong and is then replaced alone."""
+    path, month = new_path(v.spark, "growth"), "1997-05"
+    growth = A.seller_monthly_growth(v.clean_orders, v.items)
+    wrong = growth.where(F.col("year_month") != month).unionByName(growth.where(F.col("year_month") == month).withColumn("monthly_sales", F.lit(-1).cast("float")))
+    write_result(wrong, path, partition_by=["year_month"])
+    write_result(growth.where(F.col("year_month") == month), path, partition_by=["year_month"], mode="replace_partitions")
+    return v.spark.read.schema(growth.schema).parquet(path).select(*growth.columns)
+
+
+@register("result_in_written_order", f"""
+SELECT *, row_number() OVER (ORDER BY average_order_value DESC NULLS LAST, customer_id) AS place FROM ({_BEHAVIOUR_SQL}) t""")
+def _s4_ordered(v: OrderViews) -> DataFrame:
+    """Q8 written in its order; the places are told from files and rows, without the order columns."""
+    path = new_path(v.spark, "behaviour")
+    write_ordered(A.customer_behaviour(v.clean_orders, v.clean_payments), path, F.col("average_order_value").desc_nulls_last(), F.col("customer_id").asc())
+    rows = read_ordered(v.spark, path)
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)                          # one row a file
+    files = rows.groupBy(F.col("position.file").alias("file")).count().select("file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    return rows.join(files, F.col("position.file") == F.col("file")).select(
+        "customer_id", "order_count", "average_order_value", (F.col("before") + F.col("position.row") + 1).alias("place"))
+
+
+# Text files ---------------------------------------------------------------------------------------
+_SPOILT = """
+WITH p AS (SELECT order_id, payment_sequential, payment_type,
+                  CASE WHEN order_id % 89 = 0 THEN 'many' ELSE CAST(payment_installments AS VARCHAR) END AS payment_installments,
+                  CASE WHEN order_id % 97 = 0 THEN 'n/a' ELSE CAST(payment_value AS VARCHAR) END AS payment_value
+           FROM ol_clean_payments)
+"""
+
+
+def _loaded_payments(v: OrderViews):
+    """The payments as CSV files, with some cells spoilt, loaded in one scan."""
+    text = v.clean_payments.select(
+        F.col("order_id").cast("string").alias("order_id"), F.col("payment_sequential").cast("int").alias("payment_sequential"), "payment_type",
+        F.when(F.col("order_id") % 89 == 0, "many").otherwise(F.col("payment_installments").cast("string")).alias("payment_installments"),
+        F.when(F.col("order_id") % 97 == 0, "n/a").otherwise(F.col("payment_value").cast("string")).alias("payment_value"))
+    path = new_path(v.spark, "payments-csv")
+    text.write.option("header", True).csv(path)
+    return load_csv(v.spark, path, "payments", new_path(v.spark, "payments-loaded"))
+
+
+@register("csv_good_rows", _SPOILT + """
+SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(payment_sequential AS INTEGER) AS payment_sequential, payment_type,
+       TRY_CAST(payment_installments AS INTEGER) AS payment_installments, TRY_CAST(payment_value AS DOUBLE) AS payment_value
+FROM p WHERE payment_installments <> 'many' AND payment_value <> 'n/a'""")
+def _s1_good(v: OrderViews) -> DataFrame:
+    return _loaded_payments(v).good
+
+
+@register("csv_quarantined_cells", _SPOILT + """
+SELECT "column", text, count(*) AS cells FROM (
+  SELECT 'payment_installments' AS "column", payment_installments AS text FROM p WHERE payment_installments = 'many'
+  UNION ALL SELECT 'payment_value', payment_value FROM p WHERE payment_value = 'n/a') t GROUP BY ALL""")
+def _s1_bad(v: OrderViews) -> DataFrame:
+    return _loaded_payments(v).bad.groupBy("column", "text").agg(F.count("*").alias("cells"))
+
+
 # Sources, joins, projections --------------------------------------------------------------------
 @register("sql_item_route", f"""
 SELECT {_ROUTE_COLUMNS}
@@ -382,6 +489,60 @@ def _s2(v: OrderViews) -> DataFrame:
             v.spark.catalog.dropTempView(name)
 
 
+BUCKETS = 8
+
+
+def _by_order(v: OrderViews, **frames: DataFrame) -> dict[str, DataFrame]:
+    """The frames written into buckets of order_id and read back; the table names are dropped, the files stay."""
+    out = {}
+    for name, df in frames.items():
+        table = f"{name}_{uuid.uuid4().hex}"
+        out[name] = write_bucketed(df, table, "order_id", BUCKETS, path=new_path(v.spark, name))
+        v.spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+@register("sql_item_route_bucketed", f"""
+SELECT {_ROUTE_COLUMNS}
+FROM ol_items i JOIN ol_sellers s ON i.seller_id = s.seller_id
+JOIN ol_clean_orders o ON i.order_id = o.order_id
+JOIN ol_customers c ON c.customer_id = o.customer_id""")
+def _j6_bucketed(v: OrderViews) -> DataFrame:
+    """The route as SQL text over bucketed items and orders: they meet first, without a shuffle."""
+    t = _by_order(v, items=v.items, orders=v.clean_orders)
+    return run_sql(v.spark, f"SELECT {', '.join(A.ROUTE_COLUMNS)} FROM {{items}} AS i JOIN {{orders}} AS o ON i.order_id = o.order_id "
+                   "JOIN {sellers} AS s ON i.seller_id = s.seller_id JOIN {customers} AS c ON o.customer_id = c.customer_id",
+                   sellers=v.sellers, customers=v.customers, **t)
+
+
+@register("join_inner_using_bucketed", """
+SELECT * FROM ol_clean_orders JOIN ol_clean_payments USING (order_id)""")
+def _j1_bucketed(v: OrderViews) -> DataFrame:
+    t = _by_order(v, orders=v.clean_orders, payments=v.clean_payments)
+    return t["orders"].join(t["payments"], "order_id")
+
+
+@register("join_inner_multiway_bucketed", """
+SELECT i.order_id, i.order_item_id, i.product_id, i.seller_id, i.price, o.order_approved_at,
+       p.payment_sequential, p.payment_type, s.seller_state, pr.product_category_name
+FROM ol_items i JOIN ol_clean_orders o ON i.order_id = o.order_id
+JOIN ol_clean_payments p ON i.order_id = p.order_id
+JOIN ol_sellers s ON i.seller_id = s.seller_id
+JOIN ol_products pr ON i.product_id = pr.product_id""")
+def _j2_bucketed(v: OrderViews) -> DataFrame:
+    """The three tables keyed by order meet bucket by bucket, the two others by their own keys."""
+    return _multiway(v, **_by_order(v, items=v.items, orders=v.clean_orders, payments=v.clean_payments))
+
+
+@register("bucket_load_of_items", f"""
+SELECT CAST(count(*) AS BIGINT) AS keys, CAST(sum(n) AS BIGINT) AS rows, max(n) AS rows_of_largest_key
+FROM (SELECT order_id, count(*) AS n FROM ol_items GROUP BY order_id) t""")
+def _bucket_load(v: OrderViews) -> DataFrame:
+    """Over all buckets, as SQL has no equal of the bucket's hash."""
+    load = bucket_load(v.items, "order_id", BUCKETS)
+    return load.agg(F.sum("keys").alias("keys"), F.sum("rows").alias("rows"), F.max("rows_of_largest_key").alias("rows_of_largest_key"))
+
+
 @register("project_columns", "SELECT order_purchase_timestamp, order_id FROM ol_clean_orders")
 def _r1(v: OrderViews) -> DataFrame:
     return relational.project(v.clean_orders, ["order_purchase_timestamp", "order_id"])
@@ -401,7 +562,11 @@ JOIN ol_clean_payments p ON i.order_id = p.order_id
 JOIN ol_sellers s ON i.seller_id = s.seller_id
 JOIN ol_products pr ON i.product_id = pr.product_id""")
 def _j2(v: OrderViews) -> DataFrame:
-    i, o, p = v.items.alias("i"), v.clean_orders.alias("o"), v.clean_payments.alias("p")
+    return _multiway(v, v.items, v.clean_orders, v.clean_payments)
+
+
+def _multiway(v: OrderViews, items: DataFrame, orders: DataFrame, payments: DataFrame) -> DataFrame:
+    i, o, p = items.alias("i"), orders.alias("o"), payments.alias("p")
     s, pr = v.sellers.alias("s"), v.products.alias("pr")
     joined = (i.join(o, F.col("i.order_id") == F.col("o.order_id"))
               .join(p, F.col("i.order_id") == F.col("p.order_id"))
@@ -504,9 +669,22 @@ def _c8(v: OrderViews) -> DataFrame:
 
 @register("clean_lookup_translate_join", _TRANSLATE_SQL)
 def _c8_join(v: OrderViews) -> DataFrame:
-    """The same translation under the name of the earlier join-only form."""
-    return cleaning.lookup_translate(v.products, v.category_translation, "product_category_name",
-                                     "product_category_name_english")
+    """The same translation under a collation, for names spelt in other case."""
+    spelt = v.products.withColumn("product_category_name", F.when(F.col("product_id") % 2 == 0, F.lower("product_category_name"))
+                                  .otherwise(F.col("product_category_name")))
+    return cleaning.lookup_translate(spelt, v.category_translation, "product_category_name",
+                                     "product_category_name_english", collation=cleaning.SPELLINGS)
+
+
+@register("clean_unify_spellings", """
+WITH s AS (SELECT *, CASE WHEN customer_id % 3 = 0 THEN lower(customer_state) WHEN customer_id % 3 = 1 THEN replace(customer_state, 'A', '\u00c3')
+                     ELSE customer_state END AS spelt FROM ol_customers)
+SELECT customer_id, customer_unique_id, min(spelt) OVER (PARTITION BY customer_state) AS customer_state FROM s""")
+def _c3_spellings(v: OrderViews) -> DataFrame:
+    """States in three spellings become one, the smallest (capitals)."""
+    state = F.col("customer_state")
+    spelt = F.when(F.col("customer_id") % 3 == 0, F.lower(state)).when(F.col("customer_id") % 3 == 1, F.regexp_replace(state, "A", "\u00c3")).otherwise(state)
+    return cleaning.unify_spellings(v.customers.withColumn("customer_state", spelt), ["customer_state"])
 
 
 @register("clean_conditional_override", "SELECT * FROM ol_clean_payments")
@@ -539,6 +717,31 @@ def _p2(v: OrderViews) -> DataFrame:
     return quality.null_audit(v.orders)
 
 
+def _written_orders(v: OrderViews) -> quality.CleanFigures:
+    return quality.write_clean(v.orders, new_path(v.spark, "clean-orders"))
+
+
+@register("quality_observed_clean_counts", f"""
+SELECT count(*) AS rows_before, count(*) FILTER (WHERE {_ALL_PRESENT}) AS rows_after,
+       count(*) - count(*) FILTER (WHERE {_ALL_PRESENT}) AS rows_dropped FROM ol_orders""")
+def _p1_observed(v: OrderViews) -> DataFrame:
+    """Counted inside the job that writes the cleaned orders."""
+    return _written_orders(v).clean_counts
+
+
+@register("quality_observed_null_audit", "SELECT count(*) AS rows_total, "
+          f"count(*) FILTER (WHERE NOT ({_ALL_PRESENT})) AS rows_with_null, "
+          + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}_nulls" for c in _ORDER_COLUMNS)
+          + " FROM ol_orders")
+def _p2_observed(v: OrderViews) -> DataFrame:
+    return _written_orders(v).null_audit
+
+
+@register("quality_observed_row_count", f"SELECT count(*) AS row_count FROM ol_orders WHERE {_ALL_PRESENT}")
+def _p4_observed(v: OrderViews) -> DataFrame:
+    return _written_orders(v).row_count
+
+
 @register("quality_duplicate_audit", """
 SELECT count(*) AS rows_total, count(DISTINCT (order_id, seller_id, price)) AS rows_distinct,
        count(*) - count(DISTINCT (order_id, seller_id, price)) AS duplicate_rows
@@ -599,3 +802,34 @@ def _f5(v: OrderViews) -> DataFrame:
                            hour_of("order_purchase_timestamp").alias("purchase_hour"),
                            month_key("order_purchase_timestamp").alias("purchase_month"),
                            year_of("order_approved_at").alias("approved_year"))
+
+
+_SIZES = "product_length_cm, p.product_width_cm, p.product_height_cm, p.product_weight_g"
+
+
+@register("sql_product_size_class", f"""
+SELECT {_size_case('p')} AS product_size_category, count(*) AS products FROM ol_products p GROUP BY 1""")
+def _u2_sql(v: OrderViews) -> DataFrame:
+    """The size class called by name from SQL text."""
+    publish_classifiers(v.spark, "ol_")
+    return run_sql(v.spark, f"SELECT ol_product_size_class(p.{_SIZES}) AS product_size_category, count(*) AS products "
+                   "FROM {products} AS p GROUP BY 1", products=v.products)
+
+
+@register("sql_margin_category", f"""
+WITH goods AS (SELECT order_id, {_money_sum('price')} AS goods_value FROM ol_items GROUP BY order_id),
+m AS (SELECT order_id, CASE WHEN order_id % 3 = 0 THEN 0.0 ELSE goods_value - 150000 END AS margin_activity FROM goods)
+SELECT {_margin_case('margin_activity')} AS margin_category, count(*) AS orders FROM m GROUP BY 1""")
+def _u1_sql(v: OrderViews) -> DataFrame:
+    goods = v.items.groupBy("order_id").agg(exact_sum("price").alias("goods_value"))
+    publish_classifiers(v.spark, "ol_")
+    return run_sql(v.spark, "SELECT ol_margin_category(CASE WHEN order_id % 3 = 0 THEN 0D ELSE goods_value - 150000 END) AS margin_category, "
+                   "count(*) AS orders FROM {goods} GROUP BY 1", goods=goods)
+
+
+@register("sql_month_and_blanks", """
+SELECT strftime(o.order_purchase_timestamp, '%Y-%m') AS purchase_month, count(*) AS orders FROM ol_orders o GROUP BY 1""")
+def _f4_sql(v: OrderViews) -> DataFrame:
+    publish_classifiers(v.spark, "ol_")
+    return run_sql(v.spark, "SELECT ol_collapse_whitespace(ol_month_key(order_purchase_timestamp)) AS purchase_month, count(*) AS orders "
+                   "FROM {orders} GROUP BY 1", orders=v.orders)

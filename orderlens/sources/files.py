@@ -6,6 +6,8 @@ pass over every file and turns zip prefixes such as ``01001`` into integers.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +42,21 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
+def _declared(schema: T.StructType | str) -> T.StructType:
+    if isinstance(schema, str):
+        return SCHEMAS[schema] if schema in SCHEMAS else T.StructType.fromDDL(schema)
+    return schema
+
+
+def _named(path: str, columns: list[str], schema: T.StructType) -> dict[str, str]:
+    """The header's spelling of every declared column, by its lower-case name."""
+    given, wanted = {c.lower(): c for c in columns}, {f.name.lower() for f in schema}
+    if set(given) != wanted or len(given) != len(columns):
+        raise ValueError(f"{path}: missing columns {sorted(wanted - set(given))}, unknown or repeated columns "
+                         f"{sorted(c for c in columns if c.lower() not in wanted or given[c.lower()] != c)}")
+    return given
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              infer_schema: bool = False, bad_cells: str = "fail", **options: str) -> DataFrame:
     """Header-named CSV scan.
@@ -54,13 +71,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     reader = spark.read.option("header", True).options(**{"enforceSchema": "false"} | options)
     if schema is None:
         return reader.option("inferSchema", infer_schema).csv(path)
-    if isinstance(schema, str):
-        schema = SCHEMAS[schema] if schema in SCHEMAS else T.StructType.fromDDL(schema)
+    schema = _declared(schema)
     cells = reader.csv(path)
-    given, wanted = {c.lower(): c for c in cells.columns}, {f.name.lower() for f in schema}
-    if set(given) != wanted or len(given) != len(cells.columns):
-        raise ValueError(f"{path}: missing columns {sorted(wanted - set(given))}, unknown or repeated columns "
-                         f"{sorted(c for c in cells.columns if c.lower() not in wanted or given[c.lower()] != c)}")
+    given = _named(path, cells.columns, schema)
 
     def typed(field: T.StructField) -> Column:
         cell = F.col(f"`{given[field.name.lower()]}`")
@@ -73,6 +86,43 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return cells.select(*[typed(f) for f in schema])
 
 
+class Loaded(NamedTuple):
+    good: DataFrame                 # rows of the declared types
+    bad: DataFrame                  # file, column, text: one row for each cell or row that is not
+
+
+def load_csv(spark: SparkSession, path: str, schema: T.StructType | str, out: str, **options: str) -> Loaded:
+    """One scan of the CSV files under ``path`` into ``out``: good rows typed, bad ones set aside with what is wrong.
+
+    A row is bad if a cell is no value of its column's type, or if it has
+    more or fewer cells than the header.  Of the first kind, every such cell
+    gives its file, column and text; the second kind has no column and the
+    whole row as text.  Rows are counted once: ``good.count()`` plus the
+    distinct ``row`` of ``bad`` make all.  Columns are found by name as in
+    ``read_csv``.  Both outputs are read from ``out``.
+    """
+    schema = _declared(schema)
+    reader = spark.read.option("header", True).options(**{"enforceSchema": "false"} | options)
+    names = reader.csv(path).columns
+    given = _named(path, names, schema)
+    cells = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_row"]])
+    rows = reader.schema(cells).options(mode="PERMISSIVE", columnNameOfCorruptRecord="_row").csv(path)
+    typed, faults = [], [F.when(F.col("_row").isNotNull(), F.struct(F.lit(None).cast("string").alias("column"), F.col("_row").alias("text")))]
+    for field in schema:
+        cell = F.col(f"`{given[field.name.lower()]}`")
+        value = cell.try_cast(field.dataType)
+        typed.append(value.alias(field.name))
+        wrong = F.col("_row").isNull() & cell.isNotNull() & value.isNull()
+        faults.append(F.when(wrong, F.struct(F.lit(field.name).alias("column"), cell.alias("text"))))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    judged = rows.select(F.struct(*typed).alias("good"), place.alias("place"), F.array_compact(F.array(*faults)).alias("faults"))
+    whole = T.StructType([*judged.schema.fields, T.StructField("bad", T.BooleanType())])
+    judged.withColumn("bad", F.size("faults") > 0).write.partitionBy("bad").parquet(out)
+    back = spark.read.schema(whole).parquet(out)
+    bad = back.where("bad").select("place.file", "place.row", F.explode("faults").alias("fault"))
+    return Loaded(back.where("NOT bad").select("good.*"), bad.select("file", "row", "fault.column", "fault.text"))
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -82,9 +132,37 @@ def write_result(df: DataFrame, path: str, partition_by: list[str] | None = None
     """Write a result instead of printing it.
 
     Partitioning by a low-cardinality column (e.g. a month key) lets later
-    readers prune whole folders.
+    readers prune whole folders.  ``mode="replace_partitions"`` replaces the
+    partitions that ``df`` has rows of and leaves all others as they are; a
+    partition without rows in ``df`` stays.
     """
-    writer = df.write.mode(mode).format(fmt)
+    if mode == "replace_partitions":
+        if not partition_by:
+            raise ValueError("replace_partitions needs partition_by")
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
+    else:
+        writer = df.write.mode(mode).format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
+
+
+def write_ordered(df: DataFrame, path: str, *order: Column | str, files: int | None = None,
+                  mode: str = "errorifexists") -> None:
+    """Write a result so that its order lasts: files hold ranges of the order, one after the other, each sorted.
+
+    File names ascend with the order.  As ranges do not overlap, a reader's
+    filter on the first order column skips files and row groups by their
+    statistics.  Rows equal in all order columns lie in one file; add a
+    tie-breaker where one value may hold many rows.  ``files`` (default: the
+    shuffle partitions, as AQE coalesces them) is the number of ranges.
+    """
+    dealt = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).write.mode(mode).parquet(path)
+
+
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_ordered`` wrote, with ``position`` (file, row): sorting by it gives the written order without the order columns."""
+    rows = spark.read.parquet(path)
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rows.select("*", place.alias("position"))

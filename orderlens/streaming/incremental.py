@@ -36,9 +36,14 @@ def payment_summary_stream(payments: DataFrame, undefined: str = "not_defined")
     return analyses.payment_summary(cleaning.zero_undefined_installments(payments, undefined=undefined))
 
 
-def start(df: DataFrame, spark: SparkSession, name: str, sink: str = "memory",
-          output_mode: str = "complete", path: str | None = None) -> StreamingQuery:
-    """Start ``df`` with its checkpoint in the shared checkpoint folder."""
+def start(df: DataFrame, spark: SparkSession, name: str, sink: str, output_mode: str = "append",
+          path: str | None = None) -> StreamingQuery:
+    """Start ``df`` with its checkpoint in the shared checkpoint folder.
+
+    ``sink`` must be chosen: files (``parquet`` with ``path``) are written by
+    the executors; ``memory`` brings the whole result to the driver and is
+    for small aggregates and tests only.
+    """
     writer = (df.writeStream.outputMode(output_mode).format(sink)
               .option("checkpointLocation", stream_checkpoint(spark, name)))
     if sink == "memory":

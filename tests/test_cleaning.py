@@ -87,3 +87,22 @@ def test_lookup_column_repeated_keys_keep_join_semantics(spark):
     lookup = spark.createDataFrame([(1, "a"), (1, "b")], "lk int, lv string")
     got = sorted(map(tuple, lookup_column(df, "k", lookup, "lk", "lv", "v").collect()), key=str)
     assert got == [(1, "a"), (1, "b"), (2, None)]
+
+
+def test_spellings_are_one_by_choice(spark):
+    cities = ["são paulo", "SAO PAULO", "Sao Paulo", "rio", "Rio", None, "sao  paulo"]
+    df = spark.createDataFrame([(i, c, i) for i, c in enumerate(cities)], "id int, city string, _value int")
+    unified = {r.id: r.city for r in cleaning.unify_spellings(df, ["city"]).collect()}
+    assert unified == {0: "SAO PAULO", 1: "SAO PAULO", 2: "SAO PAULO", 3: "Rio", 4: "Rio", 5: None, 6: "sao  paulo"}
+    assert cleaning.unify_spellings(df, ["city"]).columns == df.columns
+    assert {r.id: r.city for r in cleaning.unify_spellings(df, ["city"], "UTF8_LCASE").collect()}[0] == "são paulo"
+    assert df.groupBy("city").count().count() == 7                     # all else compares byte by byte
+
+
+def test_lookup_by_collation(spark):
+    lookup = spark.createDataFrame([("Eletrônicos", "electronics"), ("ELETRONICOS", "devices"), ("moveis", "furniture")], "k string, english string")
+    df = spark.createDataFrame([(1, "eletronicos"), (2, "Móveis"), (3, None), (4, "other"), (5, "moveis")], "id int, k string")
+    loose = {r.id: r.k for r in cleaning.lookup_translate(df, lookup, "k", "english", collation=cleaning.SPELLINGS).collect()}
+    assert loose == {1: "devices", 2: "furniture", 3: None, 4: None, 5: "furniture"}
+    exact = {r.id: r.k for r in cleaning.lookup_translate(df, lookup, "k", "english").collect()}
+    assert exact == {1: None, 2: None, 3: None, 4: None, 5: "furniture"}

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from conftest import SF_SMALL
+from orderlens.operators import aggregate
 
 Q = entry_module.queries()
 
@@ -73,3 +74,38 @@ def test_trade_balance_moves_no_items_by_seller(no_broadcast):
 def test_customer_behaviour_reads_orders_for_one_join(no_broadcast):
     plan = _plan(Q["customer_behaviour"](no_broadcast, SF_SMALL))
     assert plan.count("SortMergeJoin") == 1 and plan.count("orders.parquet") == 2     # the orders, and the payments made of them
+
+
+def _scans(df, name):
+    return _plan(df).count(f"{name}.parquet")
+
+
+def test_the_pivot_without_values_computes_its_join_once(no_broadcast, monkeypatch):
+    written = []
+    monkeypatch.setattr(aggregate, "store", lambda df, name, own=aggregate.store: own((written.append(df), df)[1], name))
+    result = Q["pivot_payment_type_by_state"](no_broadcast, SF_SMALL)
+    assert len(written) == 1 and _scans(result, "orders") == _scans(result, "customer") == 0         # values and pivot are read from the cells
+    assert _scans(written[0], "customer") == 1 and _scans(written[0], "orders") == 2               # the orders, and the payments made of them
+    declared = Q["pivot_payment_type_declared_values"](no_broadcast, SF_SMALL)
+    assert len(written) == 1 and _scans(declared, "orders") == 2
+
+
+@pytest.mark.parametrize("name, joins", [("join_inner_using_bucketed", 1), ("join_inner_multiway_bucketed", 2), ("sql_item_route_bucketed", 1)])
+def test_bucketed_tables_meet_without_an_exchange(no_broadcast, name, joins):
+    plan = _plan(Q[name](no_broadcast, SF_SMALL))
+    lines = [re.sub(r"^[\s:|+*()\d-]*", "", line) for line in plan.splitlines()]
+    depth = [len(re.match(r"^[\s:|+*()-]*", line)[0]) for line in plan.splitlines()]
+    by_order = [i for i, line in enumerate(lines) if re.match(r"SortMergeJoin \[order_id#", line)]
+    assert len(by_order) == joins
+    for i in by_order:
+        below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+        assert not any(line.startswith("Exchange") for line in lines[i:below])
+    if joins > 1:
+        plain = _plan(Q[name.replace("_bucketed", "")](no_broadcast, SF_SMALL))
+        assert plain.count("Exchange hashpartitioning(order_id") > joins
+
+
+def test_sql_functions_leave_no_call_in_the_plan(spark):
+    for name, part in (("sql_product_size_class", "CASE WHEN"), ("sql_margin_category", "CASE WHEN"), ("sql_month_and_blanks", "regexp_replace")):
+        plan = _plan(Q[name](spark, SF_SMALL))
+        assert part in plan and "EvalPython" not in plan and not re.search(r"ol_\w+\(", plan)

@@ -1,0 +1,39 @@
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF_SMALL
+from orderlens.operators import sketches
+from orderlens.plans import analyses as A
+from orderlens.sources import store
+from orderlens.sources.fixtures import OrderViews
+
+
+@pytest.mark.parametrize("sf", [SF_SMALL, "/root/testdata/sf0.1"])
+def test_estimates_stay_within_the_stated_bound(spark, sf):
+    v = OrderViews(spark, sf)
+    tables = (v.items, v.clean_orders, v.clean_payments, v.sellers, v.products)
+    stored = store(A.active_seller_sketches(*tables), "sketches")
+    guessed = {r.year: r for r in A.active_sellers_of_sketches(stored).collect()}
+    exact = A.active_sellers_by_year(*tables).collect()
+    assert len(guessed) == len(exact)
+    for r in exact:
+        for name in ("active_seller", "product_count"):
+            assert abs(guessed[r.year][name] - r[name]) <= sketches.error_bound() * r[name]
+
+
+def test_a_union_of_parts_is_the_sketch_of_the_whole(spark):
+    df = spark.range(60_000).select((F.col("id") % 20_000).alias("k"), (F.col("id") % 3).cast("int").alias("part"), (F.col("id") % 6).alias("fine"))
+    names = ["k"]
+    whole = sketches.estimates(sketches.unite(sketches.distinct_sketches(df, [], {"k": "k"}), [], names), names).first().k
+    parts = sketches.unite(sketches.distinct_sketches(df, ["part", "fine"], {"k": "k"}), ["part"], names)
+    united = sketches.estimates(sketches.unite(parts, [], names), names).first().k
+    assert abs(united - whole) <= 0.01 * whole and abs(whole - 20_000) <= sketches.error_bound() * 20_000
+    again = sketches.estimates(sketches.unite(parts.unionByName(parts), [], names), names).first().k       # a load twice adds nothing
+    assert again == united
+
+
+def test_small_and_null_groups(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", None), (None, "z")], "g string, v string")
+    made = sketches.unite(sketches.distinct_sketches(df, ["g"], {"n": "v"}), ["g"], ["n"])
+    assert {r.g: r.n for r in sketches.estimates(made, ["n"]).collect()} == {"a": 2, "b": 0, None: 1}
+    assert sketches.error_bound(10) == pytest.approx(2 * sketches.error_bound(12))
