@@ -14,13 +14,18 @@ need no link between them, so a list that only holds the asking set's own
 component is not read: a group of thousands of near copies costs about one
 search.  What comes out is a spanning forest of the links, never all pairs.
 
-Blocks: sets that link differ in so few shingles that, with one part more
-than that, at least one part of their shingles is equal.  The parts' hashes
-are keys; sets that share a key are joined by an edge to the key's smallest
-one, in the Arrow batch first and then behind a shuffle on the key, so that
-a very common key costs one row a batch.  Every link lies inside a
-component of these edges.  A component is one block; above ``SHARD``
-shingles it is split into shards and each pair of shards is a block.
+Blocks: sets that link differ in so few shingles that, cut into somewhat
+more parts than that, some of their parts are equal.  The parts' hashes are
+keys.  The smallest set of a key is its pivot, and a pivot's block takes in
+all sets of the keys that it is the pivot of, so sets that share a key share
+a block; a set mostly has few pivots, as near copies share most keys.  A set
+with fewer shared keys than any link would give it leaves before that.  A
+block above ``SHARD`` shingles is split into shards, and each pair of its
+shards is a block of its own.  A key's sets are streamed past, not held.
+
+Only the texts of the sets in blocks are shuffled: a bitmap of fixed size,
+broadcast, lets the others go first.  Once there are more such sets than it
+has bits, it lets more texts through, and the result is the same.
 
 Equal sets are one node, numbered by a 64-bit hash of the set; shingles are
 compared by 64-bit hashes.  A wrong match needs two equal hashes.
@@ -51,6 +56,7 @@ SHINGLE = 4
 PERCENT = 85
 SHARD = 1 << 20                     # shingles of a shard
 LONG_LISTS = 0.0085                 # DivideSkip: L = T / (LONG_LISTS * log2(longest list) + 1)
+FILTER_BITS = 26                    # of the bitmap's size: 8 MB
 BASE = np.uint64(0x9E3779B97F4A7C17)
 
 
@@ -92,19 +98,20 @@ def _class_limits(size: int, percent: int) -> list[tuple[int, int]]:
     return limits
 
 
-def part_keys(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The keys of a set: two sets that link have one in common, unless they are equal."""
-    keys = []
+def part_keys(found: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The keys of a set, and how many of them it shares with any set that it links with (equal ones apart)."""
+    keys, least = [], []
     for apart, parts in _class_limits(len(found), percent):
         of = ((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)             # ascending, as the hashes are
         starts = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1))
         sums = np.add.reduceat(_mixed(found + BASE), starts)
         tags = of[starts]
+        least.append(max(1, len(starts) - apart))           # a differing shingle spoils one part
         if len(starts) <= apart:                            # so few parts have a shingle that equal empty ones count as well
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), tags)
             sums, tags = np.concatenate((sums, np.zeros(len(empty), np.uint64))), np.concatenate((tags, empty))
         keys.append(_mixed(sums * BASE + tags * np.uint64(0xD6E8FEB86659FD93) + np.uint64(parts)))
-    return np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)
+    return (np.concatenate(keys), min(least)) if keys else (np.empty(0, dtype=np.uint64), 0)
 
 
 def merge_skip(postings, at: list[int], ends: list[int], need: int) -> Iterator[tuple[int, int]]:
@@ -196,89 +203,98 @@ def _texts(docs: DataFrame, *columns) -> DataFrame:
     return docs.select(*columns, text_of().alias("text"))
 
 
-def _marked(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node, n) of every document; the node of an empty set is null."""
+def _marked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, node, n, least) of every document; the node of an empty set is null."""
+    names = ["doc_id", "node", "n", "least"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([_node(f) if len(f) else None for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int64())],
-                ["doc_id", "node", "n"])
+            columns = [_node(f) if len(f) else None for f in found], [len(f) for f in found], [part_keys(f, percent)[1] for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names)
 
-    return _texts(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, node long, n long")
+    return _texts(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _unique_rows(*columns: np.ndarray) -> list[np.ndarray]:
-    """The distinct rows of the columns, sorted by them from the first on."""
+def _unique_rows(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of the columns, sorted by them from the first on, and how often each occurs."""
     order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
-    if len(order):
-        new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))
-        columns = [c[new] for c in columns]
-    return columns
+    new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))) if len(order) else np.zeros(0, bool)
+    return [c[new] for c in columns], np.diff(np.append(np.flatnonzero(new), len(order)))
 
 
 def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows (key, u, v): node u has the key; or, with a v, nodes u and v share one, and the key only spreads the row."""
+    """Rows (key, node), one a batch for equal sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
+            own: dict[int, np.ndarray] = {}
             for text in batch.column(0):
                 found = shingles(text.as_py(), width)
-                own = part_keys(found, percent)
-                if len(own):
-                    keys.append(own.view(np.int64))
-                    nodes.append(np.full(len(own), _node(found)))
-            if not keys:
-                continue
-            key, node = _unique_rows(np.concatenate(keys), np.concatenate(nodes))
-            first = np.concatenate(([True], key[1:] != key[:-1]))
-            pivot = node[first][np.cumsum(first) - 1]
-            u, v = _unique_rows(node[~first], pivot[~first])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((key[first], _mixed(u.view(np.uint64)).view(np.int64)))), pa.array(np.concatenate((node[first], u))),
-                 pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(v, pa.int64())])], ["key", "u", "v"])
+                if len(found) and (node := _node(found)) not in own:
+                    own[node] = part_keys(found, percent)[0]
+            if own:
+                nodes = np.repeat(np.array(list(own), dtype=np.int64), [len(k) for k in own.values()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(own.values())).view(np.int64)), pa.array(nodes)], ["key", "node"])
 
-    return _texts(docs).mapInArrow(run, "key long, u long, v long")
+    return _texts(docs).mapInArrow(run, "key long, node long")
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the rows of ``_keys``, sorted by key and u: edges (u, v) to the smallest node of the key."""
-    last_key = last_node = None
+def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (key, node) sorted by both: (node, pivot, hits) for the nodes of the keys that several nodes have."""
+    last_key = last_node = last_pivot = None
+    told = False                                             # has the last key's pivot been given out?
     for batch in batches:
-        edge = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-        key, u = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        given = u[edge], batch.column(2).drop_null().to_numpy(zero_copy_only=False)
-        key, u = key[~edge], u[~edge]
-        pivot = u
-        if len(key):
-            first = np.concatenate(([True], key[1:] != key[:-1]))
-            starts = u[first]
-            if key[0] == last_key:
-                starts[0] = last_node
-            pivot = starts[np.cumsum(first) - 1]
-            last_key, last_node = key[-1], pivot[-1]
-        apart = u != pivot
-        a, b = _unique_rows(np.concatenate((given[0], u[apart])), np.concatenate((given[1], pivot[apart])))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
-
-
-def _wanted_texts(docs: DataFrame, width: int) -> DataFrame:
-    """(node, text), one row a batch for equal sets."""
+        key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if not len(key):
+            continue
+        goes_on = key[0] == last_key
+        new_key = np.concatenate(([not goes_on], key[1:] != key[:-1]))
+        new_node = np.concatenate(([not goes_on or node[0] != last_node], node[1:] != node[:-1])) | new_key
+        pivots = node[new_key]
+        if goes_on:
+            pivots = np.concatenate(([last_pivot], pivots))
+        group = np.cumsum(new_key) - (0 if goes_on else 1)
+        more = new_node & ~new_key
+        several = np.unique(group[more])
+        tells = several[several > 0] if goes_on and told else several
+        (u, v), hits = _unique_rows(np.concatenate((node[more], pivots[tells])), np.concatenate((pivots[group[more]], pivots[tells])))
+        told = bool(len(several)) and several[-1] == group[-1] or (told and goes_on and group[-1] == 0)
+        last_key, last_node, last_pivot = key[-1], node[-1], pivots[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(hits)], ["node", "pivot", "hits"])
+
+
+def _bitmap(nodes: DataFrame) -> np.ndarray:
+    """A bit for each node, by its lowest ``FILTER_BITS`` bits: 64 to a row, so the driver gets 2 ** (FILTER_BITS - 6) rows at most."""
+    place = F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bit = F.expr("shiftleft(1L, cast(node & 63 AS int))")
+    words = nodes.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bitmap.view(np.uint64)
+
+
+def _wanted_texts(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
+    """(node, text) of the sets that may be in ``wanted``, one row a batch for equal sets."""
+    given = docs.sparkSession.sparkContext.broadcast(wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first: dict[int, int] = {}
             for i, text in enumerate(batch.column(0)):
                 found = shingles(text.as_py(), width)
                 if len(found):
-                    first.setdefault(_node(found), i)
+                    node = _node(found)
+                    place = node & ((1 << FILTER_BITS) - 1)
+                    if int(given.value[place >> 6]) >> (place & 63) & 1:
+                        first.setdefault(node, i)
             yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.int64()), batch.column(0).take(pa.array(list(first.values()), pa.int64()))], ["node", "text"])
 
     return _texts(docs).mapInArrow(run, "node long, text string")
 
 
 def _search(width: int, percent: int):
-    """mapInArrow function over rows (root, lo, hi, node, text) sorted by root, lo, hi: the links (u, v) of each block."""
+    """mapInArrow function over rows (pivot, lo, hi, node, text) sorted by pivot, lo, hi: the links (u, v) of each block."""
     def links(held: dict[int, np.ndarray]) -> pa.RecordBatch:
         nodes = list(held)
         found = block_links(list(held.values()), percent) if len(nodes) > 1 else []
@@ -301,19 +317,23 @@ def _search(width: int, percent: int):
 
 def cluster(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, shard: int = SHARD) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id of its component)."""
-    marked = store(_marked(docs, width), "sets")
+    marked = store(_marked(docs, width, percent), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first")
-    nodes = store(marked.where("n > 0").groupBy("node").agg(first, F.max("n").alias("n"), F.count("*").alias("copies")), "nodes")
-
-    edges = (_keys(docs, width, percent).repartition("key").sortWithinPartitions("key", "u").mapInArrow(_stars, "u long, v long"))
-    blocks = store(components(edges).join(nodes.select("node", "n"), "node"), "blocks")
-    weights = blocks.groupBy("root").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / shard).cast("int").alias("shards"))
-    placed = (join_groups(blocks, weights, "root", "members", nodes.count())
+    nodes = store(marked.where("n > 0").groupBy("node").agg(
+        first, F.max("n").alias("n"), F.max("least").alias("least"), F.count("*").alias("copies")), "nodes")
+
+    shared = _keys(docs, width, percent).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_memberships, "node long, pivot long, hits long")
+    shared = store(shared.groupBy("node", "pivot").agg(F.sum("hits").alias("hits")), "shared")
+    enough = shared.groupBy("node").agg(F.sum("hits").alias("hits")).join(nodes.select("node", "n", "least"), "node").where("hits >= least")
+    members = store(shared.select("node", "pivot").join(enough.select("node", "n"), "node"), "members")
+    weights = members.groupBy("pivot").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / shard).cast("int").alias("shards")).where("members > 1")
+    placed = (join_groups(members, weights, "pivot", "members", members.count())
               .withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
               .withColumn("other", F.explode(F.expr("CASE WHEN shards = 1 THEN array(shard) ELSE array_except(sequence(0, shards - 1), array(shard)) END")))
-              .select("node", "root", F.least("shard", "other").alias("lo"), F.greatest("shard", "other").alias("hi")))
-    work = _wanted_texts(docs, width).join(placed, "node").select("root", "lo", "hi", "node", "text")
-    links = work.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(_search(width, percent), "u long, v long")
+              .select("node", "pivot", F.least("shard", "other").alias("lo"), F.greatest("shard", "other").alias("hi")))
+    placed = store(placed, "placed")
+    work = _wanted_texts(docs, width, _bitmap(placed)).join(placed, "node").select("pivot", "lo", "hi", "node", "text")
+    links = work.repartition("pivot", "lo", "hi").sortWithinPartitions("pivot", "lo", "hi").mapInArrow(_search(width, percent), "u long, v long")
 
     rooted = store(nodes.join(components(links), "node", "left"), "rooted")
     linked = rooted.where(F.col("root").isNotNull()).select("root", "node", "copies", "first")
