@@ -3,7 +3,7 @@
 The rank file (its path is a parameter) becomes a tokenizers model once, on
 the driver, and reaches the tasks as a broadcast of fixed size.  A task
 splits texts by the pattern, merges each piece with the library, and
-remembers the ids of up to ``WORDS`` words.  Encoding gives ids and, for each token, the code points it touches: token lengths in
+remembers the ids of short words, in ``HELD`` bytes at most.  Encoding gives ids and, for each token, the code points it touches: token lengths in
 bytes add up to byte offsets, and the byte-to-character map of the text
 turns these into character offsets, also where a character is split between
 tokens.  Decoding joins the tokens' bytes; characters split over tokens come
@@ -19,6 +19,7 @@ import base64
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from .common import text_of
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BATCH = 256                         # texts in an output batch
-WORDS = 150_000                     # words whose ids a task remembers
+HELD = 40 << 20                     # bytes of the words and ids that a task remembers
+LONGEST = 48                        # characters of a word to remember
+SLOT = 120                          # bytes of an entry beside its word and ids
 
 
 def byte_letters() -> list[str]:
@@ -73,7 +76,7 @@ def load(path: str) -> tuple[str, list[bytes]]:
 
 
 class Encoder(dict):
-    """Ids of texts; made once in a task.  As a dict it remembers, for words after a space, the ids as int32 bytes.
+    """Ids of texts; made once in a task.  As a dict it remembers, for short words after a space, the ids as int32 bytes.
 
     Under PATTERN a single space before a word always begins a piece, so in a
     text without two white-space characters in a row the words can be looked
@@ -83,21 +86,26 @@ class Encoder(dict):
     def __init__(self, spec: str, pattern: str = PATTERN):
         self.model, self.pieces = Tokenizer.from_str(spec).model, regex.compile(pattern).findall
         self.by_word, self.run = pattern == PATTERN, regex.compile(r"\s\s").search
-        self.letters = dict(enumerate(byte_letters()))
+        self.letters, self.held = dict(enumerate(byte_letters())), 0
 
     def merge(self, text: str) -> bytes:
         spelled = (piece.encode().decode("latin-1").translate(self.letters) for piece in self.pieces(text))
         return array("i", [token.id for piece in spelled for token in self.model.tokenize(piece)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.merge(" " + word)
+        ids = self.merge(" " + word)
+        if len(word) <= LONGEST:
+            size = getsizeof(word) + getsizeof(ids) + SLOT
+            if self.held + size > HELD:
+                self.clear()
+                self.held = 0
+            self[word] = ids
+            self.held += size
         return ids
 
     def __call__(self, text: str) -> np.ndarray:
         if not self.by_word or self.run(text):
             return np.frombuffer(self.merge(text), dtype=np.int32)
-        if len(self) > WORDS:
-            self.clear()
         first, *words = text.split(" ")
         return np.frombuffer(self.merge(first) + b"".join(map(self.__getitem__, words)), dtype=np.int32)
 
