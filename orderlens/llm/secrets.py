@@ -3,12 +3,15 @@
 Base rules report assignments, access keys and hex runs by pattern.  The
 method adds what decodes to a key or a signed token: base64 and hex
 candidates are decoded and reported only if the bytes parse as a key
-encoding (DER whose nested lengths fill their parents exactly, an OpenSSH
-private key, an SSH public key of length-prefixed fields), PEM blocks only
+encoding (DER whose nested lengths fill their parents exactly and whose
+values are those of PKCS#1, PKCS#8, PKCS#12, SEC1, DSA or a public key, an
+OpenSSH private key, an SSH public key of length-prefixed fields), PEM blocks only
 if their body does or their header lines say that it is encrypted, and dotted
 tokens only if the first part is a JSON header that names an algorithm.
 Keys over several lines are read without escaped line ends, quote and comment
-marks and string quotes; outside a PEM block they are one span of kind key.
+marks and string quotes; outside a PEM block they are one span of kind key,
+inside it they are told by the block alone.  Public keys count as keys;
+signatures, certificates, requests and revocation lists do not.
 
 Defined results: a null or empty text has no spans; spans are in code
 points, end exclusive, ordered by start, then by kind as listed in KINDS;
@@ -48,7 +51,10 @@ BETWEEN = rf"""(?:[ \t]*{LINE_END}(?:[ \t>#*;%|]|//(?=[ \t]))*|(?:\\+r)?(?:\\+n)
 FIRST_LINE = re.compile(rf"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-P]|AAAA|b3Bl)[A-Za-z0-9+/_-]++(?={BETWEEN}[A-Za-z0-9+/_-])")
 NEXT_LINE = re.compile(rf"{BETWEEN}([A-Za-z0-9+/_-]++)")
 LEAST_KEY = 32                      # characters of a key in base64
-LONGEST_SSH = 1 << 14               # characters of an SSH key over lines, whose length is not told at its start
+LEAST_MODULUS, MOST_EXPONENT = 64, 8        # bytes of the two numbers of a public RSA key; a signature's are alike
+#: Length-prefixed fields of an SSH public key; those of other types (certificates) go on as far as the lines do.
+SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3,
+              b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4}
 LEAST_CIPHER = 16                   # bytes of an encrypted key
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}+(?![0-9A-Fa-f])")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{14,}+)\.[A-Za-z0-9_-]++\.([A-Za-z0-9_-]*+))")        # {"alg":""} has 14 characters
@@ -58,9 +64,12 @@ PADDING = re.compile("={0,2}")
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
-def _der_children(data: bytes, start: int, end: int, depth: int = 0) -> list[int] | None:
-    """Tags of the values that fill ``data[start:end]`` exactly, containers checked within; None if they do not."""
-    tags = []
+INTEGER, BITS, OCTETS, OID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
+
+
+def _der_values(data: bytes, start: int, end: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the values that fill ``data[start:end]`` exactly, containers checked within; None if they do not."""
+    values = []
     while start < end:
         if start + 2 > end or depth > 16:
             return None
@@ -70,11 +79,41 @@ def _der_children(data: bytes, start: int, end: int, depth: int = 0) -> list[int
             if not 1 <= size <= 4 or start + size > end:
                 return None
             length, start = int.from_bytes(data[start:start + size]), start + size
-        if start + length > end or (tag & 0x20 and _der_children(data, start, start + length, depth + 1) is None):
+        if start + length > end or (tag & 0x20 and _der_values(data, start, start + length, depth + 1) is None):
             return None
-        tags.append(tag)
+        values.append((tag, start, start + length))
         start += length
-    return tags
+    return values
+
+
+def _is_der_key(data: bytes) -> bool:
+    """Whether the bytes are one DER sequence with the values of a key, private or public."""
+    outer = _der_values(data, 0, len(data))
+    if not outer or len(outer) != 1 or outer[0][0] != SEQUENCE:
+        return False
+    values = _der_values(data, *outer[0][1:])
+    tags = [v[0] for v in values]
+
+    def algorithm(i: int) -> bool:
+        return tags[i] == SEQUENCE and [v[0] for v in _der_values(data, *values[i][1:])][:1] == [OID]
+
+    if tags[:2] == [SEQUENCE, BITS] or tags[:2] == [SEQUENCE, OCTETS]:
+        return len(tags) == 2 and algorithm(0)              # public key; encrypted PKCS#8
+    if len(tags) < 2 or tags[0] != INTEGER:
+        return False
+    size = [b - a for _, a, b in values]
+    if tags == [INTEGER, INTEGER]:                          # public PKCS#1
+        return size[0] >= LEAST_MODULUS and size[1] <= MOST_EXPONENT
+    version = data[values[0][1]] if size[0] == 1 else -1
+    if version in (0, 1) and tags[:9] == [INTEGER] * 9:     # PKCS#1, with further primes in version 1
+        return tags[9:] in ([], [SEQUENCE])
+    if version == 0 and tags == [INTEGER] * 6:              # DSA
+        return True
+    if version == 1 and tags[1] == OCTETS:                  # SEC1
+        return all(t in (0xA0, 0xA1) for t in tags[2:])
+    if version in (0, 1) and tags[1:3] == [SEQUENCE, OCTETS]:       # PKCS#8
+        return algorithm(1) and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:])
+    return version == 3 and algorithm(1) and tags[2:] in ([], [SEQUENCE])       # PKCS#12
 
 
 def _fields(data: bytes) -> list[bytes] | None:
@@ -89,42 +128,31 @@ def _fields(data: bytes) -> list[bytes] | None:
     return found
 
 
-def _key_ends(data: bytes) -> Iterator[int]:
-    """Where a key that ``data`` begins with may end."""
+def _reach(data: bytes) -> int | None:
+    """How many bytes the key that ``data`` begins with has, as far as its own lengths tell; None if it begins no key."""
     if data[:1] == b"\x30" and len(data) > 6:
         size = data[1] & 0x7F if data[1] >= 0x80 else 0
-        if size <= 4:
-            yield 2 + size + (int.from_bytes(data[2:2 + size]) if size else data[1])
-        return
-    def after(at: int) -> int:
-        return at + 4 + int.from_bytes(data[at:at + 4])
+        return 2 + size + (int.from_bytes(data[2:2 + size]) if size else data[1]) if size <= 4 else None
+
+    def after(at: int, fields: float) -> int:
+        while fields and at + 4 <= len(data):
+            at, fields = at + 4 + int.from_bytes(data[at:at + 4]), fields - 1
+        return at + 4 if fields else at
 
     if data.startswith(OPENSSH):                    # cipher, kdf, its options, the number of keys, the public keys, the private ones
-        at = after(after(after(len(OPENSSH))))
-        left = int.from_bytes(data[at:at + 4]) + 1
-        at += 4
-        while left and at + 4 <= len(data):
-            at, left = after(at), left - 1
-        if not left:
-            yield at
-    elif SSH_TYPE.match(data[4:]):
-        at = after(0)
-        while at + 4 <= len(data):
-            at = after(at)
-            yield at
+        at = after(len(OPENSSH), 3)
+        return after(at + 4, int.from_bytes(data[at:at + 4]) + 1) if at + 4 <= len(data) else at + 4
+    if SSH_TYPE.match(data[4:]):
+        return after(0, SSH_FIELDS.get(data[4:4 + int.from_bytes(data[:4])], float("inf")))
+    return None
 
 
 def is_key(data: bytes) -> bool:
     """Whether the bytes are a key encoding."""
     if data.startswith(OPENSSH):
-        return True
-    if data[:1] == b"\x30":                         # one DER sequence: a version or an algorithm, then the key
-        outer = _der_children(data, 0, len(data))
-        if outer != [0x30]:
-            return False
-        head = 2 if data[1] < 0x80 else 2 + (data[1] & 0x7F)
-        inner = _der_children(data, head, len(data))
-        return len(inner) >= 2 and inner[0] in (0x02, 0x30)
+        return _reach(data) == len(data)
+    if data[:1] == b"\x30":
+        return _is_der_key(data)
     if data[:3] == b"\0\0\0" and len(data) > 4:
         fields = _fields(data)
         return bool(fields) and len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk-ssh|sk-ecdsa)-[a-z0-9@.-]+", fields[0]) is not None
@@ -183,27 +211,28 @@ def _pem_blocks(text: str) -> list[tuple[int, int]]:
 
 
 def _wrapped_keys(text: str) -> list[tuple[int, int]]:
-    """The spans of base64 keys that go over several lines."""
+    """The spans of base64 keys that go over several lines, followed as far as the keys' own lengths reach."""
     found, at = [], 0
     while m := FIRST_LINE.search(text, at):
         at = m.end()
-        chars, ends, wanted = m[0], {}, 0
-        while line := NEXT_LINE.match(text, next(reversed(ends.values()), m.end())):
-            ends[len(chars) + len(line[1])] = line.end()
-            chars += line[1]
-            if not wanted and len(chars) >= 44:
-                data = _from_base64(chars[:44])
-                if data[:1] == b"\x30":
-                    wanted = -(-4 * next(_key_ends(data), 0) // 3)
-                elif data.startswith(OPENSSH) or SSH_TYPE.match(data[4:]):
-                    wanted = LONGEST_SSH
-            if not wanted and len(chars) >= 44 or wanted and len(chars) >= wanted:
-                break
-        data = _from_base64(chars[:len(chars) - (len(chars) % 4 == 1)])         # one character more than fours holds no byte
-        good = [ends[n] for size in _key_ends(data)
-                if (n := -(-4 * size // 3)) in ends and n >= LEAST_KEY and size <= len(data) and is_key(data[:size])]
+        chars, data, decoded, wanted = [m[0]], bytearray(), 0, 33
+        ends, length = {}, len(m[0])                # the line ends, by the characters before them
+        while wanted and (line := NEXT_LINE.match(text, next(reversed(ends.values()), m.end()))):
+            chars.append(line[1])
+            length += len(line[1])
+            ends[length] = line.end()
+            if length * 3 // 4 >= wanted:
+                whole = "".join(chars)
+                data += _from_base64(whole[:len(whole) - len(whole) % 4])
+                decoded, chars = decoded + len(whole) - len(whole) % 4, [whole[len(whole) - len(whole) % 4:]]
+                reach = _reach(bytes(data)) or 0
+                wanted = reach if reach * 4 > length * 3 else 0
+        rest = "".join(chars)
+        data = bytes(data) + _from_base64(rest[:len(rest) - (len(rest) % 4 == 1)])      # one character more than fours holds no byte
+        good = [(n, end) for n, end in ends.items() if n >= LEAST_KEY and is_key(data[:n * 3 // 4])]
         if good:
-            at = good[-1] + len(PADDING.match(text, good[-1])[0])
+            end = good[-1][1]
+            at = end + len(PADDING.match(text, end)[0])
             found.append((m.start(), at))
     return found
 
@@ -236,7 +265,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     spans += [("key", *s) for s in wrapped]
     keys = [(m.start() + skip, m.end()) for m in BASE64.finditer(text) for skip in {0, _escaped_start(text, m.start())}
             if is_key(_from_base64(text[m.start() + skip:m.end()]))]
-    spans += [("key", *s) for s in keys if not any(a <= s[0] and s[1] <= b for a, b in wrapped)]
+    spans += [("key", *s) for s in keys if not any(a <= s[0] and s[1] <= b for a, b in wrapped + blocks)]
     spans += [("key", *m.span()) for m in HEX_KEY.finditer(text) if is_key(bytes.fromhex(m[0]))]
     end = 0
     for m in TOKEN.finditer(text):
