@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -420,3 +421,135 @@ def test_warc_audit_pairs_records_at_the_same_place(spark):
     rows = warc_fixity.audit(*(spark.createDataFrame(x, schema) for x in (first, second))).collect()
     assert {(r.id, r.offset, r.status) for r in rows} == {(i, *s) for i in (5, None) for s in ((0, "missing_second"), (100, "intact"), (200, "corrupt"), (300, "intact"))}
     assert len(rows) == 8
+
+
+def _der(tag, *parts):
+    body = b"".join(parts)
+    size = len(body)
+    return bytes([tag]) + (bytes([size]) if size < 128 else bytes([0x80 + (size.bit_length() + 7) // 8]) + size.to_bytes((size.bit_length() + 7) // 8)) + body
+
+
+def _der_forms():
+    """(name, bytes, whether they are a key)."""
+    rng = random.Random(11)
+    number = lambda n: _der(2, b"\x01" + rng.randbytes(n))
+    version = lambda n: _der(2, bytes([n]))
+    rsa = _der(0x30, _der(6, bytes.fromhex("2a864886f70d010101")), _der(5))
+    curve = _der(0x30, _der(6, bytes.fromhex("2a8648ce3d0201")), _der(6, bytes.fromhex("2a8648ce3d030107")))
+    exponent = _der(2, b"\x01\x00\x01")
+    name = _der(0x30, _der(0x31, _der(0x30, _der(6, b"\x55\x04\x03"), _der(12, b"a name"))))
+    signature = _der(0x30, number(31), number(31))
+    key = _der(0x30, curve, _der(3, b"\0\x04" + rng.randbytes(64)))
+    dates = _der(0x30, _der(23, b"250101000000Z"), _der(23, b"350101000000Z"))
+    body = _der(0x30, _der(0xA0, version(2)), number(8), rsa, name, dates, name, key)
+    request = _der(0x30, version(0), name, key, _der(0xA0))
+    revoked = _der(0x30, version(1), rsa, name, _der(23, b"250101000000Z"))
+    return [
+        ("PKCS#1", _der(0x30, version(0), number(64), exponent, *(number(32) for _ in range(6))), True),
+        ("PKCS#1 public", _der(0x30, number(128), exponent), True), ("DSA", _der(0x30, version(0), *(number(24) for _ in range(5))), True),
+        ("SEC1", _der(0x30, version(1), _der(4, rng.randbytes(32)), _der(0xA0, _der(6, b"\x2a\x86\x48")), _der(0xA1, _der(3, rng.randbytes(66)))), True),
+        ("PKCS#8", _der(0x30, version(0), rsa, _der(4, rng.randbytes(80))), True), ("encrypted PKCS#8", _der(0x30, rsa, _der(4, rng.randbytes(80))), True),
+        ("PKCS#12", _der(0x30, version(3), _der(0x30, _der(6, b"\x2a\x86\x48"), _der(0xA0, _der(4, rng.randbytes(80)))), _der(0x30, rsa)), True),
+        ("public key", key, True), ("ECDSA signature", signature, False), ("long signature", _der(0x30, number(66), number(66)), False),
+        ("certificate", _der(0x30, body, rsa, _der(3, b"\0" + rng.randbytes(64))), False), ("request", _der(0x30, request, rsa, _der(3, b"\0" + rng.randbytes(64))), False),
+        ("revocation list", _der(0x30, revoked, rsa, _der(3, b"\0" + rng.randbytes(64))), False), ("name", name, False), ("numbers", _der(0x30, *(number(40) for _ in range(4))), False)]
+
+
+@pytest.mark.parametrize("form, data, wanted", _der_forms(), ids=[f[0] for f in _der_forms()])
+def test_only_keys_are_confirmed(form, data, wanted):
+    import base64
+    text = base64.b64encode(data).decode()
+    assert secrets.is_key(data) == wanted and not secrets.is_key(data[:-1]) and not secrets.is_key(data + b"\0")
+    assert [s for s in secrets.scan(f"x {text} y") if s[0] == "key"] == [("key", 2, 2 + len(text))] * wanted
+    assert [s[0] for s in secrets.scan(f"x {data.hex()} y") if s[0] == "key"] == ["key"] * wanted
+    for width in (64, 76, 10_000):
+        block = "\n".join(["-----BEGIN SOMETHING-----", *_wrap(text, width), "-----END SOMETHING-----"])
+        assert [s for s in secrets.scan(block) if s[0] not in secrets.BASE] == [("pem", 0, len(block))] * wanted       # the block alone, and once
+
+
+def test_long_ssh_keys_over_lines():
+    import base64
+    rng = random.Random(12)
+    field = lambda b: len(b).to_bytes(4) + b
+    ssh = field(b"ssh-rsa") + field(b"\x01\x00\x01") + field(rng.randbytes(60_001))
+    own = b"openssh-key-v1\0" + field(b"aes256-ctr") + field(b"bcrypt") + field(rng.randbytes(24)) + (1).to_bytes(4) + field(ssh) + field(rng.randbytes(50_000))
+    cert = field(b"ssh-rsa-cert-v01@openssh.com") + b"".join(field(rng.randbytes(n)) for n in (32, 3, 513, 0, 9000, 12_001))
+    for data in (ssh, own, cert):
+        text = base64.b64encode(data).decode()
+        wrapped = "\n".join(_wrap(text, 70))
+        assert [s for s in secrets.scan(f"key:\n{wrapped}\n\nnot more") if s[0] == "key"] == [("key", 5, 5 + len(wrapped))]
+        assert not any(s[0] == "key" and s[2] - s[1] > 70 for s in secrets.scan("\n".join(_wrap(text, 70)[:-1])))
+
+
+def plain_base_spans(text):
+    """The base rules, character by character."""
+    word = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    found, at = [], 0
+    while at < len(text):
+        stop = None
+        for name in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if lower.startswith(name, at):
+                i = at + len(name)
+                i += text[i:i + 1] in ('"', "'") and text[i:i + 1] != ""
+                while text[i:i + 1] == " ":
+                    i += 1
+                if text[i:i + 1] not in (":", "="):
+                    continue
+                i += 1
+                while text[i:i + 1] == " ":
+                    i += 1
+                i += text[i:i + 1] in ('"', "'") and text[i:i + 1] != ""
+                end = i
+                while end < len(text) and text[end] in word:
+                    end += 1
+                if end == i:
+                    continue
+                stop = end
+                if end - i >= 6:
+                    found.append(("assign", at, end))
+                break
+        at = stop or at + 1
+    for kind, start, letters, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            end = at + len(start)
+            if text.startswith(start, at):
+                while end < len(text) and text[end] in letters:
+                    end += 1
+                if end > at + len(start):
+                    if end - at >= least:
+                        found.append((kind, at, end))
+                    at = end
+                    continue
+            at += 1
+    return sorted(found, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+def test_base_spans_of_the_whole_table_against_a_plain_scanner(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = queries.op8_secret_scan(spark, SF).collect()
+    assert len(found) == len(texts) and sum(r.n_assign + r.n_access + r.n_hex for r in found) > 20
+    for r in found:
+        base = plain_base_spans(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in base) for k in secrets.BASE)
+        assert r.base_sha256 == hashlib.sha256(",".join("%s:%d:%d" % s for s in base).encode()).hexdigest()
+    rng = random.Random(4)
+    pool = ["password", "Passwd", "SECRET", "token", "apikey", "api_key", "=", ":", " ", '"', "'", "abcdef", "x.y", "AKIA", "A1B2" * 5, "0f" * 12, "0F", "\n", "é", "K"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(12)))
+        assert [s for s in secrets.scan(text) if s[0] in secrets.BASE] == plain_base_spans(text)
+
+
+def test_a_bpe_task_remembers_a_bounded_number_of_bytes(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    spec, _ = byte_bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoder, rng = byte_bpe.Encoder(spec), random.Random(6)
+    for _ in range(20):
+        encoder("".join(rng.choice("abcdefgh日本") for _ in range(100_000)) + " " + "x" * 100_000)
+    assert not encoder and encoder.held == 0
+    monkeypatch.setattr(byte_bpe, "HELD", 20_000)
+    for i in range(3000):
+        text = f"a w{i} w{i // 2} {'é' * 48} {'y' * 49}"
+        assert encoder(text).tobytes() == encoder.merge(text)
+        assert encoder.held <= 20_000 and encoder.held == sum(sys.getsizeof(w) + sys.getsizeof(i) + byte_bpe.SLOT for w, i in encoder.items())
