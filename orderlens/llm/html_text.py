@@ -2,9 +2,15 @@
 
 A page becomes a flat list of text blocks, cut at block-level tags.  Each
 block has its number of words and its share of words inside links, those of
-its two neighbours, whether it is a heading, and whether the nearest
-telling container is an article or page furniture.  A decision tree, grown
-here from the small labelled table EXAMPLES, says which blocks are main text.
+its two neighbours (other than page furniture), whether it is a heading,
+whether the nearest telling container is an article or page furniture, and
+whether the page has an article at all.  A decision tree, grown here from
+the small labelled table EXAMPLES, says which blocks are main text.
+
+All that stands in an article is its text, also short paragraphs and lists
+of links.  On a page without any article, headings and short paragraphs with
+text beside them are text too; a list of links there cannot be told from a
+menu and goes, with a heading that only it follows.
 
 Defined results: a null or empty html gives an empty text; text outside any
 tag is a block; a tag that is never closed ends with the page; repeated rows
@@ -60,38 +66,44 @@ HEAD_END = {name: re.compile(rf"</(?:{name}|head)(?=[\s/>]|\Z)|<body(?=[\s/>]|\Z
 NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 OUTSIDE, ARTICLE, PAGE_FURNITURE = 0, 1, 2
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "in_article", "in_furniture")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "in_article", "in_furniture", "page_has_article")
 
-#: The labelled table: the first seven FEATURES of a block, then 1 or 0 for main text or not when the block stands
-#: in an article, and when it stands in no telling container.  In page furniture none of them is main text.
+#: The labelled table: the first seven FEATURES of a block, then 1 or 0 for main text or not when the block stands in no telling
+#: container, on a page that has an article elsewhere and on one that has none.  In an article all of them are main text, in
+#: page furniture none is.
 EXAMPLES = [
     # long and medium paragraphs
     (120, 0, 9, 0, 60, 0, 0, 1, 1), (45, .1, 120, 0, 30, 0, 0, 1, 1), (30, 0, 45, .1, 12, .1, 0, 1, 1), (400, 0, 3, 0, 10, .2, 0, 1, 1),
     (80, 0, 60, 0, 70, 0, 0, 1, 1), (35, 0, 6, 0, 40, 0, 0, 1, 1), (60, .1, 2, 1, 35, 0, 0, 1, 1), (25, .05, 90, 0, 30, 0, 0, 1, 1),
     (18, 0, 50, 0, 22, 0, 0, 1, 1), (12, 0, 45, 0, 60, 0, 0, 1, 1), (200, .2, 4, .5, 5, 1, 0, 1, 1), (40, 0, 80, 0, 3, .7, 0, 1, 1),
     (16, 0, 30, .1, 35, 0, 0, 1, 1), (22, 0, 1, 1, 33, 0, 0, 1, 1), (70, 0, 10, 0, 12, 0, 0, 1, 1), (150, .1, 3, 0, 20, 0, 0, 1, 1),
-    (90, 0, 60, 0, 0, 0, 0, 1, 1), (14, .3, 80, 0, 35, 0, 0, 1, 1),
+    (90, 0, 60, 0, 0, 0, 0, 1, 1), (14, .3, 80, 0, 35, 0, 0, 1, 1), (40, 0, 0, 0, 0, 0, 0, 1, 1), (30, 0, 2, 1, 3, 1, 0, 1, 1),
     # headings
     (9, 0, 7, 0, 70, 0, 1, 1, 1), (2, 0, 0, 0, 80, 0, 1, 1, 1), (7, 0, 3, 1, 50, 0, 1, 1, 1), (5, 0, 40, 0, 45, 0, 1, 1, 1),
-    (12, 0, 8, 0, 12, 0, 1, 1, 1), (4, 0, 30, 0, 3, 0, 1, 1, 0), (3, 0, 1, 1, 6, 1, 1, 1, 0), (1, 0, 2, 1, 1, 1, 1, 1, 0),
+    (12, 0, 8, 0, 12, 0, 1, 1, 1), (4, 0, 30, 0, 3, 0, 1, 0, 1), (3, 0, 1, 1, 6, 1, 1, 0, 0), (1, 0, 2, 1, 1, 1, 1, 0, 0),
+    (2, 0, 0, 0, 1, 0, 1, 0, 1), (1, 0, 2, 0, 2, 0, 1, 0, 1), (2, 0, 3, 1, 2, 0, 1, 0, 1), (3, 0, 60, 0, 2, 1, 1, 0, 0), (2, 0, 8, 0, 3, 1, 1, 0, 0),
+    (3, 0, 25, 0, 0, 0, 1, 0, 1),
     # short paragraphs and scraps
-    (1, 0, 60, 0, 45, 0, 0, 1, 0), (4, 0, 12, 0, 20, 1, 0, 1, 0), (3, 0, 0, 0, 0, 0, 0, 1, 0), (6, 0, 4, .5, 3, 1, 0, 1, 0),
-    (8, .1, 50, 0, 3, 1, 0, 1, 0), (4, 0, 40, 0, 0, 0, 0, 1, 0), (1, 0, 0, 0, 1, 1, 0, 1, 0), (3, 0, 2, 1, 2, 1, 0, 1, 0),
-    (8, 0, 1, 1, 10, 0, 0, 1, 0), (2, 0, 8, 0, 9, 0, 0, 1, 0), (7, 0, 8, 0, 8, 0, 0, 1, 0),
+    (1, 0, 60, 0, 45, 0, 0, 0, 1), (4, 0, 12, 0, 20, 1, 0, 0, 1), (3, 0, 0, 0, 0, 0, 0, 0, 1), (6, 0, 4, .5, 3, 1, 0, 0, 0),
+    (8, .1, 50, 0, 3, 1, 0, 0, 1), (4, 0, 40, 0, 0, 0, 0, 0, 1), (1, 0, 0, 0, 1, 1, 0, 0, 0), (3, 0, 2, 1, 2, 1, 0, 0, 0),
+    (8, 0, 1, 1, 10, 0, 0, 0, 1), (2, 0, 8, 0, 9, 0, 0, 0, 1), (7, 0, 8, 0, 8, 0, 0, 0, 1), (2, 0, 2, 0, 2, 0, 0, 0, 1),
+    (2, 0, 1, 0, 60, 0, 0, 0, 1), (3, 0, 2, 0, 2, 1, 0, 0, 1), (2, 0, 3, 1, 0, 0, 0, 0, 0), (1, 0, 0, 0, 5, 0, 0, 0, 1), (1, 0, 4, 0, 0, 0, 0, 0, 1),
     # links between paragraphs
-    (6, 1, 50, 0, 64, 0, 0, 1, 0), (60, .6, 40, 0, 25, 0, 0, 1, 0), (12, .5, 90, .1, 8, 0, 0, 1, 0), (10, .7, 60, 0, 12, .1, 0, 1, 0),
+    (6, 1, 50, 0, 64, 0, 0, 0, 1), (60, .6, 40, 0, 25, 0, 0, 0, 1), (12, .5, 90, .1, 8, 0, 0, 0, 1), (10, .7, 60, 0, 12, .1, 0, 0, 1),
+    (2, 1, 9, 0, 12, 0, 0, 0, 1), (5, 1, 3, 0, 30, 0, 0, 0, 1),
     # lists of links
     (2, 1, 3, 1, 2, 1, 0, 0, 0), (3, 1, 2, 1, 4, 1, 0, 0, 0), (1, 1, 2, 1, 9, 1, 0, 0, 0), (4, 1, 3, 1, 3, 1, 0, 0, 0),
     (25, .8, 5, 1, 20, .9, 0, 0, 0), (5, .9, 2, 1, 4, 1, 0, 0, 0), (50, .9, 10, 1, 40, .8, 0, 0, 0), (1, 1, 1, 1, 1, 1, 0, 0, 0),
+    (2, 1, 60, 0, 3, 1, 0, 0, 0), (3, 1, 2, 1, 45, 0, 0, 0, 0), (1, 1, 0, 0, 1, 1, 0, 0, 0), (2, 1, 1, 1, 0, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0, 0, 0, 0),
 ]
 
 
 def examples() -> list[tuple]:
     """EXAMPLES in each container: FEATURES and the label."""
-    return [(*e[:7], *place) for e in EXAMPLES for place in ((1, 0, e[7]), (0, 0, e[8]), (0, 1, 0))]
+    return [(*e[:7], *place) for e in EXAMPLES for place in ((1, 0, 1, 1), (0, 0, 1, e[7]), (0, 0, 0, e[8]), (0, 1, 1, 0), (0, 1, 0, 0))]
 
 
-DEPTH = 6
+DEPTH = 10
 
 
 def grow(rows: list[tuple], depth: int = DEPTH):
@@ -259,15 +271,25 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
 def main_text(page: str) -> str:
     """The blocks that the tree calls main text, joined by an empty line."""
     found = blocks(page)
-    edge = ("", 0, 0, 0, 0)
-    shape = [(b[1], b[2] / b[1]) if b[1] else (0, 0) for b in [edge, *found, edge]]
-    grown = tree()
-    return "\n\n".join(b[0] for i, b in enumerate(found, 1)
-                       if classify(grown, (*shape[i], *shape[i - 1], *shape[i + 1], b[4], b[3] == ARTICLE, b[3] == PAGE_FURNITURE)))
+    has_article = any(b[3] == ARTICLE for b in found)
+    shape = [(b[1], b[2] / b[1]) for b in found]
+    nothing, grown, kept = (0, 0), tree(), []
+    before, after = [nothing] * len(found), [nothing] * len(found)      # the neighbours that are no furniture
+    for order, near in ((range(len(found)), before), (range(len(found) - 1, -1, -1), after)):
+        last = nothing
+        for i in order:
+            near[i] = last
+            if found[i][3] != PAGE_FURNITURE:
+                last = shape[i]
+    for i, b in enumerate(found):
+        if classify(grown, (*shape[i], *before[i], *after[i], b[4], b[3] == ARTICLE, b[3] == PAGE_FURNITURE, has_article)):
+            kept.append(b[0])
+    return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
-    """``pages`` without the column ``html``, plus text and n_chars (its code points)."""
+    """``pages`` without the column ``html``, plus text and n_chars (its code points); columns of these names are replaced."""
+    pages = pages.drop(*[c for c in ("text", "n_chars") if c != column])
     schema = pages.drop(column).withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
