@@ -553,3 +553,75 @@ def test_a_bpe_task_remembers_a_bounded_number_of_bytes(monkeypatch):
         text = f"a w{i} w{i // 2} {'é' * 48} {'y' * 49}"
         assert encoder(text).tobytes() == encoder.merge(text)
         assert encoder.held <= 20_000 and encoder.held == sum(sys.getsizeof(w) + sys.getsizeof(i) + byte_bpe.SLOT for w, i in encoder.items())
+
+
+def article_of(page):
+    """The article's blocks by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.text, self.inside = [], [], False
+
+        def end_block(self):
+            if block := " ".join("".join(self.text).split()):
+                self.blocks.append(block)
+            self.text = []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag == "br":
+                self.text.append(" ")
+            elif tag not in ("a", "b"):
+                self.end_block()
+
+        def handle_endtag(self, tag):
+            if tag not in ("a", "b"):
+                self.end_block()
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.text.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return "\n\n".join(reader.blocks)
+
+
+def test_main_text_of_the_whole_table_against_another_parser(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    found = queries.op10_html_extraction(spark, SF).collect()
+    assert len(found) == len(pages) > 100
+    assert all(r.text == article_of(pages[r.page_id]) and r.n_chars == len(r.text) for r in found)
+    whole = 0
+    for page in pages.values():                              # the same pages laid out without an article element
+        plain = page.replace("<article>", "<div>").replace("</article>", "</div>")
+        whole += html_text.main_text(plain) == article_of(page)
+    assert whole >= 0.95 * len(pages)
+
+
+def test_every_labelled_example_is_learned():
+    assert all(html_text.classify(html_text.tree(), e[:-1]) == e[-1] for e in html_text.examples())
+    assert all(e[-1] == 1 for e in html_text.examples() if e[7]) and all(e[-1] == 0 for e in html_text.examples() if e[8])
+
+
+def test_short_text_of_an_article_stays():
+    long = f"{LONG}. {LONG}."
+    menu = "<ul><li><a href=/>Home</a><li><a href=/a>About us</a><li><a href=/c>Contact</a></ul>"
+    parts = [("h1", "Title here"), ("p", long), ("h2", "Next"), ("p", "Short one."), ("p", long), ("p", "It was."), ("p", "Yes."), ("p", long), ("p", "The end.")]
+    body = "".join(f"<{t}>{x}</{t}>" for t, x in parts)
+    text = "\n\n".join(x for _, x in parts)
+    for page in (body, f"<nav>{menu}</nav>{body}<footer>{menu}&copy; us</footer>", f"<div>{menu}</div><div>{body}</div><div class=related>{menu}</div>",
+                 f"<article>{body}</article>", f"<div>{menu}</div>{body}<h3>Read on</h3>{menu}"):
+        assert html_text.main_text(f"<body>{page}</body>") == text
+    assert html_text.main_text(f"<article><p>{long}</p>{menu}<p>{long}</p>{menu}</article>").split("\n\n") == [long, "Home", "About us", "Contact"] * 2
+    assert html_text.main_text(f"<article><p>{long}</p><div class=related>{menu}</div><nav>{menu}</nav></article><div>{menu}</div>") == long
+    assert html_text.main_text("<nav>" + menu + "</nav><p>Hello.</p><footer>us</footer>") == "Hello."
+
+
+def test_output_columns_replace_given_ones(spark):
+    frame = spark.createDataFrame([(1, "<p>a b</p>", "old", 5, "x")], "page_id long, html string, text string, n_chars int, row string")
+    assert [tuple(r) for r in html_text.extract(frame).collect()] == [(1, "x", "a b", 3)]
