@@ -625,3 +625,44 @@ def test_short_text_of_an_article_stays():
 def test_output_columns_replace_given_ones(spark):
     frame = spark.createDataFrame([(1, "<p>a b</p>", "old", 5, "x")], "page_id long, html string, text string, n_chars int, row string")
     assert [tuple(r) for r in html_text.extract(frame).collect()] == [(1, "x", "a b", 3)]
+
+
+@pytest.mark.parametrize("sf, queries_of", [("sf0.01", 50), ("sf0.1", 50)])
+def test_the_scan_abandons_on_the_given_tables_and_recalls(spark, sf, queries_of):
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = sorted((r.vec_id, r.embedding) for r in table.collect())
+    ids, points = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=float)
+    units = points / np.linalg.norm(points, axis=1, keepdims=True)
+    index = vector_search.fit(points, len(points))
+    own = np.argmax(units @ index.centres.T, axis=1)
+    turned, tally = units @ index.rotation, Counter()
+    seeds = index.seeds / np.linalg.norm(index.seeds, axis=1, keepdims=True)
+    bounds = [vector_search.nearest_seeds(u, seeds, vector_search.K + 1)[1] for u in units]
+    for q in range(0, len(points), 10):
+        cosines = np.sort(np.delete(units @ units[q], q))[::-1]
+        assert bounds[q] >= 2 - 2 * cosines[vector_search.K - 1] - 1e-9                    # the true k-th neighbour lies within
+        for probed in np.argsort(-(units[q] @ index.centres.T), kind="stable")[:index.probes]:
+            vector_search.scan(turned[q], turned[own == probed], vector_search.K + 1, bounds[q], tally)
+    assert tally["abandoned"] > 0.5 * tally["members"] and tally["blocks"] < 0.75 * 4 * tally["members"]
+    found = {}
+    for r in vector_search.search(table, F.col("vec_id") % 10 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 10 == 0):
+        near = [i for i in np.lexsort((ids, -(units @ units[q]))) if i != q][:5]
+        hits, total = hits + len(found[ids[q]] & set(ids[near].tolist())), total + 5
+    assert total >= 5 * 40 and hits >= 0.93 * total
+
+
+def test_a_vector_of_a_third_of_the_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)] if i % 3 else [1.0] * 16) for i in range(600)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"name": F.lit(1), "score": F.lit("s"), "list": F.lit(2)})
+    want = {i: set(sorted(j for j in range(0, 600, 3) if j != i)[:5]) for i in range(0, 600, 3) if i % 2 == 0}
+    for asks, shard in ((16_384, 4096), (7, 5)):             # also with queries and members split
+        monkeypatch.setattr(vector_search, "ASKS", asks)
+        monkeypatch.setattr(vector_search, "SHARD", shard)
+        found = vector_search.search(frame, F.col("vec_id") % 2 == 0).collect()
+        assert len(found) == 300 * 5
+        near = {i: {r.vec_id for r in found if r.query_id == i} for i in want}
+        assert near == want and all(abs(r.score - 1) < 1e-12 for r in found if r.query_id in want)
