@@ -1,7 +1,10 @@
 """Merkle fixity audit of WARC replicas.
 
 Records are laid out as WARC response records in files of ``PER_FILE`` ids,
-ordered by id.  A leaf hashes the records of one id with their lengths;
+ordered by id.  Each replica has two trees: one of its records by id, and one
+of its layout by file.
+
+In the tree by id a leaf hashes the records of one id with their lengths;
 2^FANOUT_BITS neighbouring ids, which is one ordered offset range, form a
 node, as many neighbouring nodes the next one, and so on up to one root for
 each replica.  Two replicas are
@@ -15,6 +18,16 @@ as a multiset in one leaf.  Inside a leaf that differs the records are matched
 by length and hash, with counts; what is left on both sides is paired, records
 at the same file and offset first, as one corrupt record each.
 
+In the layout tree a leaf hashes the (offset, length, sha256) of a file's
+records.  Only in files that differ there the sound records' places are
+compared: a record is ``moved`` if it is in another file, or at an offset
+that records missing, added, corrupt or gone to another file before it do
+not explain: then other bytes of the file's sound records come before it
+than in the first replica.
+
+Running offsets are summed over ranges of all records in their order, so
+neither a large file nor an id that many records share is one task's work.
+
 Defined results: null url and html count as empty; all records with a null
 id are one leaf, in a branch of its own, and are spread over files by their
 hash; a record without a partner in the other replica is ``missing`` there;
@@ -25,7 +38,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import running, store
+from .common import join_groups, running, store
 
 PER_FILE = 1000
 FANOUT_BITS = 4                     # 16 children to a node
@@ -48,9 +61,16 @@ def manifest(pages: DataFrame, id_column: str = "page_id") -> DataFrame:
     key = F.col(id_column).cast("long")
     rows = pages.select(key.alias("id"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("sha256"))
     loose = -1 - F.pmod(F.xxhash64("sha256"), F.lit(LOOSE_FILES))
-    rows = rows.withColumn("file", F.coalesce(F.expr(f"id div {PER_FILE}"), loose).cast("long"))
-    before = Window.partitionBy("file").orderBy("id", "sha256").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    rows = store(rows.withColumn("file", F.coalesce(F.expr(f"id div {PER_FILE}"), loose).cast("long")), "records")
+    return _upto(rows, "offset", [F.col("id"), F.col("sha256")])
+
+
+def _upto(records: DataFrame, name: str, order: list[Column]) -> DataFrame:
+    """``records`` with ``name``, the bytes of the records before each in its file, in the given order."""
+    summed = store(running(records, [F.col("file"), *order], {"upto": F.col("length")}), "summed")
+    starts = summed.groupBy("file").agg(F.min(F.col("upto") - F.col("length")).alias("start"), F.count("*").alias("held"))
+    return (join_groups(summed, starts, "file", "held", summed.count())
+            .withColumn(name, F.col("upto") - F.col("length") - F.col("start")).select(*records.columns, name))
 
 
 def _sum_hash(hashes: Column) -> Column:
@@ -112,8 +132,8 @@ def _first_where(rows: DataFrame, others: DataFrame, keys: list[str]) -> tuple[D
     return rows.join(others.select(*keys).distinct().withColumn("met", F.lit(True)), keys, "left"), F.col("met").isNull()
 
 
-def _judged(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Every record of damaged leaves with its status; the records of ``second`` only where the first replica has no partner."""
+def _judged(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every record of damaged leaves with its status, those of ``second`` only where the first replica has no partner; and the sound ones of ``second``."""
     keys = [*LEAF, "record"]
     both = first.select(*keys, F.lit(1).alias("c1"), F.lit(0).alias("c2")).unionByName(second.select(*keys, F.lit(0).alias("c1"), F.lit(1).alias("c2")))
     groups = store(both.groupBy(*keys).agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2")), "groups")
@@ -137,17 +157,47 @@ def _judged(first: DataFrame, second: DataFrame) -> DataFrame:
     result = found[0].select(*columns)
     for rows in found[1:]:
         result = result.unionByName(rows.select(*columns))
-    return result
+    return result, second.where("c2 <= c1").select(*columns[:-1]).unionByName(left[1].where("matched").select(*columns[:-1]))
+
+
+def _layout(records: DataFrame) -> DataFrame:
+    """The records as leaves by file, for the tree of the layout."""
+    return records.select(F.col("file").alias("id"), F.concat_ws("/", "offset", "length").alias("length"), "sha256")
+
+
+def _displaced(sound: DataFrame, partners: DataFrame, files: DataFrame) -> DataFrame:
+    """The (no_id, node, record, file, offset) of ``sound`` records that ``partners`` have elsewhere; only ``files`` are looked at."""
+    same = [*LEAF, "record", "file"]
+    first, second = (store(placed(x.join(files, "file", "left_semi")), "sound") for x in (sound, partners))
+    places = [*same, "offset"]
+    stays = [_upto(x.join(y.select(*same).distinct(), same, "left_semi"), "ahead", [F.col("offset")]) for x, y in ((first, second), (second, first))]
+    within = stays[0].join(stays[1].select(*same, "ahead"), [*same, "ahead"], "left_anti")
+    return first.join(second.select(*same).distinct(), same, "left_anti").select(*places).unionByName(within.select(*places))
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Every record of either replica with ``status``: intact, corrupt, missing_first or missing_second."""
+    """Every record of either replica with ``status``: intact, moved, corrupt, missing_first or missing_second."""
     first, second = store(first, "replica"), store(second, "replica")
-    smallest, largest = first.select("id").unionByName(second.select("id")).agg(F.min("id"), F.max("id")).head()
-    height = levels_for(largest, smallest)
-    bad = damaged(tree(first, height), tree(second, height)).select(*LEAF)
-    sound = placed(first).join(bad, [*LEAF], "left_anti").select("id", "file", "offset", "length", "sha256", F.lit("intact").alias("status"))
-    return sound.unionByName(_judged(*(placed(x).join(bad, [*LEAF], "left_semi") for x in (first, second))))
+
+    def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+        smallest, largest = a.select("id").unionByName(b.select("id")).agg(F.min("id"), F.max("id")).head()
+        height = levels_for(largest, smallest)
+        return damaged(tree(a, height), tree(b, height)).select(*LEAF)
+
+    bad = differing(first, second)
+    columns = ["id", "file", "offset", "length", "sha256"]
+    judged, partners = _judged(*(placed(x).join(bad, [*LEAF], "left_semi") for x in (first, second)))
+    whole, other = (placed(x).join(bad, [*LEAF], "left_anti").select(*columns) for x in (first, second))
+    result = whole.withColumn("status", F.lit("intact")).unionByName(judged)
+    files = differing(_layout(first), _layout(second)).select(F.col("node").alias("file"))
+    if files.isEmpty():
+        return result
+    result = store(result, "judged")
+    moved = _displaced(result.where("status = 'intact'").select(*columns), other.unionByName(partners), files)
+    keys = [*LEAF, "record", "file", "offset"]
+    marked = placed(result).join(moved.withColumn("gone", F.lit(True)), keys, "left")
+    told = F.when(F.col("gone") & (F.col("status") == "intact"), "moved").otherwise(F.col("status"))
+    return marked.select(*columns, told.alias("status"))
 
 
 def aged(pages: DataFrame) -> DataFrame:
