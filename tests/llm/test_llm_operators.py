@@ -666,3 +666,39 @@ def test_a_vector_of_a_third_of_the_rows(spark, monkeypatch):
         assert len(found) == 300 * 5
         near = {i: {r.vec_id for r in found if r.query_id == i} for i in want}
         assert near == want and all(abs(r.score - 1) < 1e-12 for r in found if r.query_id in want)
+
+
+def test_warc_audit_tells_moved_records(spark):
+    schema = "page_id long, url string, html string"
+    rows = [(i, f"u{i}", "x" * (i % 7)) for i in range(2500)] + [(None, "n", "y"), (7, "u7", "again")]
+    a = warc_fixity.manifest(spark.createDataFrame(rows, schema)).cache()
+
+    def told(b):
+        found = warc_fixity.audit(a, b).collect()
+        assert len(found) >= len(rows)
+        return {r.id: r.status for r in found if r.status != "intact"}
+
+    some = (F.col("id") >= 100) & (F.col("id") < 120)
+    away = a.withColumns({"file": F.when(some, 77).otherwise(F.col("file")), "offset": F.when(some, F.col("offset") + 5000).otherwise(F.col("offset"))})
+    swapped = {500: a.where("id = 501").first(), 501: a.where("id = 500").first()}
+    last = swapped[501]["offset"] + a.where("id = 501").first()["length"]
+    both = away.withColumn("offset", F.when(F.col("id") == 500, last).otherwise(F.when(F.col("id") == 501, swapped[501]["offset"]).otherwise(F.col("offset"))))
+    assert told(both) == {i: "moved" for i in [*range(100, 120), 500, 501]}
+    gone = warc_fixity.manifest(spark.createDataFrame([r if r[0] != 30 else (30, "u30", "longer than before") for r in rows if r[0] != 10], schema))
+    assert told(gone) == {10: "missing_second", 30: "corrupt"}               # later records lie elsewhere, but for that reason only
+    backwards = a.withColumn("offset", F.when(F.col("file") == 1, 1_000_000 - F.col("offset")).otherwise(F.col("offset")))
+    assert set(told(backwards)) <= set(range(1000, 2000)) and len(told(backwards)) >= 998 and set(told(backwards).values()) == {"moved"}
+    a.unpersist()
+
+
+def test_warc_offsets_of_an_id_that_many_share(spark):
+    schema = "page_id long, url string, html string, file int, start int, upto int, held int"
+    rows = [(5 if i % 3 == 0 else i if i % 7 else None, f"u{i}", "é" * (i % 50), 1, 2, 3, 4) for i in range(3000)]
+    found = warc_fixity.manifest(spark.createDataFrame(rows, schema)).collect()
+    assert len(found) == 3000 and found[0].asDict().keys() == {"id", "length", "sha256", "file", "offset"}
+    files = {}
+    for r in sorted(found, key=lambda r: (r.file, r.offset)):
+        assert r.offset == files.get(r.file, 0)
+        files[r.file] = r.offset + r.length
+    in_order = [(r.id, r.sha256) for r in sorted(found, key=lambda r: r.offset) if r.file == 0]
+    assert in_order == sorted(in_order)
