@@ -1,11 +1,13 @@
 """URL filters: rules first, gradient-boosted trees on lexical features for the rest.
 
 Everything is DataFrame expressions and Spark ML.  The labelled URLs are
-those that a rule judges; the trees learn from at most ``SAMPLE`` of them a
-label, the ones with the smallest hash.  Features: lengths, path depth,
+those that a rule judges; the trees learn from at most ``SAMPLE`` different
+ones a label, those with the smallest hash.  Features: lengths, path depth,
 digit ratio, character entropy, parameter counts, and statistics of the host's
-suffix (its last two labels): how often it occurs and which share of its
-judged URLs is blocked, counted over all URLs.
+suffix (its last two labels): how many different URLs have it and which share
+of the judged ones is blocked.  All of these count a URL once, however many
+rows have it.  A URL that the trees learn from is described by the shares of
+the other ``FOLDS`` - 1 folds, so that its own label is not among its features.
 
 Defined results: a null url, or one without ``://``, has empty host and path
 and fits no rule; a rule fits literally, so a host with a port fits none; with
@@ -25,6 +27,7 @@ from .common import join_groups, packed, store
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 SAMPLE = 5000                       # bound of the training sample, URLs of a label
 TREES, DEPTH = 10, 4
+FOLDS = 5
 PRIOR = 20.0                        # judged URLs that a suffix's share of blocked ones starts from
 FEATURES = ["url_length", "host_length", "path_length", "host_labels", "depth", "digit_ratio", "other_ratio", "entropy",
             "parameters", "query_length", "has_fragment", "is_https", "suffix_count", "suffix_blocked"]
@@ -86,32 +89,81 @@ def _lexical(rows: DataFrame) -> DataFrame:
         "is_https": F.startswith(url, F.lit("https://")).cast("double")})
 
 
-def judge(pages: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE) -> DataFrame:
-    """``page``, host, path, rule, verdict and blocked_chance; ``page`` holds all columns of the given row."""
-    given = pages.select(packed(pages).alias("page"), F.col("url").cast("string").alias("url"))
+def _described(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """Rows with a url, plus host, path, rule, the rule's verdict (``ruled``), the fold and the lexical features."""
     host, path = host_and_path(F.col("url"))
-    split = given.withColumns({"host": host, "path": path})
     verdict_of = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
-    ruled = _lexical(split.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)))
-    ruled = store(ruled.withColumn("ruled", F.try_element_at(verdict_of, F.col("rule"))), "urls")
+    rows = rows.withColumns({"host": host, "path": path, "fold": F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)).cast("int")})
+    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    return _lexical(rows).withColumn("ruled", F.try_element_at(verdict_of, F.col("rule")))
+
+
+def _counted(known: DataFrame, *by: str) -> DataFrame:
+    """Different URLs, judged ones and blocked ones of each group."""
+    blocked = F.count_if(F.col("ruled") == "block")
+    return known.groupBy(*by).agg(F.count("*").alias("n"), F.count("ruled").alias("judged"), blocked.alias("blocked"))
+
+
+def _suffix_features(n: Column, judged: Column, blocked: Column, share: float) -> dict[str, Column]:
+    return {"suffix_count": F.log1p(n), "suffix_blocked": (blocked + PRIOR * share) / (judged + PRIOR)}
+
+
+def _fit(known: DataFrame, suffixes: DataFrame, share: float, sample: int, rules: dict[str, str]):
+    """The trees, from the different judged URLs ``known`` (url, suffix, fold, ruled)."""
+    judged = known.where("ruled is not null").select("url", "ruled")
+    chosen = [judged.where(F.col("ruled") == v).orderBy(F.xxhash64("url"), "url").limit(sample) for v in ("allow", "block")]     # 2 * sample rows at most
+    examples = _described(store(chosen[0].unionByName(chosen[1]).select("url"), "examples"), rules)
+    names = ("n", "judged", "blocked")
+    own = _counted(known, "suffix", "fold").select("suffix", "fold", *[F.col(c).alias(f"own_{c}") for c in names])
+    examples = examples.join(suffixes.select("suffix", *names), "suffix").join(own, ["suffix", "fold"])
+    examples = examples.withColumns(_suffix_features(*[F.col(c) - F.col(f"own_{c}") for c in names], share))
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(examples)
+    vectors = vectors.select("features", (F.col("ruled") == "block").cast("double").alias("label"))
+    return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1).fit(vectors)
+
 
-    label = (F.col("ruled") == "block").cast("double")
-    suffixes = ruled.groupBy("suffix").agg(F.count("*").alias("n"), F.count("ruled").alias("judged"), F.sum(label).alias("blocked"))
-    totals = {r["ruled"]: r["count"] for r in ruled.where("ruled is not null").groupBy("ruled").count().collect()}    # two rows at most
+def _learned(rows: DataFrame, suffixes: DataFrame, model, share: float, total: int) -> DataFrame:
+    """``rows`` with ``learned``, block or allow, and ``blocked_chance``; ``held`` of a suffix is its number of rows."""
+    wide = join_groups(rows, suffixes, "suffix", "held", total).withColumns(_suffix_features(F.col("n"), F.col("judged"), F.col("blocked"), share))
+    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(wide))
+    return scored.withColumns({"learned": F.when(F.col("prediction") == 1.0, "block").otherwise("allow"), "blocked_chance": vector_to_array("probability")[1]})
+
+
+def _known(described: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The different URLs, and the numbers of blocked and allowed ones."""
+    known = store(described.select("url", "suffix", "fold", "ruled").distinct(), "known")
+    return known, {r["ruled"]: r["count"] for r in known.where("ruled is not null").groupBy("ruled").count().collect()}       # two rows at most
+
+
+def judge(pages: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE) -> DataFrame:
+    """``page``, host, path, rule, verdict and blocked_chance; ``page`` holds all columns of the given row."""
+    given = pages.select(packed(pages).alias("page"), F.col("url").cast("string").alias("url"))
+    described = store(_described(given, rules), "urls")
+    known, totals = _known(described)
     if len(totals) < 2:
         verdict = next(iter(totals), "allow")
-        return ruled.select("page", "host", "path", "rule", F.coalesce("ruled", F.lit(verdict)).alias("verdict"),
-                            F.lit(float(verdict == "block")).alias("blocked_chance"))
+        return described.select("page", "host", "path", "rule", F.coalesce("ruled", F.lit(verdict)).alias("verdict"),
+                                F.lit(float(verdict == "block")).alias("blocked_chance"))
     share = totals["block"] / sum(totals.values())
-    suffixes = store(suffixes.select("suffix", "n", F.log1p("n").alias("suffix_count"),
-                                     ((F.coalesce("blocked", F.lit(0.0)) + PRIOR * share) / (F.col("judged") + PRIOR)).alias("suffix_blocked")), "suffixes")
-    wide = join_groups(ruled, suffixes, "suffix", "n", ruled.count())
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(wide)
-    examples = vectors.where("ruled is not null").select("url", "features", label.alias("label"))
-    chosen = [examples.where(F.col("label") == value).orderBy(F.xxhash64("url")).limit(sample) for value in (0.0, 1.0)]
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1).fit(chosen[0].unionByName(chosen[1]).select("features", "label"))
-    scored = model.transform(vectors)
-    learned = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
-    return scored.select("page", "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"),
-                         vector_to_array("probability")[1].alias("blocked_chance"))
-
+    held = described.groupBy("suffix").agg(F.count("*").alias("held"))
+    suffixes = store(_counted(known, "suffix").join(held, "suffix"), "suffixes")
+    model = _fit(known, suffixes, share, sample, rules)
+    judged = _learned(described, suffixes, model, share, described.count())
+    return judged.select("page", "host", "path", "rule", F.coalesce("ruled", "learned").alias("verdict"), "blocked_chance")
+
+
+def held_out(pages: DataFrame, rules: dict[str, str] = RULES, sample: int = SAMPLE) -> DataFrame:
+    """One row: how trees that never saw one fold of the judged URLs judge it (urls, right, blocked; right_by_share by the larger label alone)."""
+    described = store(_described(pages.select(F.col("url").cast("string").alias("url")).distinct(), rules), "urls")
+    seen, unseen = described.where("fold <> 0"), described.where("fold = 0 AND ruled is not null")
+    known, totals = _known(seen)
+    share = totals["block"] / sum(totals.values())
+    suffixes = store(_counted(known, "suffix").withColumn("held", F.col("n")), "suffixes")
+    model = _fit(known, suffixes, share, sample, rules)
+    met = unseen.join(suffixes.select("suffix"), "suffix", "left_semi")
+    new = unseen.join(suffixes.select("suffix"), "suffix", "left_anti")
+    none = new.select("suffix").distinct().withColumns({c: F.lit(0).cast("long") for c in ("n", "judged", "blocked", "held")})
+    rows = _learned(met, suffixes, model, share, described.count()).unionByName(_learned(new, none, model, share, described.count()))
+    blocked = F.count_if(F.col("ruled") == "block")
+    return rows.agg(F.count("*").alias("urls"), F.count_if(F.col("ruled") == F.col("learned")).alias("right"), blocked.alias("blocked"),
+                    F.greatest(blocked, F.count("*") - blocked).alias("right_by_share"))
