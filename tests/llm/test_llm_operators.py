@@ -702,3 +702,25 @@ def test_warc_offsets_of_an_id_that_many_share(spark):
         files[r.file] = r.offset + r.length
     in_order = [(r.id, r.sha256) for r in sorted(found, key=lambda r: r.offset) if r.file == 0]
     assert in_order == sorted(in_order)
+
+
+def test_a_hot_url_takes_no_place_in_the_sample(spark, monkeypatch):
+    urls = [f"http://a{i}.net/{i % 9}/x?q={i}" for i in range(300)] + [f"https://b{i}.org/fr/{i}" for i in range(300)] + [f"http://c{i}.org/{i}" for i in range(200)]
+    hot = min((u for u in urls if ".net" in u), key=lambda u: u[::-1])
+    frame = spark.createDataFrame(list(enumerate(urls + [hot] * 900)), "page_id long, url string")
+    taken = []
+    fit = url_filter.GBTClassifier.fit
+    monkeypatch.setattr(url_filter.GBTClassifier, "fit", lambda self, df: (taken.append([tuple(r.features.toArray()) + (r.label,) for r in df.collect()]), fit(self, df))[1])
+    found = url_filter.judge(frame, sample=100).collect()
+    assert len(found) == 1700 and len(taken[0]) == 200
+    assert len({r for r in taken[0] if r[-1] == 1}) > 3               # not one blocked URL a hundred times
+    assert sum(r[-1] for r in taken[0]) == 100
+    assert len({r.verdict for r in found if r.page.url == hot}) == 1
+    again = {r.page.page_id: r.verdict for r in url_filter.judge(frame.where("page_id < 800"), sample=100).collect()}
+    assert again == {r.page.page_id: r.verdict for r in found if r.page.page_id < 800}          # copies change no verdict
+
+
+def test_url_trees_on_unseen_urls(spark):
+    figures = url_filter.held_out(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).first()
+    print(figures)
+    assert figures.urls > 100 and figures.right >= figures.right_by_share
