@@ -21,7 +21,7 @@ every answer, and one query whose answer all its vec_ids share, so a very
 common vector costs nothing more.
 
 The number of lists is the square root of the number of vectors, up to an
-eighth of the sample; beyond ``(SAMPLE / 8) ** 2`` vectors (25 million) the
+eighth of the sample; beyond ``(SAMPLE / 8) ** 2`` vectors (9 million) the
 lists get longer instead.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
@@ -43,14 +43,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import join_groups, store
 
 K = 5
-SAMPLE = 40_000                     # bound of the vectors that lists, rotation and probes are fitted on
+SAMPLE = 24_000                     # bound of the vectors that lists, rotation and probes are fitted on
 SEEDS = 4096                        # vectors of the sample that give a query its first bound
 ROUNDS = 8                          # of k-means
 TARGET = 0.985                      # share of the sample's true neighbours that the probed lists must hold
 SHARD = 4096
 ASKS = 16_384                       # queries of a part
 BLOCK = 16                          # dimensions in a column block
-CHUNK = 64                          # members of a list read before the bound is first taken anew
+CHUNK = 256                         # members of a list read before the bound is first taken anew
 EPSILON = 1.2                       # of the hypothesis test
 
 
