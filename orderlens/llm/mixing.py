@@ -11,8 +11,11 @@ source's size, and the excess goes to the others by weight until no target
 is above.  With the sources ordered by limit over weight the limited ones
 come first, so running sums give the shares without a loop.
 
-Running sums take two steps: sums of shuffle buckets (or of ranges), then
-rows within a bucket, so no source, however large, is one task's work.
+Running sums take two steps: sums of ranges of the order, then rows within a
+range, so no source and no doc_id, however many rows it has, is one task's
+work.  All of this is done on narrow rows; the documents meet the copies that
+are taken of them once, by a hash of all their columns, and rows equal in all
+columns count as one document there.
 
 Defined results: a null text has size 0; documents of size 0 are never
 taken; null sources are one source, the last; a null doc_id is shuffled by
@@ -24,12 +27,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-from .common import packed, running, store, text_of
+from .common import join_groups, packed, running, store, text_of
 
 WEIGHTS = (5, 2, 1)
 PASSES = 3
 SEED = "mix-1"
-BUCKET_BITS = 12                    # 4096 shuffle buckets a source
 SLICES = 4096                       # of finish time 1
 
 
@@ -41,13 +43,20 @@ def words_in(text: Column) -> Column:
 
 
 def _rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """Size and place of every document, written once; ``row`` tells rows apart that are equal in all else."""
     text = text_of()
     name = F.coalesce(F.col("doc_id").cast("string"), F.sha2(text.cast("binary"), 256))
     digest = F.md5(F.concat(name, F.lit(f"/{SEED}")).cast("binary"))
     place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source_key"), words_in(text).alias("size"),
-                       place.alias("place"), F.shiftright(place, 60 - BUCKET_BITS).cast("int").alias("bucket"), *more)
+    return store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source_key"), words_in(text).alias("size"),
+                             place.alias("place"), F.monotonically_increasing_id().alias("row"), *more), "sizes")
+
+
+def _keys(docs: DataFrame) -> list[Column]:
+    """128 bits of a hash over all columns, nulls in their places."""
+    cells = [c for name in docs.columns for c in (F.col(f"`{name}`"), F.col(f"`{name}`").isNull())]
+    return [F.xxhash64(F.lit(i), *cells).alias(f"key{i}") for i in (1, 2)]
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, passes: int = PASSES) -> DataFrame:
@@ -72,18 +81,15 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return judged.select("source_key", "source_size", target.alias("target"), F.lit(budget).cast("long").alias("budget"))
 
 
-def _queue(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """``rows`` with source_size, target and ``upto``, the words of the source up to and including the row."""
-    ahead = Window.partitionBy("source_key", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    return (rows.join(buckets, ["source_key", "bucket"])
-            .withColumn("upto", F.col("offset") + F.sum("size").over(ahead)))
-
-
-def _buckets(rows: DataFrame, weights, share, passes) -> DataFrame:
-    sums = store(rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("words")), "buckets")
-    goal = targets(sums.groupBy("source_key").agg(F.sum("words").alias("source_size")), weights, share, passes)
-    before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)     # 4096 rows at most
-    return store(sums.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words").join(goal, "source_key"), "offsets")
+def _queue(rows: DataFrame, weights, share, passes) -> DataFrame:
+    """``rows`` with source_size, target, budget and ``upto``, the words of the source up to and including the row."""
+    sums = store(rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("held")), "sources")
+    starts = running(sums, [F.col("source_key")], {"words_to": F.col("source_size")}).select(
+        "source_key", "held", (F.col("words_to") - F.col("source_size")).alias("start"))
+    goal = store(targets(sums.drop("held"), weights, share, passes).join(starts, "source_key"), "goal")
+    summed = running(rows, [F.col(c) for c in ("source_key", "place", "doc_id", "size", "row")], {"words_to": F.col("size")})
+    queue = join_groups(summed, goal, "source_key", "held", rows.count())
+    return store(queue.withColumn("upto", F.col("words_to") - F.col("start")).drop("words_to", "start", "held"), "queue")
 
 
 def _order(turn: Column | str) -> list[Column]:
@@ -120,21 +126,19 @@ def _taken(cut: Row | None, passes: int) -> Column:
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, passes: int = PASSES) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every document."""
-    rows = store(_rows(docs), "sizes")
-    queue = store(_queue(rows, _buckets(rows, weights, share, passes)), "queue")
+    queue = _queue(_rows(docs), weights, share, passes)
     copies = _taken(_cut(queue, passes), passes)
     return queue.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, passes: int = PASSES) -> DataFrame:
     """The mix itself: a row for each copy taken, with all columns of ``docs``, in the order of finish time."""
-    narrow = store(_rows(docs), "sizes")
-    buckets = _buckets(narrow, weights, share, passes)
-    cut = _cut(store(_queue(narrow, buckets), "queue"), passes)
-    queue = _queue(_rows(docs, packed(docs).alias("document")), buckets).withColumn("copies", _taken(cut, passes))
-    copies = queue.where("copies > 0").withColumn("turn", F.explode(F.expr("sequence(0, copies - 1)")))
-    order = _order(F.col("turn"))
-    return copies.select("document", *order).orderBy("finish", "source_key", "place", "doc_id", "turn").select("document.*")
+    keys = ["key1", "key2"]
+    queue = _queue(_rows(docs, *_keys(docs)), weights, share, passes)
+    taken = queue.withColumn("copies", _taken(_cut(queue, passes), passes)).where("copies > 0")
+    copies = taken.withColumn("turn", F.explode(F.expr("sequence(0, copies - 1)"))).select(*keys, *_order(F.col("turn")))
+    documents = docs.select(packed(docs).alias("document"), *_keys(docs)).groupBy(*keys).agg(F.first("document").alias("document"))
+    return copies.join(documents, keys).orderBy("finish", "source_key", "place", "doc_id", "turn").select("document.*")
 
 
 ORACLE = r"""
