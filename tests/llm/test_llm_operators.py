@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from oracle import compare, duck
-from orderlens.llm import (byte_bpe, exact_dedup, html_text, language_id, mixing, queries, secrets, simhash,
+from orderlens.llm import (byte_bpe, common, exact_dedup, html_text, language_id, mixing, queries, secrets, simhash,
                            url_filter, vector_search, warc_fixity)
 
 SF = "/root/testdata/sf0.01"
@@ -724,3 +724,22 @@ def test_url_trees_on_unseen_urls(spark):
     figures = url_filter.held_out(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).first()
     print(figures)
     assert figures.urls > 100 and figures.right >= figures.right_by_share
+
+
+def test_mixing_with_a_doc_id_of_a_third_of_the_rows(spark, monkeypatch):
+    rows = [(5 if i % 3 == 0 else i if i % 11 else None, " ".join(["w"] * (i % 40)) + f" t{i % 700}", "en", f"s{i % 4}") for i in range(4000)]
+    docs = docs_of(spark, rows + rows[:50]).repartition(6)
+    ranges = []
+    monkeypatch.setattr(common, "store", lambda df, name, own=common.store: ranges.append(own(df, name)) or ranges[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        plan = mixing.plan(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    queue = next(df for df in ranges if "place" in df.columns and "row" in df.columns)
+    assert queue.where("doc_id = 5").select("source_key", "range").distinct().count() > 4       # its rows are spread within a source
+    assert len(plan) == 4050 and sum(r.taken for r in plan) <= sum(r.size for r in plan)
+    mixed = mixing.mix(docs)
+    assert mixed.count() == sum(r.taken // r.size for r in plan if r.size)
+    given, found = Counter(r[1] for r in rows + rows[:50]), Counter(r.text for r in mixed.collect())
+    assert set(found) <= set(given) and all(found[t] <= 3 * given[t] for t in found)
