@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -42,3 +44,28 @@ def remove_run(spark: SparkSession) -> bool:
     """Remove all tables of this application, once its results are written; false if there were none."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of ``spark``, once for an application.
+
+    A zip of its source goes to the shared folder and from there to every
+    worker, so it need not be installed on the cluster or be on its path.
+    Where the driver itself has it from a zip, it is taken to be shipped.
+    """
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if context.applicationId in _shipped or not os.path.isdir(package):
+        return
+    target = f"{run_folder(spark)}/package/orderlens.zip"
+    with tempfile.TemporaryDirectory() as local:             # on the driver only, until the zip is copied
+        kept = shutil.copytree(package, f"{local}/source/orderlens", ignore=shutil.ignore_patterns("__pycache__"))
+        archive = shutil.make_archive(f"{local}/orderlens", "zip", os.path.dirname(kept), "orderlens")
+        hadoop = context._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(target)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, hadoop.Path(f"file://{archive}"), path)
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)

@@ -1,10 +1,14 @@
 import gzip
+import os
+import subprocess
+import sys
 import uuid
 
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import ROOT
 from orderlens.sources import (
     SCHEMAS, bucket_load, load_csv, publish, read_bucketed, read_csv, read_ordered, run_sql, scratch, store, write_bucketed, write_ordered,
     write_result)
@@ -153,3 +157,30 @@ def test_scratch_tables_lie_in_one_folder_that_is_removed_at_once(spark, monkeyp
     assert [df.count() for df in kept] == [3, 5]
     assert all(scratch.run_folder(spark).split(":")[-1] in f for df in kept for f in df.inputFiles())
     assert scratch.remove_run(spark) and not scratch.remove_run(spark)
+
+
+def test_workers_get_the_package_from_the_shared_folder(tmp_path):
+    program = tmp_path / "elsewhere.py"
+    program.write_text(f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from orderlens import build_session
+from orderlens.operators.cleaning import string_columns
+from orderlens.sources import remove_run, ship_package
+spark = build_session("local[2]", shuffle_partitions=2, extra={{"spark.checkpoint.dir": "file://{tmp_path}/shared"}})
+ship_package(spark)
+ship_package(spark)
+
+def known(batches):
+    import pyarrow as pa
+    import orderlens.functions
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([orderlens.functions.__file__] * batch.num_rows)], ["path"])
+
+paths = {{r.path for r in spark.range(4).mapInArrow(known, "path string").collect()}}
+assert len(paths) == 1 and "orderlens.zip" in paths.pop()
+assert remove_run(spark)
+""")
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(program)], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
