@@ -154,7 +154,8 @@ def _decoded(ids: pa.Array, table: list[bytes]) -> pa.Array:
 
 
 def encode(rows: DataFrame, path: str, text: str = "text", pattern: str = PATTERN) -> DataFrame:
-    """``rows`` without the column ``text``, plus ids, starts and ends (code points, end exclusive)."""
+    """``rows`` without the column ``text``, plus ids, starts and ends (code points, end exclusive); columns of these names are replaced."""
+    rows = rows.drop(*{"ids", "starts", "ends"} - {text})
     given = rows.sparkSession.sparkContext.broadcast(load(path))
     empty = F.array().cast("array<int>")
     schema = rows.drop(text).withColumns({"ids": empty, "starts": empty, "ends": empty}).schema
@@ -166,7 +167,8 @@ def encode(rows: DataFrame, path: str, text: str = "text", pattern: str = PATTER
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """``rows`` without the column ``ids``, plus ``decoded``, the bytes that the ids stand for."""
+    """``rows`` without the column ``ids``, plus ``decoded``, the bytes that the ids stand for; a column of this name is replaced."""
+    rows = rows.drop(*{"decoded"} - {ids})
     given = rows.sparkSession.sparkContext.broadcast(load(path))
     schema = rows.drop(ids).withColumn("decoded", F.lit(b"").cast("binary")).schema
 

@@ -2,34 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from orderlens.sources.scratch import remove_run, ship_package, store  # noqa: F401
 
 WHITE = " \t\n\x0b\x0c\r"           # the characters of [\x20\x09-\x0D]
 HEAVY_SHARE = 1000                  # a key with at least 1/1000 of the rows is heavy
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; on a local master without that setting, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orderlens-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there: lineage ends, and a lost executor costs a reread."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def packed(df: DataFrame) -> Column:
     """All columns of ``df`` as one struct, so that columns added beside it cannot clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

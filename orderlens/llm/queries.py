@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import (
     byte_bpe, exact_dedup, html_text, jaccard_join, language_id, mixing, period_runs, secrets, simhash, url_filter, vector_search,
     warc_fixity, whitening)
+from .common import ship_package
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -277,7 +277,8 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 
 
 def with_spans(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``rows`` without the column ``text``, plus ``spans``."""
+    """``rows`` without the column ``text``, plus ``spans``; a column of this name is replaced."""
+    rows = rows.drop(*{"spans"} - {text})
     schema = rows.drop(text).withColumn("spans", F.array().cast(SPAN)).schema
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 

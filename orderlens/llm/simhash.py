@@ -61,7 +61,8 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprint(rows: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
-    """``rows`` without the column ``text``, plus ``fp`` (the fingerprint's 64 bits as a long)."""
+    """``rows`` without the column ``text``, plus ``fp`` (the fingerprint's 64 bits as a long); a column of this name is replaced."""
+    rows = rows.drop(*{"fp"} - {text})
     schema = rows.drop(text).withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
