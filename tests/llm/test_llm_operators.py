@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small frames with awkward rows."""
 
 import hashlib
+import importlib.util
 import random
 import re
 import sys
@@ -623,6 +624,13 @@ def test_short_text_of_an_article_stays():
 
 
 def test_output_columns_replace_given_ones(spark):
+    clashing = spark.createDataFrame([(1, "a b c", 1, 2, 3, 4, 5, 6)], "id long, text string, ids int, starts int, ends int, decoded int, fp int, spans int")
+    assert simhash.with_fingerprint(clashing).first().fp == np.array(simhash.fingerprint("a b c"), np.uint64).view(np.int64)
+    assert secrets.with_spans(clashing).first().spans == []
+    if importlib.util.find_spec("public_tokenizers"):
+        path = queries.rank_file()
+        back = byte_bpe.decode(byte_bpe.encode(clashing, path), path).first()
+        assert bytes(back.decoded) == b"a b c" and (back.id, back.fp) == (1, 5)
     frame = spark.createDataFrame([(1, "<p>a b</p>", "old", 5, "x")], "page_id long, html string, text string, n_chars int, row string")
     assert [tuple(r) for r in html_text.extract(frame).collect()] == [(1, "x", "a b", 3)]
 
@@ -743,3 +751,36 @@ def test_mixing_with_a_doc_id_of_a_third_of_the_rows(spark, monkeypatch):
     assert mixed.count() == sum(r.taken // r.size for r in plan if r.size)
     given, found = Counter(r[1] for r in rows + rows[:50]), Counter(r.text for r in mixed.collect())
     assert set(found) <= set(given) and all(found[t] <= 3 * given[t] for t in found)
+
+
+def test_empty_tables_give_no_rows(spark):
+    docs = docs_of(spark, []).limit(0)
+    assert language_id.identify(docs).count() == secrets.report(docs).count() == 0
+    if importlib.util.find_spec("public_tokenizers"):
+        assert byte_bpe.round_trip(docs, queries.rank_file()).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract(pages).count() == warc_fixity.manifest(pages).count() == url_filter.judge(pages).count() == 0
+
+
+def test_language_against_plain_machines(spark):
+    """The distributed prediction is what the model's own weights say, document by document."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learned = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    model = language_id.fit(learned)
+    found = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    chance = lambda i, v: 1 / (1 + np.exp(-language_id.STEEPNESS * (model.weights[i] @ v + model.bias[i])))
+    for r in docs.limit(150).collect():
+        vector = language_id.profile(r.text)
+        family = max(range(len(model.names)), key=lambda i: chance(i, vector))
+        score, at = chance(family, vector), len(model.names)
+        for i, name in enumerate(model.names):
+            langs = model.families[name]
+            pairs = [(a, b) for a in range(len(langs)) for b in range(a + 1, len(langs))]
+            if i == family:
+                told = [(a, b, chance(at + j, vector)) for j, (a, b) in enumerate(pairs)]
+                wins = [sum((p >= 0.5) == (a == x) for a, b, p in told if x in (a, b)) for x in range(len(langs))]
+                sure = [sum(p if a == x else 1 - p for a, b, p in told if x in (a, b)) for x in range(len(langs))]
+                best = max(range(len(langs)), key=lambda x: (wins[x], sure[x], -x))
+                score *= sure[best] / (len(langs) - 1) if pairs else 1
+                assert (found[r.doc_id].lang_pred, round(found[r.doc_id].score, 9)) == (langs[best], round(float(score), 9))
+            at += len(pairs)
