@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orderlens.llm import byte_bpe, exact_dedup, language_id, mixing, simhash
-from orderlens.llm.common import store
+from orderlens.llm.common import ship_package, store
 from orderlens.llm.queries import rank_file
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go."""
+    ship_package(spark)
     return language_id.recognised(docs)
 
 
@@ -21,6 +22,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose fingerprints are linked, the smallest doc_id stays."""
+    ship_package(spark)
     return simhash.dedup(docs)
 
 
@@ -31,6 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes, a row for each copy in the mix."""
+    ship_package(spark)
     return byte_bpe.round_trip(docs, rank_file())
 
 
