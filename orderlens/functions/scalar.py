@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 # English weekday names in calendar order, Monday first.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
-# Money is summed as decimals with ten digits after the point: exact, so a total
-# does not depend on how rows are spread over partitions or in which order they
-# are added.  Amounts from EXACT_BELOW on, and NaN and infinities, are summed as
-# doubles beside it; 1e13 rows of the largest exact amount still fit.
+# Money is summed exactly, to ten digits after the point, so a total does not
+# depend on how rows are spread over partitions or in which order they are
+# added.  Amounts that are whole cents are summed as longs, in two limbs, so
+# that no sum overflows below 2^43 rows; all others as decimals beside them.
+# Amounts from EXACT_BELOW on, and NaN and infinities, are summed as doubles,
+# and only a total with such an amount may depend on the order; 1e13 rows of
+# the largest exact amount still fit.
 EXACT_BELOW = 1e15
+CENTS_BELOW = 1e9
+LIMB_BITS = 20
 
 
 def _col(c: Column | str) -> Column:
@@ -73,6 +78,24 @@ def residue(c: Column | str) -> Column:
     return F.when(F.abs(x) >= EXACT_BELOW, x).cast("double")
 
 
+def sum_exact(c: Column | str) -> Column:
+    """The sum of the ``exact_part`` of a money column, as ``decimal(38,10)``; null if there is none.
+
+    A double below CENTS_BELOW that is the one nearest to some whole cents
+    stands for just these cents, so both forms add up the same numbers.
+    """
+    x = _col(c).cast("double")
+    cents = F.rint(x * 100)
+    whole = (F.abs(x) < CENTS_BELOW) & (cents / 100 == x)
+    n = F.when(whole, cents.cast("long"))
+    high, low = F.sum(F.shiftright(n, LIMB_BITS)), F.sum(n.bitwiseAND(F.lit((1 << LIMB_BITS) - 1)))
+    in_cents = high.cast("decimal(38,0)") * F.lit(1 << LIMB_BITS).cast("decimal(8,0)") + low.cast("decimal(20,0)")
+    in_cents = (in_cents * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(37,10)")
+    others = F.sum(exact_part(F.when(~whole, _col(c)))).cast("decimal(37,10)")
+    both = F.coalesce(in_cents, F.lit(0).cast("decimal(37,10)")) + F.coalesce(others, F.lit(0).cast("decimal(37,10)"))
+    return F.when(in_cents.isNotNull() | others.isNotNull(), both).cast("decimal(38,10)")
+
+
 def money_total(exact: Column | str, rest: Column | str) -> Column:
     """The sum of the exact parts plus the sum of the residues, as double; null if both are."""
     total, odd = _col(exact).cast("double"), _col(rest)
@@ -81,7 +104,7 @@ def money_total(exact: Column | str, rest: Column | str) -> Column:
 
 def exact_sum(c: Column | str) -> Column:
     """Sum of a money column, exact to ten digits after the point, returned as double."""
-    return money_total(F.sum(exact_part(c)), F.sum(residue(c)))
+    return money_total(sum_exact(c), F.sum(residue(c)))
 
 
 def exact_avg(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.functions.scalar import exact_part, float32, growth_pct, money_total, residue, round_half_up
+from orderlens.functions.scalar import float32, growth_pct, money_total, residue, round_half_up, sum_exact
 from orderlens.sources.scratch import store
 
 LEVEL_BUCKETS = 1024               # ranges of a running share: 16 to a doubling of the count, up to 2^64
@@ -130,7 +130,7 @@ def month_sums(df: DataFrame, key: str, ts: str, amount: str) -> DataFrame:
     # Group on the month's first day (a date) and format the key only on the
     # aggregated rows: no string formatting per input row.
     month = F.trunc(F.col(ts).cast("date"), "month")
-    return df.groupBy(F.col(key), month.alias("month")).agg(F.sum(exact_part(amount)).alias("exact"), F.sum(residue(amount)).alias("residue"))
+    return df.groupBy(F.col(key), month.alias("month")).agg(sum_exact(amount).alias("exact"), F.sum(residue(amount)).alias("residue"))
 
 
 def growth_of_sums(sums: DataFrame, key: str, calendar: bool = False, period_name: str = "year_month",

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlens.functions.scalar import exact_part, money_total, residue
+from orderlens.functions.scalar import money_total, residue, sum_exact
 from orderlens.sources.files import write_result
 
 
@@ -22,7 +22,7 @@ def money_partials(df: DataFrame, by: Sequence[str], money: Sequence[str] = (),
     """For each group: rows; for a money column c: c_exact, c_residue and c_count; for an integer column c of ``means``: c_sum and c_count."""
     aggs = [F.count(F.lit(1)).alias("rows")]
     for c in money:
-        aggs += [F.sum(exact_part(c)).alias(f"{c}_exact"), F.sum(residue(c)).alias(f"{c}_residue"), F.count(c).alias(f"{c}_count")]
+        aggs += [sum_exact(c).alias(f"{c}_exact"), F.sum(residue(c)).alias(f"{c}_residue"), F.count(c).alias(f"{c}_count")]
     for c in means:
         aggs += [F.sum(F.col(c).cast("long")).alias(f"{c}_sum"), F.count(c).alias(f"{c}_count")]
     return df.groupBy(*by).agg(*aggs)

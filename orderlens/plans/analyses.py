@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import classify
 from orderlens.functions.scalar import (
-    WEEKDAYS, exact_part, exact_sum, hour_of, money_total, residue, round_half_up, year_of,
+    WEEKDAYS, exact_sum, hour_of, money_total, residue, round_half_up, sum_exact, year_of,
 )
 from orderlens.operators import aggregate, cleaning, partials, relational, sketches
 from orderlens.sources.catalog import run_sql
@@ -150,7 +150,7 @@ def state_trade_balance(route: DataFrame, dedupe_keys: Sequence[str] | None = No
     """
     rows = cleaning.dedupe_rows(route, dedupe_keys)
     pairs = rows.groupBy(seller_state, buyer_state).agg(
-        F.sum(exact_part(price)).alias("_v"), F.sum(residue(price)).alias("_o"))
+        sum_exact(price).alias("_v"), F.sum(residue(price)).alias("_o"))
     return _balance_of_pairs(pairs, classifier, seller_state, buyer_state)
 
 
@@ -172,7 +172,7 @@ def trade_balance_of_tables(items: DataFrame, sellers: DataFrame, orders: DataFr
     located = cleaning.dedupe_rows(orders.select(order_id, customer_id)).join(
         cleaning.dedupe_rows(customers.select(customer_id, buyer_state)), customer_id)
     per_seller = bought.join(located, order_id).groupBy(seller_id, buyer_state).agg(
-        F.sum(exact_part(price)).alias("_v"), F.sum(residue(price)).alias("_o"))
+        sum_exact(price).alias("_v"), F.sum(residue(price)).alias("_o"))
     pairs = (per_seller.join(cleaning.dedupe_rows(sellers.select(seller_id, seller_state)), seller_id)
              .groupBy(seller_state, buyer_state).agg(F.sum("_v").alias("_v"), F.sum("_o").alias("_o")))
     return _balance_of_pairs(pairs, classifier, seller_state, buyer_state)
@@ -292,7 +292,7 @@ def customer_behaviour(orders: DataFrame, payments: DataFrame, grain: str = "pay
     if grain not in ("payment", "order"):
         raise ValueError("grain must be 'payment' or 'order'")
     per_order = payments.groupBy(order_id).agg(
-        F.sum(exact_part(value)).alias("_paid"), F.sum(residue(value)).alias("_odd"),
+        sum_exact(value).alias("_paid"), F.sum(residue(value)).alias("_odd"),
         F.count(value).alias("_values"), F.count("*").alias("_rows"))
     valued = F.col("_paid").isNotNull() | F.col("_odd").isNotNull()
     number = F.sum("_values") if grain == "payment" else F.count_if(valued)
@@ -329,7 +329,7 @@ def value_by_product_size(items: DataFrame, products: DataFrame, classifier=clas
     shuffle feeding it are product-sized, not item-sized.
     """
     per_product = items.groupBy(product_id).agg(
-        F.sum(exact_part(price)).alias("_sum"), F.sum(residue(price)).alias("_odd"), F.count(price).alias("_n"))
+        sum_exact(price).alias("_sum"), F.sum(residue(price)).alias("_odd"), F.count(price).alias("_n"))
     classes = size_classified(products, classifier, product_id=product_id, **dimension_columns)
     joined = per_product.join(classes.select(product_id, "product_size_category"), product_id)
     return (joined.groupBy("product_size_category")

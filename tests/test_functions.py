@@ -1,3 +1,4 @@
+import random
 import datetime as dt
 import math
 
@@ -102,3 +103,21 @@ def test_money_sums_keep_nan_and_infinity_semantics(spark):
     assert got["d"] is None and got["e"] == 0.3
     avg = {r.k: r.m for r in df.groupBy("k").agg(exact_avg("x").alias("m")).collect()}
     assert math.isnan(avg["a"]) and avg["e"] == 0.15
+
+
+def test_exact_sums_of_cents_and_of_all_else(spark):
+    from decimal import Decimal
+    from orderlens.functions.scalar import CENTS_BELOW, exact_part, exact_sum, sum_exact
+    rng = random.Random(3)
+    amounts = [0.0, -0.0, 0.01, -0.01, 0.1, 0.125, 1 / 3, 1e-10, 99999999.99, -99999999.99, CENTS_BELOW, CENTS_BELOW - 0.01, 12345678901.23, 1e14 + 0.5, None]
+    amounts += [rng.randrange(-10 ** 9, 10 ** 9) / 100 for _ in range(400)] + [rng.uniform(-1e6, 1e6) for _ in range(200)]
+    rows = [(i % 3, v) for i, v in enumerate(amounts)] + [(7, None), (8, 0.1), (8, 0.2), (9, -0.07), (9, 0.07)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    found = {r.g: r for r in df.groupBy("g").agg(sum_exact("v").alias("fast"), F.sum(exact_part("v")).alias("plain"), exact_sum("v").alias("total")).collect()}
+    for g, r in found.items():
+        own = [Decimal(repr(v)).quantize(Decimal("1e-10"), "ROUND_HALF_UP") for k, v in rows if k == g and v is not None]
+        assert r.fast == r.plain == (sum(own) if own else None)
+        assert r.total == (float(sum(own)) if own else None)
+    assert found[7].total is None and found[8].total == 0.3 and found[9].total == 0.0
+    odd = df.limit(1).select(F.explode(F.array(F.lit(float("nan")), F.lit(1e15), F.lit(0.01))).alias("v")).agg(sum_exact("v").alias("e"), exact_sum("v").alias("t")).first()
+    assert odd.e == Decimal("0.01") and odd.t != odd.t
