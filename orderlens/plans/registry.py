@@ -24,6 +24,7 @@ from orderlens.sources.catalog import publish, publish_classifiers, run_sql
 from orderlens.sources.files import load_csv, read_ordered, write_ordered, write_result
 from orderlens.sources.fixtures import PAYMENT_TYPES, UNDEFINED_PAYMENT_TYPE, OrderViews, with_views
 from orderlens.sources.scratch import new_path, store
+from orderlens.sources.statistics import save_analyzed
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -534,6 +535,30 @@ def _j2_bucketed(v: OrderViews) -> DataFrame:
     return _multiway(v, **_by_order(v, items=v.items, orders=v.clean_orders, payments=v.clean_payments))
 
 
+_SOLD_IN_STATE = """
+SELECT i.order_id, i.order_item_id, i.price, o.customer_id, p.payment_type, pr.product_category_name
+FROM {items} i JOIN {orders} o ON i.order_id = o.order_id
+JOIN {payments} p ON i.order_id = p.order_id
+JOIN {products} pr ON i.product_id = pr.product_id
+JOIN {sellers} s ON i.seller_id = s.seller_id
+WHERE s.seller_state = 'NATION_7'"""
+
+
+@register("join_multiway_by_statistics", _SOLD_IN_STATE.format(
+    items="ol_items", orders="ol_clean_orders", payments="ol_clean_payments", products="ol_products", sellers="ol_sellers"))
+def _j2_statistics(v: OrderViews) -> DataFrame:
+    """The filtered sellers stand last in the text; by statistics they meet the items first."""
+    keys = {"items": ["order_id", "product_id", "seller_id"], "orders": ["order_id", "customer_id"], "payments": ["order_id"],
+            "products": ["product_id"], "sellers": ["seller_id", "seller_state"]}
+    frames = {"items": v.items, "orders": v.clean_orders, "payments": v.clean_payments, "products": v.products, "sellers": v.sellers}
+    tables = {}
+    for name, df in frames.items():
+        table = f"{name}_{uuid.uuid4().hex}"
+        tables[name] = save_analyzed(df, table, path=new_path(v.spark, name), columns=keys[name])
+        v.spark.sql(f"DROP TABLE {table}")                   # the frame keeps the files and their statistics
+    return run_sql(v.spark, _SOLD_IN_STATE, **tables)
+
+
 @register("bucket_load_of_items", f"""
 SELECT CAST(count(*) AS BIGINT) AS keys, CAST(sum(n) AS BIGINT) AS rows, max(n) AS rows_of_largest_key
 FROM (SELECT order_id, count(*) AS n FROM ol_items GROUP BY order_id) t""")

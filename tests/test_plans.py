@@ -3,10 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from conftest import SF_SMALL
+from conftest import SF_ORACLE, SF_SMALL
 from orderlens.operators import aggregate
+from orderlens.sources import save_analyzed, statistics_of
 
 Q = entry_module.queries()
 
@@ -109,3 +111,34 @@ def test_sql_functions_leave_no_call_in_the_plan(spark):
     for name, part in (("sql_product_size_class", "CASE WHEN"), ("sql_margin_category", "CASE WHEN"), ("sql_month_and_blanks", "regexp_replace")):
         plan = _plan(Q[name](spark, SF_SMALL))
         assert part in plan and "EvalPython" not in plan and not re.search(r"ol_\w+\(", plan)
+
+
+def test_statistics_order_the_joins(spark):
+    def first_joined(df):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        found = [re.search(r"default\.([a-z]+)_", line)[1] for line in lines if "Relation spark_catalog" in line]
+        return set(found[:2])
+
+    name = "spark.sql.cbo.joinReorder.enabled"
+    by_cost = Q["join_multiway_by_statistics"](spark, SF_ORACLE)
+    assert first_joined(by_cost) == {"items", "sellers"}             # the filtered sellers, which the text names last
+    rows = sorted(map(tuple, by_cost.collect()))
+    spark.conf.set(name, "false")
+    try:
+        as_written = Q["join_multiway_by_statistics"](spark, SF_ORACLE)
+        assert first_joined(as_written) == {"items", "orders"}
+        assert sorted(map(tuple, as_written.collect())) == rows
+    finally:
+        spark.conf.set(name, "true")
+
+
+def test_statistics_of_a_saved_table(spark, tmp_path):
+    df = spark.range(1000).select((F.col("id") % 25).alias("k"), F.when(F.col("id") % 4 > 0, F.col("id")).alias("v"))
+    saved = save_analyzed(df, "analysed_here", path=str(tmp_path / "t"))
+    try:
+        told = statistics_of(spark, "analysed_here", "k")
+        assert abs(int(told["distinct_count"]) - 25) <= 2 and (told["min"], told["max"], told["num_nulls"]) == ("0", "24", "0")
+        assert statistics_of(spark, "analysed_here", "v")["num_nulls"] == "250"
+        assert saved.count() == 1000
+    finally:
+        spark.sql("DROP TABLE analysed_here")
