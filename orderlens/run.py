@@ -6,6 +6,12 @@
 Tables ending in ``.csv`` or ``.csv.gz`` are read with the declared schema of that table
 name (``sources.SCHEMAS``); anything else is read as Parquet.  Each result
 is written as Parquet under ``--out/<analysis>`` (or printed with --show).
+
+With ``--quarantine`` a bad CSV cell does not end the run: each CSV table is
+loaded in one scan into ``--quarantine/<table>``, and what is wrong with the
+rows left out is written to ``--quarantine/<table>_bad``.  With ``--cleaned``
+the cleaned orders are written there once, the analyses read them from
+there, and the quality figures, counted in the same job, lie beside them.
 """
 
 from __future__ import annotations
@@ -16,10 +22,11 @@ from collections.abc import Callable
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from orderlens.operators import quality
 from orderlens.plans import analyses as A
 from orderlens.plans.display import with_display_names
 from orderlens.plans.preparation import prepare_tables
-from orderlens.sources import SCHEMAS, read_csv, read_parquet, write_result
+from orderlens.sources import SCHEMAS, load_csv, read_csv, read_parquet, write_result
 
 Tables = dict[str, DataFrame]
 
@@ -37,19 +44,31 @@ ANALYSES: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
 }
 
 
-def load(spark: SparkSession, paths: dict[str, str]) -> Tables:
+def load(spark: SparkSession, paths: dict[str, str], quarantine: str | None = None) -> Tables:
     unknown = sorted(set(paths) - set(SCHEMAS))
     if unknown:
         raise ValueError(f"unknown tables {unknown}; names are {sorted(SCHEMAS)}")
     tables = {}
     for name, path in paths.items():
-        if path.endswith((".csv", ".csv.gz")):
+        if path.endswith((".csv", ".csv.gz")) and quarantine:
+            tables[name], bad = load_csv(spark, path, name, f"{quarantine.rstrip('/')}/{name}")
+            write_result(bad, f"{quarantine.rstrip('/')}/{name}_bad")
+        elif path.endswith((".csv", ".csv.gz")):
             tables[name] = read_csv(spark, path, schema=name)
         else:
             tables[name] = read_parquet(spark, path)
     return tables
 
 
+def write_clean_orders(spark: SparkSession, orders: DataFrame, folder: str) -> DataFrame:
+    """The orders without missing values, written to ``folder`` with the figures about what was left out."""
+    folder = folder.rstrip("/")
+    figures = quality.write_clean(orders, f"{folder}/orders")
+    for name, df in figures._asdict().items():
+        write_result(df, f"{folder}/orders_{name}")
+    return read_parquet(spark, f"{folder}/orders")
+
+
 def run_all(spark: SparkSession, tables: Tables, trim: bool = False,
             prepared: Tables | None = None) -> dict[str, DataFrame]:
     """Every analysis whose input tables are present, as lazy DataFrames."""
@@ -71,6 +90,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     parser.add_argument("--out", help="folder for the results (Parquet, one folder per analysis)")
     parser.add_argument("--show", action="store_true", help="print 20 rows of each result")
     parser.add_argument("--trim", action="store_true", help="also trim sellers and geolocation")
+    parser.add_argument("--quarantine", help="folder for the loaded CSV tables and their bad cells; without it a bad cell is an error")
+    parser.add_argument("--cleaned", help="folder for the cleaned orders and their quality figures")
     parser.add_argument("--display-names", action="store_true",
                         help="name result columns as the original outputs do")
     parser.add_argument("--persist", action="store_true",
@@ -81,7 +102,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     if spark is None:
         from orderlens.session import build_session
         spark = build_session()
-    prepared = prepare_tables(load(spark, paths), trim=args.trim)
+    tables = load(spark, paths, args.quarantine)
+    if args.cleaned and "orders" in tables:
+        tables["orders"] = write_clean_orders(spark, tables["orders"], args.cleaned)
+    prepared = prepare_tables(tables, trim=args.trim)
     kept = []
     if args.persist:
         # Six analyses start from the cleaned orders and three from the cleaned

@@ -73,3 +73,25 @@ def test_display_names(spark):
     df = spark.createDataFrame([("boleto", 1.0, 2.0)], "payment_type string, total_payment_value double, avg_installments double")
     assert with_display_names(df, "payment_summary").columns == ["Payment_type", "Total Payment Value", "Avg Installments"]
     assert with_display_names(df, "no_such_analysis").columns == df.columns
+
+
+def test_cli_with_quarantine_and_cleaned_orders(spark, tmp_path):
+    v = OrderViews(spark, SF_SMALL)
+    ts = "order_purchase_timestamp"
+    orders = _csv(_conform(v.orders, "orders", order_delivered_carrier_date=ts, order_delivered_customer_date=ts,
+                           order_estimated_delivery_date=ts), str(tmp_path / "orders.csv"))
+    spoilt = _conform(v.payments, "payments").withColumn(
+        "payment_value", F.when(F.col("payment_value") > 200_000, "a lot").otherwise(F.col("payment_value").cast("string")))
+    payments = _csv(spoilt, str(tmp_path / "payments.csv"))
+    out, loaded, cleaned = (str(tmp_path / n) for n in ("out", "loaded", "cleaned"))
+    run.main(["--table", f"orders={orders}", "--table", f"payments={payments}", "--out", out, "--quarantine", loaded, "--cleaned", cleaned], spark=spark)
+    bad = spark.read.parquet(f"{loaded}/payments_bad")
+    many = v.payments.where("payment_value > 200000").count()
+    assert many and bad.count() == many and {(r.column, r.text) for r in bad.collect()} == {("payment_value", "a lot")}
+    assert spark.read.parquet(f"{loaded}/orders_bad").count() == 0
+    counts = spark.read.parquet(f"{cleaned}/orders_clean_counts").first()
+    assert (counts.rows_before, counts.rows_after) == (v.orders.count(), v.clean_orders.count()) and counts.rows_dropped > 0
+    assert spark.read.parquet(f"{cleaned}/orders").count() == spark.read.parquet(f"{cleaned}/orders_row_count").first().row_count == counts.rows_after
+    summary = {r.payment_type: r.total_payment_value for r in spark.read.parquet(f"{out}/payment_summary").collect()}
+    kept = v.payments.where("payment_value <= 200000 OR payment_value IS NULL")
+    assert summary == {r.payment_type: r.total_payment_value for r in A.payment_summary(kept).collect()}
