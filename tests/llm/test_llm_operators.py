@@ -739,13 +739,16 @@ def test_mixing_with_a_doc_id_of_a_third_of_the_rows(spark, monkeypatch):
     docs = docs_of(spark, rows + rows[:50]).repartition(6)
     ranges = []
     monkeypatch.setattr(common, "store", lambda df, name, own=common.store: ranges.append(own(df, name)) or ranges[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
     try:
         plan = mixing.plan(docs).collect()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     queue = next(df for df in ranges if "place" in df.columns and "row" in df.columns)
-    assert queue.where("doc_id = 5").select("source_key", "range").distinct().count() > 4       # its rows are spread within a source
+    assert queue.where("doc_id = 5").select("source_key", "range").distinct().count() > 8       # of 32: its rows are spread within each of four sources
     assert len(plan) == 4050 and sum(r.taken for r in plan) <= sum(r.size for r in plan)
     mixed = mixing.mix(docs)
     assert mixed.count() == sum(r.taken // r.size for r in plan if r.size)
