@@ -16,7 +16,12 @@ from test_llm_operators import SPACE, brute_components, brute_fingerprint  # noq
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages_take_effect_and_run_agrees(spark):
+@pytest.fixture(scope="module")
+def result(spark):
+    return corpus_pipeline.run(spark, SF).collect()
+
+
+def test_stages_take_effect_and_run_agrees(spark, result):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     start, columns, counts = docs, docs.columns, []
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -30,7 +35,7 @@ def test_stages_take_effect_and_run_agrees(spark):
             assert docs.count() == sum(r.taken // r.size for r in mixing.plan(before).collect() if r.size)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == counts[-1]
-    assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, last.collect()))
+    assert sorted(map(str, result)) == sorted(map(str, last.collect()))
 
 
 def brute_pipeline(rows):
@@ -75,11 +80,10 @@ def brute_pipeline(rows):
     return sorted((c[3], len(i), hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest()) for c, i in zip(taken, ids))
 
 
-def test_run_against_brute_force(spark):
+def test_run_against_brute_force(spark, result):
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    found = corpus_pipeline.run(spark, SF).collect()
-    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in found) == brute_pipeline(rows)
-    assert len({r.doc_id for r in found}) < len(rows) and len(found) > len({r.doc_id for r in found})      # stages take effect
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in result) == brute_pipeline(rows)
+    assert len({r.doc_id for r in result}) < len(rows) and len(result) > len({r.doc_id for r in result})   # stages take effect
 
 
 def test_run_of_an_empty_table(spark, tmp_path):
