@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()          # applications whose workers have the package
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where a local master names none, one of its own is set.
 
@@ -41,14 +44,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def remove_run(spark: SparkSession) -> bool:
-    """Remove all tables of this application, once its results are written; false if there were none."""
+    """Remove all tables of this application, once its results are written; false if there were none.
+
+    The shipped package goes with them: it is shipped again by the next ``ship_package``.
+    """
+    _shipped.discard(spark.sparkContext.applicationId)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_shipped: set[str] = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of ``spark``, once for an application.
 

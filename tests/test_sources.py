@@ -177,6 +177,8 @@ def known(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array([orderlens.functions.__file__] * batch.num_rows)], ["path"])
 
+remove_run(spark)
+ship_package(spark)
 paths = {{r.path for r in spark.range(4).mapInArrow(known, "path string").collect()}}
 assert len(paths) == 1 and "orderlens.zip" in paths.pop()
 assert remove_run(spark)
